@@ -1,6 +1,12 @@
 """The queries of the training-data operators, and the SQL of those that SQL can express."""
 
+from groupwise.llm.ann import op9_ann
+from groupwise.llm.bpe import op7_bpe
+from groupwise.llm.chat import op3_chat_format
+from groupwise.llm.jaccard import op2_jaccard_join
+from groupwise.llm.media import op8_media
 from groupwise.llm.packing import op1_packing
+from groupwise.llm.warc import op10_warc
 
-QUERIES = {f.__name__: f for f in (op1_packing,)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_jaccard_join, op3_chat_format, op7_bpe, op8_media, op9_ann, op10_warc)}
 ORACLE_SQL: dict[str, str] = {}
