@@ -4,9 +4,13 @@ from groupwise.llm.ann import op9_ann
 from groupwise.llm.bpe import op7_bpe
 from groupwise.llm.chat import op3_chat_format
 from groupwise.llm.jaccard import op2_jaccard_join
+from groupwise.llm.lines import OP5_SQL, op5_line_dedup
 from groupwise.llm.media import op8_media
 from groupwise.llm.packing import op1_packing
+from groupwise.llm.quality import op6_quality
+from groupwise.llm.secrets import op4_secrets
 from groupwise.llm.warc import op10_warc
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_jaccard_join, op3_chat_format, op7_bpe, op8_media, op9_ann, op10_warc)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_jaccard_join, op3_chat_format, op4_secrets, op5_line_dedup, op6_quality, op7_bpe, op8_media, op9_ann, op10_warc)}
+#: The others need a tokenizer, a fitted model, archives or ordered digests, and are tested against brute force.
+ORACLE_SQL: dict[str, str] = {"op5_line_dedup": OP5_SQL}
