@@ -4,7 +4,7 @@ A partner of a set of n shingles must hold at least T = ceil(0.75 n) of them. Sh
 thousandth of all documents hold have long inverted lists; these are never merged. Of the others, in hash
 order, the first n - T + 1 (long ones come last) are enough: a partner misses at most n - T shingles, so it is
 on one of these short lists. Short lists are merged by Spark's sort (an external heap merge of sorted runs);
-whoever meets there is a candidate. The rest of the count comes from binary probes: each remaining shingle of
+whoever meets there is a candidate, unless sizes or a bitmap of parities rule it out. The rest of the count comes from binary probes: each remaining shingle of
 the smaller set, long lists' ones too, is looked up in the other's sorted set, in steps, until T is reached or out of reach.
 """
 
@@ -108,6 +108,23 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     return found >= need
 
 
+def parity_bits(shingle_set: np.ndarray) -> bytes:
+    """For at least twice as many bins as shingles, whether each holds an odd number of them."""
+    bins = max(64, 1 << (2 * len(shingle_set) - 1).bit_length()) if len(shingle_set) else 64
+    return np.packbits(np.bincount(shingle_set & (bins - 1), minlength=bins) & 1, bitorder="little").tobytes()
+
+
+def may_link(n_a: int, bits_a: bytes, n_b: int, bits_b: bytes, percent: int = PERCENT) -> bool:
+    """False only if the sets differ by more shingles than linked ones can: bins of unlike parity hold a shingle each that one set lacks."""
+    a, b = np.frombuffer(bits_a, np.uint64), np.frombuffer(bits_b, np.uint64)
+    while len(a) != len(b):  # bins are hashes' low bits, so halves fold
+        if len(a) < len(b):
+            a, b = b, a
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    need = -(-percent * (n_a + n_b) // (100 + percent))
+    return int(np.bitwise_count(a ^ b).sum()) <= n_a + n_b - 2 * need
+
+
 def _batch(columns: list, schema: T.StructType, kinds: dict[str, pa.DataType] | None = None) -> pa.RecordBatch:
     kind = lambda f: (kinds or {}).get(f.name) or {"bigint": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}[f.dataType.simpleString()]
     return pa.RecordBatch.from_arrays([pa.array(c, kind(f)) for c, f in zip(columns, schema, strict=True)], names=schema.names)
@@ -118,8 +135,8 @@ def _longs(*names: str) -> T.StructType:
 
 
 def _census(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, key, n) for each document, and (shingle, holders) for those that many of a few thousand documents hold."""
-    schema = T.StructType([field(docs, "doc_id"), *_longs("key", "n", "shingle", "holders")])
+    """Rows (doc_id, key, n, bits) for each document, and (shingle, holders) for those that many of a few thousand documents hold."""
+    schema = T.StructType([field(docs, "doc_id"), *_longs("key", "n", "shingle", "holders"), T.StructField("bits", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets: list[np.ndarray] = []
@@ -129,7 +146,7 @@ def _census(docs: DataFrame) -> DataFrame:
             often = counts >= max(2, math.ceil(LONG_SHARE * len(sets)))
             values, counts = values[often], counts[often]
             none = [None] * len(values)
-            yield _batch([none, none, none, values, counts], schema, {"doc_id": kind})
+            yield _batch([none, none, none, values, counts, none], schema, {"doc_id": kind})
 
         for batch in batches:
             kind = batch.schema.field(0).type
@@ -137,7 +154,7 @@ def _census(docs: DataFrame) -> DataFrame:
                 part = batch.slice(at, 1000)
                 own = [shingles(t) for t in part.column(1).to_pylist()]
                 none = [None] * len(own)
-                yield _batch([part.column(0).to_pylist(), [set_key(s) for s in own], [len(s) for s in own], none, none], schema, {"doc_id": kind})
+                yield _batch([part.column(0).to_pylist(), [set_key(s) for s in own], [len(s) for s in own], none, none, [parity_bits(s) for s in own]], schema, {"doc_id": kind})
                 sets += own
                 if len(sets) >= COUNTED:
                     yield from common()
@@ -231,23 +248,37 @@ def _open_pairs(lists: DataFrame, comp: DataFrame) -> DataFrame:
     return kept.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(run, schema).distinct()
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _possible(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sizes and parity bits allow a link."""
+    side = lambda c: members.select(F.col("key").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
+    schema = _longs("a", "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = [(a, b) for a, b, n_a, n_b, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True) if may_link(n_a, x, n_b, y)]
+            yield _batch([[k[0] for k in kept], [k[1] for k in kept]], schema)
+
+    near = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * PERCENT
+    joined = pairs.join(side("b"), "b").join(side("a"), "a").where(near)
+    return joined.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(run, schema)
+
+
+def _verified(pairs: DataFrame, members: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) that link, by the sets of their texts."""
+    pairs = stored(pairs, "pairs")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(members, "key").select("doc_id", "key")
+    texts = stored(_texts(docs, wanted), "texts")
     of = lambda side: texts.select(F.col("key").alias(side), F.col("text").alias(f"text_{side}"))
     schema = _longs("a", "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, np.ndarray] = {}
+        last_key, last_set = None, None
         for batch in batches:
             a_out, b_out = [], []
-            for a, b, ta, tb in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for key, text in ((a, ta), (b, tb)):
-                    if key not in known:
-                        if len(known) > 2000:
-                            known.clear()
-                        known[key] = shingles(text)
-                x = known[a] if a in known else shingles(ta)
-                if linked(x, known[b]):
+            for a, b, text_a, text_b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if a != last_key:
+                    last_key, last_set = a, shingles(text_a)
+                if linked(last_set, shingles(text_b)):
                     a_out.append(a)
                     b_out.append(b)
             yield _batch([a_out, b_out], schema)
@@ -268,24 +299,17 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     """
     docs = docs.select("doc_id", "text")
     census = stored(_census(docs), "census")
-    rows = census.where("key is not null").select("doc_id", "key", "n")
+    rows = census.where("key is not null").select("doc_id", "key", "n", "bits")
     n_docs = rows.count()
     common = census.where("shingle is not null").groupBy("shingle").agg(F.sum("holders").alias("holders")).where(F.col("holders") >= max(4.0, LONG_SHARE * n_docs / 2))
     long = np.sort(np.array([r[0] for r in common.select("shingle").collect()], np.int64))
-    classes = rows.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
+    classes = rows.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits"))
     lists = stored(_shared_lists(_postings(docs, long)), "lists")
     members = lists.select("key").distinct().join(classes, "key")
-    texts = stored(_texts(docs, members), "texts")
-
-    def sized(pairs: DataFrame) -> DataFrame:
-        side = lambda c: members.select(F.col("key").alias(c), F.col("n").alias(f"n_{c}"))
-        near = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * PERCENT
-        return pairs.join(side("b"), "b").join(side("a"), "a").where(near).select("a", "b")
-
     stars = lists.where("key <> first").select(F.col("first").alias("a"), F.col("key").alias("b")).distinct()
-    links = stored(_verified(sized(stars), texts), "stars")
-    more = stored(sized(_open_pairs(lists, components(links))), "pairs")
-    links = links.union(_verified(more, texts))
+    links = stored(_verified(_possible(stars, members), members, docs), "stars")
+    more = _possible(_open_pairs(lists, components(links)), members)
+    links = links.union(stored(_verified(more, members, docs), "open"))
     comp = stored(components(links), "components")
     named = comp.join(classes.withColumnRenamed("key", "node"), "node").select("node", "component", "doc_id")
     least = named.groupBy("component").agg(F.min("doc_id").alias("least"))
@@ -295,9 +319,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _texts(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """(key, text) of one row for each class that is on a list."""
-    wanted = members.select("doc_id", "key")
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(key, text) of one row for each wanted class (doc_id, key)."""
     schema = T.StructType([*_longs("key"), T.StructField("text", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -291,3 +291,12 @@ def test_classifier_on_odd_documents(spark):
     assert quality.classify(docs.where("false"), labels).count() == 0
     unlabelled = quality.classify(docs, labels.where("false")).collect()
     assert all(r.p == 0.5 for r in unlabelled)
+
+
+@given(st.sets(st.integers(-(2**62), 2**62), min_size=1, max_size=200), st.sets(st.integers(-(2**62), 2**62), max_size=40), st.integers(0, 60))
+@settings(max_examples=300, deadline=None)
+def test_parity_bits_rule_out_no_link(a, more, gone):
+    b = set(sorted(a)[gone:]) | more
+    x, y = (np.array(sorted(s), np.int64) for s in (a, b))
+    if jaccard.linked(x, y):
+        assert jaccard.may_link(len(x), jaccard.parity_bits(x), len(y), jaccard.parity_bits(y))
