@@ -29,19 +29,18 @@ def _key(length: Column, i: int, part: Column) -> Column:
     return F.xxhash64(length.cast("int"), F.lit(i), part)
 
 
-def index_keys(line: Column, edits: int = EDITS) -> Column:
-    """Keys (length, segment number, segment) under which a line is found."""
-    n = F.length(line)
+def index_keys(line: Column, n: Column, edits: int = EDITS) -> Column:
+    """Keys (length, segment number, segment) under which a line of n characters is found."""
     return F.array(*(_key(n, i, F.substring(line, start, size)) for i, (start, size) in enumerate(segments(edits, n), 1)))
 
 
-def probe_keys(line: Column, edits: int = EDITS) -> Column:
-    """Keys that find each indexed line of the same length or up to `edits` less within `edits` edits.
+def probe_keys(line: Column, n: Column, edits: int = EDITS) -> Column:
+    """Keys by which a line of n characters finds each indexed line of the same length or up to `edits` less within `edits` edits.
 
     If a line is within the edits, one of its segments stands unchanged in the other; where it may stand follows from the
     edits left before and after it (multi-match-aware windows), so only these substrings are looked up.
     """
-    n, keys = F.length(line), []
+    keys = []
     for less in range(edits + 1):
         indexed = n - less
         for i, (start, size) in enumerate(segments(edits, indexed), 1):
@@ -109,7 +108,7 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def _named(lines: DataFrame) -> DataFrame:
-    """With the line's name: the hash and length of what stands between the spaces around it."""
+    """With the line's name, the hash of what stands between the spaces around it, and its length."""
     bare = F.trim("line")
     return lines.select("doc_id", "line_no", bare.alias("line"), F.xxhash64(bare).alias("hash"), F.length(bare).alias("chars"))
 
@@ -119,7 +118,7 @@ def line_flags(docs: DataFrame, edits: int = EDITS, least_chars: int = LEAST_CHA
 
     A line's first occurrence is that of the least (doc_id, line_no), null ids last. `exact`: the same line, without spaces
     around it, stands elsewhere first. `near`: a line within `edits` edits of it has its first occurrence before its own.
-    Lines of fewer than least_chars characters are kept. Lines are told apart by a 64-bit hash and their length. Repeated
+    Lines of fewer than least_chars characters are kept. Lines are told apart by a 64-bit hash. Repeated
     rows of a doc_id are the same occurrence, and are kept or dropped together.
 
     Distinct lines are aggregated before anything is joined, so a line on a third of all rows is one row of the join.
@@ -127,25 +126,25 @@ def line_flags(docs: DataFrame, edits: int = EDITS, least_chars: int = LEAST_CHA
     every = _named(_lines(docs))
     counted = F.col("chars") >= least_chars
     place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "line_no")
-    distinct = every.where(counted).groupBy("hash", "chars").agg(F.min(place).alias("first"), F.first("line").alias("line"))
-    names = F.struct("hash", "chars")
-    indexed = distinct.select(F.explode(index_keys(F.col("line"), edits)).alias("key"), names.alias("r"))
-    probing = distinct.select(F.explode(F.array_distinct(probe_keys(F.col("line"), edits))).alias("key"), names.alias("s"))
-    once = (F.col("r.chars") < F.col("s.chars")) | ((F.col("r.chars") == F.col("s.chars")) & (F.col("r.hash") < F.col("s.hash")))
-    pairs = indexed.join(probing, "key").where(once).select("r", "s").distinct()
-    flat = pairs.select(F.col("r.hash").alias("hash"), F.col("r.chars").alias("chars"), "s")
-    with_r = flat.join(distinct, ["hash", "chars"]).select(F.col("hash").alias("r_hash"), F.col("chars").alias("r_chars"), F.col("first").alias("first_r"), F.col("line").alias("line_r"), F.col("s.hash").alias("hash"), F.col("s.chars").alias("chars"))
-    both = with_r.join(distinct, ["hash", "chars"])
-    near = both.where(within_edits(F.col("line"), F.col("line_r"), edits))
-    later = F.when(F.col("first") > F.col("first_r"), F.struct("hash", "chars")).otherwise(F.struct(F.col("r_hash").alias("hash"), F.col("r_chars").alias("chars")))
-    dropped = stored(near.select(later.alias("of")).select("of.*").distinct(), "near-lines").withColumn("near", F.lit(True))
-    firsts = every.where(counted).groupBy("hash", "chars").agg(F.min(place).alias("first"), F.count("*").alias("copies"))
-    known = firsts.join(dropped, ["hash", "chars"], "left").where("copies > 1 or near")
-    placed = every.where(counted).drop("line").join(known, ["hash", "chars"], "left")
-    reason = F.when(F.col("near"), "near").when(F.col("first").isNotNull() & (place != F.col("first")), "exact")
-    long = placed.select("doc_id", "line_no", "chars", reason.alias("drop"))
-    short = every.where(~counted).select("doc_id", "line_no", "chars", F.lit(None).cast("string").alias("drop"))
-    return long.union(short)
+    # one column for all that is known of a distinct line, so that its one shuffle serves all three uses below
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "line_no", "line", "chars")).alias("best")
+    distinct = every.where(counted).groupBy("hash").agg(best)
+    line, chars = F.col("best.line"), F.col("best.chars")
+    indexed = distinct.select(F.explode(index_keys(line, chars, edits)).alias("key"), F.col("hash").alias("r"))
+    probing = distinct.select(F.explode(probe_keys(line, chars, edits)).alias("key"), F.col("hash").alias("s"))
+    pairs = stored(indexed.join(probing, "key").where("r <> s").select(F.least("r", "s").alias("r"), F.greatest("r", "s").alias("s")).distinct(), "line-pairs")
+    wanted = pairs.select(F.explode(F.array("r", "s")).alias("hash")).distinct()
+    texts = stored(distinct.join(wanted, "hash", "left_semi"), "line-texts")
+    side = lambda c: texts.select(F.col("hash").alias(c), F.col("best").alias(f"best_{c}"))
+    both = pairs.join(side("r"), "r").join(side("s"), "s")
+    near = both.where(within_edits(F.col("best_r.line"), F.col("best_s.line"), edits))
+    later = F.when(F.col("best_s") > F.col("best_r"), F.col("s")).otherwise(F.col("r"))
+    dropped = stored(near.select(later.alias("hash")).distinct(), "near-lines").withColumn("near", F.lit(True))
+    firsts = every.where(counted).groupBy("hash").agg(F.min(place).alias("first"), F.count("*").alias("copies"))
+    known = firsts.join(dropped, "hash", "left").where("copies > 1 or near")
+    placed = every.drop("line").join(known, "hash", "left")
+    reason = F.when(~counted, None).when(F.col("near"), "near").when(F.col("first").isNotNull() & (place != F.col("first")), "exact")
+    return placed.select("doc_id", "line_no", "chars", reason.alias("drop"))
 
 
 def line_report(docs: DataFrame, edits: int = EDITS, least_chars: int = LEAST_CHARS) -> DataFrame:

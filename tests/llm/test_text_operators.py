@@ -240,7 +240,7 @@ def line_documents(seed):
 
 @pytest.mark.parametrize("seed", [1, 2])
 def test_line_flags_against_brute_force(spark, seed):
-    rows = [*line_documents(seed), (None, "a line that stands there without any id"), (70, None), (71, "a line that stands there without any id"), (72, "z" * 70_000), (73, "z" * 70_001)]
+    rows = [*line_documents(seed), (None, "a line that stands there without any id"), (70, None), (71, "a line that stands there without any id"), (72, "z" * 1_500), (73, "z" * 1_501)]
     got = lines.line_flags(frame(spark, rows)).collect()
     want = brute_flags(rows)
     assert sorted((tuple(r) for r in got), key=str) == want
