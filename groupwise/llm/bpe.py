@@ -17,7 +17,7 @@ from groupwise.llm.common import field, table
 from groupwise.llm.pretokens import read_ranks, runs
 
 #: Characters of text whose words travel together; it bounds memory and changes no result.
-BLOCK_CHARS = 12_000_000
+BLOCK_CHARS = 14_000_000
 #: Words that an encoding task remembers; it starts anew beyond that.
 REMEMBERED = 1_000_000
 
@@ -25,7 +25,7 @@ REMEMBERED = 1_000_000
 def _squeeze(data: bytes) -> bytes:
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(data)
+    return zstandard.ZstdCompressor(level=3).compress(data)
 
 
 def _expand(data: bytes) -> bytes:
