@@ -11,14 +11,16 @@ from pyspark.sql import types as T
 from groupwise.llm.common import field, table
 
 NEAREST = 20
-PROJECTIONS = 128
+PROJECTIONS = 96
 #: Share of projections whose window must hold a vector before it is verified.
-THRESHOLD = 0.89
+THRESHOLD = 0.9
 #: Windows stop growing once k vectors and this share of a block collide often enough; all that do are verified. With the
 #: projections and the threshold it sets recall: measured on the given tables of 51,282 rows it is above 0.9 (README).
-SHARE = 0.08
+SHARE = 0.06
+#: A block's candidates that windows grow to at least, which makes small tables nearly exact.
+LEAST = 256
 #: First half-width of a window, in standard deviations of a projection, and the factor by which it grows.
-FIRST, GROWTH = 1.6, 1.08
+FIRST, GROWTH = 1.9, 1.08
 BLOCK, QUERY_BLOCK = 16_384, 2_048
 SEED = 20
 
@@ -107,7 +109,7 @@ def nearest(vectors: DataFrame, is_query, k: int = NEAREST, id_col: str = "vec_i
         index = SortedProjections(lifted(points, largest), axes)
         at = axes @ np.hstack((q_points, np.zeros((len(q_points), 1)))).T
         out = []
-        wanted = k + 1 + int(SHARE * len(points))
+        wanted = max(LEAST, k + 1 + int(SHARE * len(points)))
         for q, point, found in zip(q_ids, q_points, index.candidates(at, wanted, threshold), strict=True):
             found = found[ids[found] != q]
             scores = (points[found] * point).sum(axis=1)
