@@ -126,16 +126,14 @@ def line_flags(docs: DataFrame, edits: int = EDITS, least_chars: int = LEAST_CHA
     every = _named(_lines(docs))
     counted = F.col("chars") >= least_chars
     place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "line_no")
-    # one column for all that is known of a distinct line, so that its one shuffle serves all three uses below
+    # one column for all that is known of a distinct line, so that its one shuffle serves all four uses below
     best = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "line_no", "line", "chars")).alias("best")
     distinct = every.where(counted).groupBy("hash").agg(best)
     line, chars = F.col("best.line"), F.col("best.chars")
     indexed = distinct.select(F.explode(index_keys(line, chars, edits)).alias("key"), F.col("hash").alias("r"))
     probing = distinct.select(F.explode(probe_keys(line, chars, edits)).alias("key"), F.col("hash").alias("s"))
-    pairs = stored(indexed.join(probing, "key").where("r <> s").select(F.least("r", "s").alias("r"), F.greatest("r", "s").alias("s")).distinct(), "line-pairs")
-    wanted = pairs.select(F.explode(F.array("r", "s")).alias("hash")).distinct()
-    texts = stored(distinct.join(wanted, "hash", "left_semi"), "line-texts")
-    side = lambda c: texts.select(F.col("hash").alias(c), F.col("best").alias(f"best_{c}"))
+    pairs = indexed.join(probing, "key").where("r <> s").select(F.least("r", "s").alias("r"), F.greatest("r", "s").alias("s")).distinct()
+    side = lambda c: distinct.select(F.col("hash").alias(c), F.col("best").alias(f"best_{c}"))
     both = pairs.join(side("r"), "r").join(side("s"), "s")
     near = both.where(within_edits(F.col("best_r.line"), F.col("best_s.line"), edits))
     later = F.when(F.col("best_s") > F.col("best_r"), F.col("s")).otherwise(F.col("r"))
