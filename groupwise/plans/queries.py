@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groupwise.functions import columns as C
-from groupwise.operators import aggregate, gates, metrics, models, presence, priors, retrieval, sequence
+from groupwise.operators import aggregate, answers, gates, metrics, models, presence, priors, retrieval, sequence
 from groupwise.plans.roles import GROUPS_SQL, SHOTS_SQL, assertions, possessions, shots, table
 
 QUERIES: dict = {}
@@ -152,6 +152,54 @@ def one_for_one_swaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.withColumn("swap", C.one_for_one(F.col("a_own"), F.col("b_own"))).where("swap is not null").select("a_key", "b_key", F.col("swap.out").alias("went"), F.col("swap.in").alias("came"))
 
 
+@query(f"""{_SUPPORT_SQL}, ans AS (SELECT own_key, n_rows, min_attempts, points / n_rows - (SELECT avg(points) FROM possessions) AS delta,
+  CASE WHEN n_rows >= 200 AND min_attempts >= 100 THEN 'reportable' WHEN min_attempts >= 30 THEN 'directional' ELSE 'refused' END AS tier FROM sup)
+SELECT own_key, n_rows, min_attempts, CASE WHEN tier = 'reportable' THEN round(delta, 6) END AS delta, tier,
+  CASE WHEN delta > 0 THEN 'gain' WHEN delta < 0 THEN 'loss' ELSE 'flat' END AS direction FROM ans WHERE tier <> 'refused'""")
+def masked_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = possessions(spark, sf_dir)
+    attempts = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").groupBy((1 + F.col("l_suppkey") % 8).alias("member")).agg(F.count("*").alias("n"))
+    whole = rows.agg(F.avg("points").alias("base"))
+    found = aggregate.support(rows, "own_key", "own", attempts, "points").crossJoin(F.broadcast(whole))
+    answer = found.select("own_key", "n_rows", "min_attempts", (F.col("points") / F.col("n_rows") - F.col("base")).alias("delta"), aggregate.tier(F.col("n_rows"), F.col("min_attempts")).alias("tier"))
+    return rounded(answers.masked(answer, "tier", ["delta"], "delta"))
+
+
+@query("""WITH m AS (SELECT DISTINCT s_nationkey AS m FROM supplier), r AS (SELECT unnest(range(200)) AS request),
+k AS (SELECT request, m, row_number() OVER (PARTITION BY request ORDER BY md5('0:' || request || ':' || m), m) AS n FROM r, m)
+SELECT request, string_agg(CAST(m AS VARCHAR), ',' ORDER BY m) AS members FROM k WHERE n <= 5 GROUP BY request""")
+def request_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = answers.request_sets(table(spark, sf_dir, "supplier"), "s_nationkey", 200)
+    return found.withColumn("members", F.array_join(F.col("members").cast("array<string>"), ","))
+
+
+@query(f"""WITH {GROUPS_SQL}, g AS (SELECT own_key, offense_team_id, count(*) AS n, avg(points) AS mean FROM possessions GROUP BY own_key, offense_team_id HAVING count(*) >= 3),
+s AS (SELECT *, (rank() OVER (ORDER BY round(mean, 9)) - 1) / count(*) OVER () AS share FROM g),
+l AS (SELECT *, CASE WHEN share >= 0.8 THEN 'elite' WHEN share >= 0.6 THEN 'above average' WHEN share >= 0.4 THEN 'average' WHEN share >= 0.2 THEN 'below average' ELSE 'poor' END AS level FROM s)
+SELECT own_key, offense_team_id, n, round(mean, 6) AS mean, level FROM l""")
+def group_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(answers.group_documents(possessions(spark, sf_dir), "own_key", ["offense_team_id"], "points", 3)).drop("text")
+
+
+@query(f"""WITH {SHOTS_SQL}, p AS (SELECT DISTINCT loc_x AS x, loc_y AS y FROM shots)
+SELECT x, y, 'wedge' AS area FROM p WHERE y >= 0 AND y < 100 AND x >= y AND x < 200 - y UNION ALL SELECT x, y, 'box' AS area FROM p WHERE x >= -50 AND x < 50 AND y >= -20 AND y < 120""")
+def polygon_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    outlines = {"wedge": [(0, 0), (200, 0), (100, 100)], "box": [(-50, -20), (50, -20), (50, 120), (-50, 120)]}
+    edges = spark.createDataFrame([(n, *map(float, a), *map(float, b)) for n, c in outlines.items() for a, b in zip(c, c[1:] + c[:1], strict=True)], "area string, x1 double, y1 double, x2 double, y2 double")
+    points = shots(spark, sf_dir).select(F.col("loc_x").alias("x"), F.col("loc_y").alias("y")).distinct()
+    return answers.in_polygons(points, edges, ["x", "y"], "area")
+
+
+@query()
+def swap_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each one-for-one exchange among the members would change, by the ridge's effects."""
+    rows = possessions(spark, sf_dir)
+    fit = models.solve_ridge(models.moments(rows, {"own": "own", "other": "other"}, "points")[0], {"own": 2000.0, "other": 4000.0})
+    m = rows.select(F.explode("own").alias("out")).distinct()
+    scenarios = m.crossJoin(m.withColumnRenamed("out", "in")).withColumn("share", F.lit(0.5))
+    return rounded(answers.project_swaps(scenarios, fit, ("own", "other")), 4)
+
+
 # ---- Sequences
 
 

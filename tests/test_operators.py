@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from groupwise.functions import columns as C
-from groupwise.operators import aggregate, gates, metrics, models, presence, priors, retrieval, sequence
+from groupwise.operators import aggregate, answers, gates, metrics, models, presence, priors, retrieval, sequence
 from groupwise.sources import tables
 
 
@@ -287,3 +287,63 @@ def test_partitions_and_manifests(spark, tmp_path):
     entries = spark.createDataFrame([("k", 1, "a"), ("k", 2, "b")], "key string, fetched_at int, sha string")
     assert tables.latest_entries(entries).first().sha == "b"
     assert tables.as_json(spark.createDataFrame([(1, float("nan"))], "a int, b double")).first().json == '{"a":1,"b":null}'
+
+
+# ---- Answers
+
+
+def test_masking_and_tiers(spark):
+    rows = [("a", "reportable", 2.0), ("b", "directional", -2.0), ("c", "refused", 1.0), ("d", "directional", 0.0)]
+    df = spark.createDataFrame(rows, "k string, tier string, v double")
+    got = {r.k: (r.v, r.direction) for r in answers.masked(df, "tier", ["v"], "v").collect()}
+    assert got == {"a": (2.0, "gain"), "b": (None, "loss"), "d": (None, "flat")}
+    worst = values(spark, [("reportable", "refused"), ("directional", "reportable")], "a string, b string", answers.worse_tier(F.col("a"), F.col("b")))
+    assert worst == [("refused",), ("directional",)]
+    assert values(spark, [(1,), (5,)], "x int", answers.warnings(small=F.col("x") < 3, odd=F.col("x") % 2 == 1)) == [(["small", "odd"],), (["odd"],)]
+
+
+def test_choice_scores_follow_the_softmax(spark):
+    design = [0.0, 1.0, 1.0, 0.0, 0.5, 0.5]
+    got = answers.choice_scores(spark.createDataFrame([(design, 1)], "x array<double>, y int"), "x", [1.0, -1.0], [2.0, 3.0, 1.0])
+    u = np.exp([-1.0, 1.0, 0.0])
+    row = got.first()
+    assert row.mix == pytest.approx((u / u.sum()).tolist()) and row.per_100 == pytest.approx(100 * (u / u.sum()) @ [2, 3, 1])
+    scores = answers.choice_metrics(got, "mix", "y", 3).first()
+    assert scores.log_loss == pytest.approx(-np.log(u[1] / u.sum())) and scores.top_1 == 1.0
+
+
+def test_a_swap_with_oneself_is_nothing_and_swaps_mirror(spark):
+    rnd = np.random.default_rng(8)
+    rows = [(rnd.choice(9, 5, replace=False).tolist(), rnd.choice(9, 5, replace=False).tolist(), float(rnd.normal())) for _ in range(400)]
+    df = spark.createDataFrame(rows, "a array<bigint>, b array<bigint>, y double")
+    fit = models.solve_ridge(models.moments(df, {"a": "a", "b": "b"}, "y")[0], {"a": 5.0, "b": 5.0})
+    scenarios = spark.createDataFrame([(1, 1, 1.0), (1, 2, 0.5), (2, 1, 0.5), (None, 3, 1.0)], "out long, in long, share double")
+    got = {(r.out, r["in"]): r for r in answers.project_swaps(scenarios, fit, ("a", "b")).collect()}
+    assert got[1, 1].net_delta == 0 and got[1, 1].error == 0
+    assert got[1, 2].net_delta == pytest.approx(-got[2, 1].net_delta) and got[1, 2].error == pytest.approx(got[2, 1].error)
+    assert got[None, 3].low < got[None, 3].net_delta < got[None, 3].high
+
+
+def test_projection_scores(spark):
+    got = answers.projection_scores(spark.createDataFrame([(1.0, 2.0), (-1.0, -3.0), (0.0, 1.0), (2.0, -1.0)], "p double, a double"), "p", "a").first()
+    assert (got.n, got.mae) == (4, 1.75) and got.signs == pytest.approx(2 / 3) and got.signs_high == 1.0
+
+
+def test_polygons_and_paths(spark):
+    edges = spark.createDataFrame([("t", 0.0, 0.0, 4.0, 0.0), ("t", 4.0, 0.0, 0.0, 4.0), ("t", 0.0, 4.0, 0.0, 0.0)], "a string, x1 double, y1 double, x2 double, y2 double")
+    points = spark.createDataFrame([(1, 1.0, 1.0), (2, 3.0, 3.0), (3, -1.0, 1.0)], "i int, x double, y double")
+    assert [r.i for r in answers.in_polygons(points, edges, ["i"], "a").collect()] == [1]
+    assert values(spark, [([(0.0, 1.0), (2.0, 3.5)],)], "c array<struct<x:double,y:double>>", answers.outline_path(F.col("c"))) == [("M0.0 1.0 L2.0 3.5 Z",)]
+
+
+def test_negative_control_moves_lists_together(spark):
+    df = spark.createDataFrame([(i, [i], [i * 10]) for i in range(50)], "k int, a array<int>, b array<int>")
+    got = answers.shuffled_lists(df, "k", ["a", "b"], 1).collect()
+    assert sorted(r.a[0] for r in got) == list(range(50)) and all(r.b[0] == 10 * r.a[0] for r in got) and sum(r.a[0] == r.k for r in got) < 10
+
+
+def test_table_definitions(spark):
+    df = spark.createDataFrame([], "a long, l array<string>, season int")
+    assert answers.create_table(df.schema, "t", ["season"]) == "CREATE TABLE t (\n  a BIGINT,\n  l ARRAY<STRING>,\n  season INT\n) USING parquet\nPARTITIONED BY (season)"
+    with pytest.raises(ValueError, match="not supported"):
+        answers.create_table(spark.createDataFrame([], "d date").schema, "t", [])
