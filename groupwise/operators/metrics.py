@@ -92,3 +92,26 @@ def odd_even_games(df: DataFrame, game: str) -> DataFrame:
 def centred(df: DataFrame, value: str, by: str) -> Column:
     """value less its mean within `by`."""
     return F.col(value) - F.avg(value).over(Window.partitionBy(by))
+
+
+def calibration_slope(df: DataFrame, y: str, p: str, steps: int = 25) -> tuple[float, float] | None:
+    """(slope, intercept) of an unpenalised logistic regression of y on the logit of p; None if y has one value. Each Newton step is one aggregate."""
+    from groupwise.functions.columns import logit
+
+    rows = df.select(F.col(y).cast("double").alias("y"), logit(F.col(p), CLIP).alias("x"))
+    low, high = rows.agg(F.min("y"), F.max("y")).first()
+    if low is None or low == high:
+        return None
+    slope, intercept = 1.0, 0.0
+    for _ in range(steps):
+        q = 1 / (1 + F.exp(-(slope * F.col("x") + intercept)))
+        v = rows.withColumn("e", F.col("y") - q).withColumn("w", q * (1 - q))
+        s = v.agg(F.sum("e").alias("g0"), F.sum(F.col("e") * F.col("x")).alias("g1"), F.sum("w").alias("h0"), F.sum(F.col("w") * F.col("x")).alias("h1"), F.sum(F.col("w") * F.col("x") * F.col("x")).alias("h2")).first()
+        det = s["h0"] * s["h2"] - s["h1"] ** 2
+        if det <= 0:
+            return None
+        d0, d1 = (s["h2"] * s["g0"] - s["h1"] * s["g1"]) / det, (s["h0"] * s["g1"] - s["h1"] * s["g0"]) / det
+        intercept, slope = intercept + d0, slope + d1
+        if abs(d0) + abs(d1) < 1e-10:
+            break
+    return slope, intercept

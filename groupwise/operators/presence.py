@@ -80,3 +80,27 @@ def starting_groups(df: DataFrame, group: list[str], clock: str, event: str, mem
     solved = df.select(*group, clock, event, member, kind).groupBy(*group).applyInPandas(solve, f"{kinds}, members array<{of}>, status string, n_violations int, n_solutions int")
     quality = F.when(F.col("status").isin("EXACT", "SOLVED"), "VALID").when(F.col("status").isin("REPAIRED", "AMBIGUOUS"), "IMPUTED").otherwise("QUARANTINED")
     return solved.withColumn("quality", quality)
+
+
+def floor_after(df: DataFrame, starts: DataFrame, group: list[str], clock: str, event: str, member: str, kind: str) -> DataFrame:
+    """(group, event, members): who is there after each event row, sorted; null where the period has no starting group.
+
+    A row's members leave before its others enter. starts is starting_groups' result. Periods without facts have no rows.
+    """
+    kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in group)
+    of = df.schema[member].dataType.simpleString()
+
+    def replay(key: tuple, rows: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
+        first = start["members"].iloc[0] if len(start) else None
+        there = None if first is None else set(list(first))
+        rows = rows.sort_values([clock, event], ascending=[False, True], kind="stable")
+        out = []
+        for at, own in rows.groupby(event, sort=False):
+            if there is not None:
+                there -= set(own.loc[own[kind].isin(("OUT", "EJECT")), member])
+                there |= set(own.loc[own[kind] == "IN", member])
+            out.append([*key, at, None if there is None else sorted(there)])
+        return pd.DataFrame(out, columns=[*group, event, "members"])
+
+    facts_ = df.select(*group, clock, event, member, kind).groupBy(*group)
+    return facts_.cogroup(starts.select(*group, "members").groupBy(*group)).applyInPandas(replay, f"{kinds}, {event} {df.schema[event].dataType.simpleString()}, members array<{of}>")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groupwise.functions import columns as C
-from groupwise.operators import aggregate, answers, gates, metrics, models, presence, priors, retrieval, sequence
+from groupwise.operators import aggregate, answers, gates, metrics, models, plays, presence, priors, retrieval, sequence
 from groupwise.plans.roles import GROUPS_SQL, SHOTS_SQL, assertions, possessions, shots, table
 
 QUERIES: dict = {}
@@ -297,21 +297,55 @@ def ridge_penalties(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(best["own"], best["other"], round(float(error), 6))], "own double, other double, held_out_error double")
 
 
-@query()
-def zone_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Choice of a zone from eight constants and the shooter's log share of the zone against the whole's."""
+def _zone_choice(spark: SparkSession, sf_dir: str):
+    """(designs by shooter, theta, covariance, mean loss): eight zone constants and the shooter's log share of a zone against the whole's."""
     s = shots(spark, sf_dir)
     mix = priors.shrink_mixes(aggregate.category_mix(s, "shooter_id", "zone_id", list(C.ZONES)).select("shooter_id", *(F.col(f"n_{z}").alias(z) for z in C.ZONES)), list(C.ZONES))
     whole = s.agg(*(F.avg((F.col("zone_id") == z).cast("double")).alias(f"all_{z}") for z in C.ZONES))
     ratio = F.array(*(F.ln(F.greatest(F.col(f"mix_{z}"), F.lit(1e-9)) / F.greatest(F.col(f"all_{z}"), F.lit(1e-9))) for z in C.ZONES))
-    rows = s.select("shooter_id", (F.array_position(F.array(*map(F.lit, C.ZONES)), F.col("zone_id")) - 1).alias("chosen")).join(mix.crossJoin(F.broadcast(whole)).select("shooter_id", ratio.alias("ratio")), "shooter_id")
     design = F.flatten(F.array(*(F.concat(F.array(*(F.lit(1.0 if j == i else 0.0) for j in range(1, len(C.ZONES)))), F.array(F.get("ratio", F.lit(i)))) for i in range(len(C.ZONES)))))
-    theta, covariance, loss = models.fit_choice(rows.select(design.alias("x"), "chosen"), "x", "chosen", len(C.ZONES), len(C.ZONES), free=tuple(range(len(C.ZONES) - 1)))
+    designs = mix.crossJoin(F.broadcast(whole)).select("shooter_id", ratio.alias("ratio")).select("shooter_id", design.alias("x")).persist()
+    rows = s.select("shooter_id", (F.array_position(F.array(*map(F.lit, C.ZONES)), F.col("zone_id")) - 1).alias("chosen")).join(designs, "shooter_id")
+    return designs, *models.fit_choice(rows.select("x", "chosen"), "x", "chosen", len(C.ZONES), len(C.ZONES), free=tuple(range(len(C.ZONES) - 1)))
+
+
+@query()
+def zone_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, theta, covariance, loss = _zone_choice(spark, sf_dir)
     names = [f"constant_{z}" for z in C.ZONES[1:]] + ["shooter_mix"]
     audit = models.sign_audit(names, theta, covariance.diagonal() ** 0.5, [1] * len(names))
     return spark.createDataFrame([(n, round(t, 4), round(e, 4), v, round(float(loss), 6)) for n, t, e, v in audit], "term string, estimate double, error double, verdict string, log_loss double")
 
 
+def _prices(spark: SparkSession, sf_dir: str) -> list[float]:
+    surface = {r["zone_id"]: float(r["ppa"]) for r in aggregate.zone_surface(shots(spark, sf_dir)).collect()}
+    return [surface.get(z, 0.0) for z in C.ZONES]
+
+
+@query()
+def ranked_plays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each shooter, the zones' worth a hundred attempts, in bands that the evidence separates."""
+    designs, theta, covariance, _ = _zone_choice(spark, sf_dir)
+    return rounded(plays.rank_plays(designs, "shooter_id", "x", list(C.ZONES), theta, covariance, _prices(spark, sf_dir)), 4)
+
+
+@query()
+def shooter_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each shooter against the one with the next id."""
+    designs, theta, covariance, _ = _zone_choice(spark, sf_dir)
+    both = designs.join(designs.select((F.col("shooter_id") - 1).alias("shooter_id"), F.col("x").alias("other")), "shooter_id")
+    return rounded(plays.compare(both, "shooter_id", "x", "other", list(C.ZONES), theta, covariance, _prices(spark, sf_dir)), 4)
+
+
+@query()
+def floor_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Who is there after each event, where a period's starting group is known."""
+    rows = assertions(spark, sf_dir)
+    keys = (["day", "period"], "clock", "event_id", "user_id", "kind")
+    found = presence.floor_after(rows, presence.starting_groups(rows, *keys), *keys)
+    return found.withColumn("members", F.array_join(F.col("members").cast("array<string>"), ","))
+
+
 # ---- Splits and metrics
 
 

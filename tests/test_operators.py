@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from groupwise.functions import columns as C
-from groupwise.operators import aggregate, answers, gates, metrics, models, presence, priors, retrieval, sequence
+from groupwise.operators import aggregate, answers, gates, metrics, models, plays, presence, priors, retrieval, sequence
 from groupwise.sources import tables
 
 
@@ -347,3 +347,44 @@ def test_table_definitions(spark):
     assert answers.create_table(df.schema, "t", ["season"]) == "CREATE TABLE t (\n  a BIGINT,\n  l ARRAY<STRING>,\n  season INT\n) USING parquet\nPARTITIONED BY (season)"
     with pytest.raises(ValueError, match="not supported"):
         answers.create_table(spark.createDataFrame([], "d date").schema, "t", [])
+
+
+def test_ranked_plays_and_comparisons(spark):
+    names, theta, prices = ["a", "b", "c"], np.array([1.0, -0.5]), [2.0, 3.0, 1.0]
+    cov = np.array([[0.02, 0.005], [0.005, 0.03]])
+    rnd = np.random.default_rng(3)
+    x = rnd.normal(size=(4, 6))
+    df = spark.createDataFrame([(i, v.tolist(), w.tolist()) for i, (v, w) in enumerate(zip(x, x[[1, 0, 2, 3]], strict=True))], "i int, l array<double>, r array<double>")
+
+    def worth(v, t):
+        u = np.exp(v.reshape(3, 2) @ t)
+        return 100 * np.array(prices) * u / u.sum()
+
+    for r in plays.rank_plays(df, "i", "l", names, theta, cov, prices).collect():
+        k, step = names.index(r.choice), 1e-6
+        grad = np.array([(worth(x[r.request], theta + step * e)[k] - worth(x[r.request], theta - step * e)[k]) / (2 * step) for e in np.eye(2)])
+        assert r.value == pytest.approx(worth(x[r.request], theta)[k]) and r.error == pytest.approx((grad @ cov @ grad) ** 0.5, rel=1e-4)
+        assert r.band is None or 1 <= r.band <= 3
+    got = {(r.request, r.choice): r for r in plays.compare(df, "i", "l", "r", names, theta, cov, prices).collect()}
+    for c in [*names, "total"]:
+        assert got[0, c].delta == pytest.approx(-got[1, c].delta) and got[0, c].error == pytest.approx(got[1, c].error)
+        assert got[2, c].delta == 0 and got[2, c].error == 0 and not got[2, c].separable
+    assert got[0, "total"].delta == pytest.approx(sum(got[0, c].delta for c in names)) and sum(got[0, c].delta_share for c in names) == pytest.approx(0)
+
+
+def test_calibration_slope(spark):
+    rnd = np.random.default_rng(4)
+    logits = rnd.normal(size=5000)
+    y = rnd.random(5000) < 1 / (1 + np.exp(-(0.5 * logits + 0.3)))
+    df = spark.createDataFrame([(int(a), float(1 / (1 + np.exp(-b)))) for a, b in zip(y, logits, strict=True)], "y int, p double")
+    slope, intercept = metrics.calibration_slope(df, "y", "p")
+    assert slope == pytest.approx(0.5, abs=0.08) and intercept == pytest.approx(0.3, abs=0.08)
+    assert metrics.calibration_slope(df.where("y = 1"), "y", "p") is None
+
+
+def test_the_floor_after_each_event(spark):
+    rows = [(1, 700, e, m, "EV") for e, m in enumerate([1, 2, 3, 4, 5])] + [(1, 400, 9, 1, "OUT"), (1, 400, 9, 6, "IN"), (2, 700, 0, 9, "IN")]
+    df = spark.createDataFrame(rows, "g int, clock int, e int, m long, k string")
+    starts = presence.starting_groups(df, ["g"], "clock", "e", "m", "k")
+    got = {(r.g, r.e): r.members for r in presence.floor_after(df, starts, ["g"], "clock", "e", "m", "k").collect()}
+    assert got[1, 0] == [1, 2, 3, 4, 5] and got[1, 9] == [2, 3, 4, 5, 6] and got[2, 0] is None
