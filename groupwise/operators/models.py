@@ -131,10 +131,10 @@ def effects(df: DataFrame, blocks: dict[str, str], y: str, penalties: dict[str,
     return df.sparkSession.createDataFrame(rows, "block string, member long, effect double, error double, low double, high double, includes_zero boolean")
 
 
-def choice_step(df: DataFrame, design: str, chosen: str, theta: np.ndarray, n_choices: int) -> tuple[float, np.ndarray, np.ndarray, int]:
+def choice_step(df: DataFrame, design: str, chosen: str, theta: np.ndarray, n_choices: int, weight: str | None = None) -> tuple[float, np.ndarray, np.ndarray, int]:
     """Negative log likelihood, gradient, information and rows of a conditional logit at theta, as sums of per-partition sums.
 
-    design is a flat array of n_choices * p numbers a row, chosen the index of the choice made.
+    design is a flat array of n_choices * p numbers a row, chosen the index of the choice made, weight how many equal rows a row stands for.
     """
     p = len(theta)
 
@@ -144,30 +144,31 @@ def choice_step(df: DataFrame, design: str, chosen: str, theta: np.ndarray, n_ch
             if not batch.num_rows:
                 continue
             x = np.asarray(batch.column(0).flatten()).reshape(batch.num_rows, n_choices, p)
-            y = batch.column(1).to_numpy()
+            y, w = batch.column(1).to_numpy(), batch.column(2).to_numpy()
             u = x @ theta
             u -= u.max(axis=1, keepdims=True)
             q = np.exp(u)
             q /= q.sum(axis=1, keepdims=True)
-            loss -= np.log(np.maximum(q[np.arange(len(y)), y], 1e-300)).sum()
+            loss -= w @ np.log(np.maximum(q[np.arange(len(y)), y], 1e-300))
             mean = np.einsum("nk,nkp->np", q, x)
-            grad += (mean - x[np.arange(len(y)), y]).sum(axis=0)
-            info += np.einsum("nk,nkp,nkq->pq", q, x, x) - mean.T @ mean
-            n += len(y)
+            grad += w @ (mean - x[np.arange(len(y)), y])
+            info += np.einsum("n,nk,nkp,nkq->pq", w, q, x, x, optimize=True) - (mean * w[:, None]).T @ mean
+            n += w.sum()
         yield pa.RecordBatch.from_pydict({"at": pa.array(range(2 + p + p * p), pa.int64()), "v": np.concatenate(([loss, n], grad, info.ravel()))})
 
-    rows = df.select(F.col(design).cast("array<double>"), F.col(chosen).cast("int")).mapInArrow(part, "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).collect()
+    rows = df.select(F.col(design).cast("array<double>"), F.col(chosen).cast("int"), (F.col(weight) if weight else F.lit(1)).cast("double")).mapInArrow(part, "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).collect()
     v = np.zeros(2 + p + p * p)
     for r in rows:
         v[r["at"]] = r["v"]
     return v[0], v[2 : 2 + p], v[2 + p :].reshape(p, p), int(v[1])
 
 
-def fit_choice(df: DataFrame, design: str, chosen: str, p: int, n_choices: int, l2: float = 1e-4, free: tuple[int, ...] = (), steps: int = 30) -> tuple[np.ndarray, np.ndarray, float]:
-    """(theta, covariance, mean loss) of a conditional logit by Newton steps; parameters in `free` have no penalty. One pass over rows a step."""
+def fit_choice(df: DataFrame, design: str, chosen: str, p: int, n_choices: int, l2: float = 1e-4, free: tuple[int, ...] = (), steps: int = 30, weight: str | None = None) -> tuple[np.ndarray, np.ndarray, float]:
+    """(theta, covariance, mean loss) of a conditional logit by Newton steps; parameters in `free` have no penalty. One pass over rows a step, which are kept between steps."""
+    df = df.select(design, chosen, *([weight] if weight else [])).persist()
     theta, penalty = np.zeros(p), np.array([0.0 if i in free else l2 for i in range(p)])
     for _ in range(steps):
-        loss, grad, info, n = choice_step(df, design, chosen, theta, n_choices)
+        loss, grad, info, n = choice_step(df, design, chosen, theta, n_choices, weight)
         if not n:
             return theta, np.zeros((p, p)), 0.0
         system = info + np.diag(n * penalty + 1e-12)
@@ -175,6 +176,7 @@ def fit_choice(df: DataFrame, design: str, chosen: str, p: int, n_choices: int,
         if np.abs(step).max() < 1e-9:
             break
         theta = theta - step
+    df.unpersist()
     inverse = np.linalg.inv(system)
     return theta, inverse @ info @ inverse, loss / n
 

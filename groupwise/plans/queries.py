@@ -305,8 +305,8 @@ def _zone_choice(spark: SparkSession, sf_dir: str):
     ratio = F.array(*(F.ln(F.greatest(F.col(f"mix_{z}"), F.lit(1e-9)) / F.greatest(F.col(f"all_{z}"), F.lit(1e-9))) for z in C.ZONES))
     design = F.flatten(F.array(*(F.concat(F.array(*(F.lit(1.0 if j == i else 0.0) for j in range(1, len(C.ZONES)))), F.array(F.get("ratio", F.lit(i)))) for i in range(len(C.ZONES)))))
     designs = mix.crossJoin(F.broadcast(whole)).select("shooter_id", ratio.alias("ratio")).select("shooter_id", design.alias("x")).persist()
-    rows = s.select("shooter_id", (F.array_position(F.array(*map(F.lit, C.ZONES)), F.col("zone_id")) - 1).alias("chosen")).join(designs, "shooter_id")
-    return designs, *models.fit_choice(rows.select("x", "chosen"), "x", "chosen", len(C.ZONES), len(C.ZONES), free=tuple(range(len(C.ZONES) - 1)))
+    attempts = s.groupBy("shooter_id", (F.array_position(F.array(*map(F.lit, C.ZONES)), F.col("zone_id")) - 1).alias("chosen")).agg(F.count("*").alias("n"))
+    return designs, *models.fit_choice(attempts.join(designs, "shooter_id"), "x", "chosen", len(C.ZONES), len(C.ZONES), free=tuple(range(len(C.ZONES) - 1)), weight="n")
 
 
 @query()
