@@ -220,37 +220,53 @@ def _shared_lists(postings: DataFrame) -> DataFrame:
     return postings.repartition("shingle").sortWithinPartitions("shingle", "key").mapInArrow(run, schema)
 
 
-def _open_pairs(lists: DataFrame, comp: DataFrame) -> DataFrame:
-    """Pairs (a, b) on one list whose classes aren't yet in one component, but those with the list's first class, which were verified."""
-    named = lists.join(comp.withColumnRenamed("node", "key"), "key", "left").select("shingle", F.coalesce("component", "key").alias("component"), "key", "first")
+def least_shared(n_a, n_b, percent: int = PERCENT):
+    """How many merged lists two linked sets of these sizes share at least: whatever they have in common beyond lies past one's prefix."""
+    need = -(-percent * (n_a + n_b) // (100 + percent))
+    past = np.maximum(-(-percent * n_a // 100), -(-percent * n_b // 100)) - 1
+    return np.maximum(1, need - past)
+
+
+def _open_pairs(lists: DataFrame, comp: DataFrame, members: DataFrame) -> DataFrame:
+    """Pairs (a, b) of classes that aren't yet in one component and share as many merged lists as their sizes ask for."""
+    sized = lists.select("shingle", "key").join(members.select("key", "n"), "key")
+    named = sized.join(comp.withColumnRenamed("node", "key"), "key", "left").select("shingle", F.coalesce("component", "key").alias("component"), "key", "n")
     open_ = named.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("shingle")
-    schema = _longs("a", "b")
+    schema = _longs("a", "b", "n_a", "n_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for s, c, k, first in _lists(batches):
+        for s, c, k, n in _lists(batches):
             starts = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
-            a_out, b_out, held = [], [], 0
+            out, held = [], 0
             for low, high in zip(starts.tolist(), [*starts[1:].tolist(), len(s)], strict=True):
-                own = np.flatnonzero(k[low:high] != first[low:high]) + low
-                cc, kk = c[own], k[own]
-                for i in range(len(own) - 1):
-                    other = kk[i + 1 :][cc[i + 1 :] != cc[i]]
-                    a_out.append(np.minimum(kk[i], other))
-                    b_out.append(np.maximum(kk[i], other))
-                    held += len(other)
+                cc, kk, nn = c[low:high], k[low:high], n[low:high]
+                for i in range(high - low - 1):
+                    fits = (cc[i + 1 :] != cc[i]) & (100 * np.minimum(nn[i + 1 :], nn[i]) >= PERCENT * np.maximum(nn[i + 1 :], nn[i]))
+                    other, size = kk[i + 1 :][fits], nn[i + 1 :][fits]
+                    if len(other):
+                        first = kk[i] < other
+                        out.append((np.where(first, kk[i], other), np.where(first, other, kk[i]), np.where(first, nn[i], size), np.where(first, size, nn[i])))
+                        held += len(other)
                     if held > 200_000:
-                        yield _batch([np.concatenate(a_out), np.concatenate(b_out)], schema)
-                        a_out, b_out, held = [], [], 0
+                        yield _batch([np.concatenate(x) for x in zip(*out, strict=True)], schema)
+                        out, held = [], 0
             if held:
-                yield _batch([np.concatenate(a_out), np.concatenate(b_out)], schema)
+                yield _batch([np.concatenate(x) for x in zip(*out, strict=True)], schema)
+
+    def often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, n_a, n_b, shared = (x.to_numpy() for x in batch.columns)
+            kept = shared >= least_shared(n_a, n_b)
+            yield _batch([a[kept], b[kept]], _longs("a", "b"))
 
-    kept = named.join(open_, "shingle", "left_semi").select("shingle", "component", "key", "first")
-    return kept.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(run, schema).distinct()
+    kept = named.join(open_, "shingle", "left_semi").select("shingle", "component", "key", "n")
+    pairs = kept.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(run, schema)
+    return pairs.groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("shared")).mapInArrow(often, _longs("a", "b"))
 
 
 def _possible(pairs: DataFrame, members: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sizes and parity bits allow a link."""
-    side = lambda c: members.select(F.col("key").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
+    side = lambda c, what: members.select(F.col("key").alias(c), F.col(what).alias(f"{what}_{c}"))
     schema = _longs("a", "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,14 +275,15 @@ def _possible(pairs: DataFrame, members: DataFrame) -> DataFrame:
             yield _batch([[k[0] for k in kept], [k[1] for k in kept]], schema)
 
     near = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * PERCENT
-    joined = pairs.join(side("b"), "b").join(side("a"), "a").where(near)
+    joined = pairs.join(side("b", "n"), "b").join(side("a", "n"), "a").where(near).join(side("a", "bits"), "a").join(side("b", "bits"), "b")
     return joined.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(run, schema)
 
 
 def _verified(pairs: DataFrame, members: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) that link, by the sets of their texts."""
     pairs = stored(pairs, "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(members, "key").select("doc_id", "key")
+    # stored, so that Spark knows its size and sends it whole to the texts where it is below the broadcast threshold
+    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(members, "key").select("doc_id", "key"), "wanted")
     texts = stored(_texts(docs, wanted), "texts")
     of = lambda side: texts.select(F.col("key").alias(side), F.col("text").alias(f"text_{side}"))
     schema = _longs("a", "b")
@@ -292,8 +309,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
     Equal sets are one class, told apart by a 64-bit hash and their size, and one row stands for it. First each class
     is compared with the first one of each list it is on; these few pairs a document join the bulk of every group. Then
-    the pairs of each list that aren't yet in one component are compared, so that no link between components is lost and
-    a group's copies are not compared all with all. No partner is capped.
+    the pairs that aren't yet in one component and share as many lists as a link asks for are compared, so that no link
+    between components is lost and a group's copies are not compared all with all. No partner is capped.
     Null, empty or wordless texts have 0 shingles and stand alone; repeated rows are one class; a row without doc_id has
     no place among the components and gets its class's. An empty table gives an empty result.
     """
@@ -308,7 +325,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     members = lists.select("key").distinct().join(classes, "key")
     stars = lists.where("key <> first").select(F.col("first").alias("a"), F.col("key").alias("b")).distinct()
     links = stored(_verified(_possible(stars, members), members, docs), "stars")
-    more = _possible(_open_pairs(lists, components(links)), members)
+    more = _possible(_open_pairs(lists, components(links), members), members)
     links = links.union(stored(_verified(more, members, docs), "open"))
     comp = stored(components(links), "components")
     named = comp.join(classes.withColumnRenamed("key", "node"), "node").select("node", "component", "doc_id")

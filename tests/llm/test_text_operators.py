@@ -300,3 +300,13 @@ def test_parity_bits_rule_out_no_link(a, more, gone):
     x, y = (np.array(sorted(s), np.int64) for s in (a, b))
     if jaccard.linked(x, y):
         assert jaccard.may_link(len(x), jaccard.parity_bits(x), len(y), jaccard.parity_bits(y))
+
+
+@given(st.sets(st.integers(0, 400), min_size=1, max_size=120), st.sets(st.integers(0, 400), max_size=15), st.integers(0, 15))
+@settings(max_examples=500, deadline=None)
+def test_linked_sets_share_enough_of_their_prefixes(a, more, gone):
+    x, y = (np.array(sorted(s), np.int64) for s in (a, set(sorted(a)[gone:]) | more))
+    if jaccard.linked(x, y):
+        long = np.arange(0, 400, 7)
+        shared = len(set(jaccard.prefix(x, long)) & set(jaccard.prefix(y, long)))
+        assert shared >= jaccard.least_shared(len(x), len(y))
