@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groupwise.functions import columns as C
-from groupwise.operators import aggregate, answers, gates, metrics, models, plays, presence, priors, retrieval, sequence
+from groupwise.operators import aggregate, answers, features, gates, metrics, models, plays, presence, priors, retrieval, sequence
 from groupwise.plans.roles import GROUPS_SQL, SHOTS_SQL, assertions, possessions, shots, table
 
 QUERIES: dict = {}
@@ -200,6 +200,66 @@ def swap_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(answers.project_swaps(scenarios, fit, ("own", "other")), 4)
 
 
+@query(f"""WITH {GROUPS_SQL}, r AS (SELECT 1 + l_suppkey % 8 AS member, avg(CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END) AS rate FROM lineitem WHERE l_suppkey % 8 <> 3 GROUP BY 1 + l_suppkey % 8),
+e AS (SELECT game_id, own[1] AS gone, unnest(own) AS member FROM possessions)
+SELECT game_id, round(avg(coalesce(rate, 0.25)), 6) AS mean, round(min(coalesce(rate, 0.25)), 6) AS least, round(sum(coalesce(rate, 0.25)), 6) AS total FROM e LEFT JOIN r ON e.member = r.member WHERE e.member <> gone GROUP BY game_id""")
+def member_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rates = table(spark, sf_dir, "lineitem").where("l_suppkey % 8 <> 3").groupBy((1 + F.col("l_suppkey") % 8).alias("member")).agg(F.avg((F.col("l_returnflag") == "R").cast("double")).alias("rate"))
+    rows = possessions(spark, sf_dir).withColumn("gone", F.get("own", F.lit(0)))
+    return rounded(features.member_lookup(rows, "game_id", "own", rates, 0.25, without="gone"))
+
+
+@query(f"""WITH {GROUPS_SQL} SELECT count(*) AS n, round(avg(CASE WHEN own_key IS NOT NULL THEN 1.0 ELSE 0.0 END), 6) AS covered, round(avg(points), 6) AS mean_length, CAST(median(points) AS DOUBLE) AS median_length,
+  round(avg(CASE WHEN offense_team_id < 10 THEN points END), 6) AS live_points, round(avg(CASE WHEN offense_team_id >= 10 THEN points END), 6) AS set_points FROM possessions""")
+def possession_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(features.possession_summary(possessions(spark, sf_dir), "points", "points", F.col("offense_team_id") < 10, F.col("own_key").isNotNull()))
+
+
+@query("""WITH v AS (SELECT o_custkey AS unit, epoch(o_orderdate) AS t, o_totalprice AS price FROM orders),
+k AS (SELECT unit, (min(t) + max(t)) / 2 AS cutoff FROM v GROUP BY unit)
+SELECT v.unit, count(CASE WHEN t < cutoff THEN 1 END) AS n_before, round(avg(CASE WHEN t < cutoff THEN price END), 4) AS before, count(CASE WHEN t >= cutoff THEN 1 END) AS n_after, round(avg(CASE WHEN t >= cutoff THEN price END), 4) AS after
+FROM v JOIN k ON v.unit = k.unit GROUP BY v.unit""")
+def before_and_after(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', o_orderdate) / 1e6D")
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("unit"), at.alias("at"), F.col("o_totalprice").alias("price"))
+    cutoffs = rows.groupBy("unit").agg(((F.min("at") + F.max("at")) / 2).alias("cutoff"))
+    return rounded(features.before_and_after(rows, cutoffs, "unit", "at", "price", "cutoff"), 4)
+
+
+@query("""WITH o AS (SELECT o_custkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS r, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders),
+c AS (SELECT o_custkey, avg(CASE WHEN r * 2 > n THEN o_totalprice END) - avg(CASE WHEN r * 2 <= n THEN o_totalprice END) AS change FROM o WHERE n >= 10 GROUP BY o_custkey)
+SELECT count(*) AS units, round(stddev_samp(change), 4) AS sd FROM c""")
+def change_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(features.change_noise(table(spark, sf_dir, "orders"), "o_custkey", ["o_orderdate", "o_orderkey"], "o_totalprice", 10), 4)
+
+
+@query("""WITH r AS (SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS a, count(*) OVER () AS n FROM orders)
+SELECT o_orderkey, CASE WHEN a <= 100 THEN 'head' ELSE 'tail' END AS "end" FROM r WHERE a <= 100 OR a > n - 100""")
+def first_and_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.first_and_last(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), 100, "o_totalprice", "o_orderkey").select("o_orderkey", "end")
+
+
+@query(f"""{_PRIOR_SQL}, t AS (SELECT * FROM shots WHERE game_id % 5 = 0), tz AS (SELECT zone_id, avg(CAST(made AS INT)) AS c FROM shots GROUP BY zone_id),
+sr AS (SELECT k.shooter_id, k.zone_id, (makes + prior_mean * s) / (attempts + s) AS m FROM k JOIN pr ON k.zone_id = pr.zone_id)
+SELECT round(avg(-(CAST(made AS INT) * ln(c) + (1 - CAST(made AS INT)) * ln(1 - c))), 6) AS category_loss, round(avg(-(CAST(made AS INT) * ln(m) + (1 - CAST(made AS INT)) * ln(1 - m))), 6) AS member_loss, count(*) AS n
+FROM t JOIN tz ON t.zone_id = tz.zone_id JOIN sr ON t.zone_id = sr.zone_id AND t.shooter_id = sr.shooter_id""")
+def baseline_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = shots(spark, sf_dir)
+    shrunk = priors.shrink_rates(_makes(spark, sf_dir), "makes", "attempts", ["zone_id"])
+    scored = features.baselines(s, s.where("game_id % 5 = 0"), "shooter_id", "zone_id", "made", shrunk)
+    y = F.col("made").cast("int")
+    return rounded(scored.agg(metrics.log_loss(y, F.col("p_category")).alias("category_loss"), metrics.log_loss(y, F.col("p_member")).alias("member_loss"), F.count("*").alias("n")))
+
+
+@query(f"""WITH {GROUPS_SQL}, q AS (SELECT game_id, own, other, own[1] + unit % 3 AS member, unit % 30 AS seconds FROM possessions),
+f AS (SELECT CASE WHEN NOT list_contains(own, member) THEN 'member not in the offence' WHEN seconds > 24 THEN 'clock out of range' ELSE 'valid' END AS fault FROM q)
+SELECT fault, count(*) AS n FROM f GROUP BY fault""")
+def request_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = possessions(spark, sf_dir).withColumn("member", F.get("own", F.lit(0)) + F.col("unit") % 3).withColumn("seconds", F.col("unit") % 30)
+    fault = F.coalesce(features.request_fault(F.col("own"), F.col("other"), F.col("member"), F.col("seconds")), F.lit("valid"))
+    return asked.groupBy(fault.alias("fault")).agg(F.count("*").alias("n"))
+
+
 # ---- Sequences
 
 

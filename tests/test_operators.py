@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from groupwise.functions import columns as C
-from groupwise.operators import aggregate, answers, gates, metrics, models, plays, presence, priors, retrieval, sequence
+from groupwise.operators import aggregate, answers, features, gates, metrics, models, plays, presence, priors, retrieval, sequence
 from groupwise.sources import tables
 
 
@@ -388,3 +388,48 @@ def test_the_floor_after_each_event(spark):
     starts = presence.starting_groups(df, ["g"], "clock", "e", "m", "k")
     got = {(r.g, r.e): r.members for r in presence.floor_after(df, starts, ["g"], "clock", "e", "m", "k").collect()}
     assert got[1, 0] == [1, 2, 3, 4, 5] and got[1, 9] == [2, 3, 4, 5, 6] and got[2, 0] is None
+
+
+# ---- Features
+
+
+def test_request_faults(spark):
+    five = [1, 2, 3, 4, 5]
+    rows = [(five, [6, 7, 8, 9, 10], 1, 10), (five, [], 1, None), (five, None, None, 0), ([1, 2], [], 1, 1), (five, [6, 7], 1, 1), (five, [5, 7, 8, 9, 10], 1, 1), (five, [], 9, 1), (five, [], 1, 25)]
+    got = values(spark, rows, "o array<bigint>, d array<bigint>, m bigint, s int", features.request_fault(F.col("o"), F.col("d"), F.col("m"), F.col("s")))
+    assert [g[0] for g in got] == [None, None, None, "offence: wrong size", "defence: wrong size", "a member on both sides", "member not in the offence", "clock out of range"]
+
+
+def test_flags_sides_and_scores(spark):
+    df = spark.createDataFrame([("steal", 3, 100, 4, 2), ("made shot", 20, 100, 4, 10), (None, None, None, None, None)], "t string, s int, c int, p int, m int")
+    got = features.play_flags(df, "t", "s", "c", "p", "m").collect()
+    assert [(r.live_ball, r.transition, r.late_clock, r.clutch) for r in got] == [(1, 1, 0, 1), (0, 0, 1, 0), (0, 0, 0, 0)]
+    sides = values(spark, [(True, [1], [2]), (False, [1], [2]), (None, [1], [2])], "h boolean, a array<int>, b array<int>", *features.by_side(F.col("h"), F.col("a"), F.col("b")))
+    assert sides == [([1], [2]), ([2], [1]), (None, None)]
+    z = features.standardised(spark.createDataFrame([(1.0,), (3.0,), (None,)], "v double"), "v", spark.createDataFrame([(1.0,), (3.0,)], "v double"))
+    assert [r.v_z for r in z.collect()] == [-1.0, 1.0, 0.0]
+
+
+def test_canonical_order_puts_nulls_last(spark):
+    rows = [("g", 1, 10, 2), ("g", 1, 700, 1), (None, 1, 5, 1), ("g", 1, None, 3), ("g", 2, 720, 9)]
+    got = spark.createDataFrame(rows, "g string, p int, c int, e int").orderBy(*features.canonical_order("g", "p", "c", "e")).collect()
+    assert [r.e for r in got] == [1, 2, 3, 9, 1]
+
+
+def test_split_half_is_that_of_averaged_ranks(spark):
+    rnd = np.random.default_rng(6)
+    x = rnd.integers(0, 8, 200).astype(float)
+    y = x + rnd.normal(0, 2, 200)
+    a = spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "k int, v double")
+    b = spark.createDataFrame([(i, float(v)) for i, v in enumerate(y)], "k int, v double")
+    got = features.split_half(a, b, "k", "v").first()
+    rank = lambda v: np.array([(v < u).sum() + ((v == u).sum() + 1) / 2 for u in v])
+    assert got.pearson == pytest.approx(np.corrcoef(x, y)[0, 1]) and got.spearman == pytest.approx(np.corrcoef(rank(x), rank(y))[0, 1])
+    assert got.corrected == pytest.approx(2 * got.pearson / (1 + got.pearson))
+
+
+def test_member_lookup_leaves_the_named_one_out(spark):
+    df = spark.createDataFrame([(1, [1, 2, 3], 1), (2, [4, 5], None)], "r int, m array<int>, o int")
+    rates = spark.createDataFrame([(1, 0.9), (2, 0.5), (4, 0.1)], "member int, rate double")
+    got = {r.r: (r["mean"], r.least, r.total) for r in features.member_lookup(df, "r", "m", rates, 0.3, "o").collect()}
+    assert got[1] == pytest.approx((0.4, 0.3, 0.8)) and got[2] == pytest.approx((0.2, 0.1, 0.4))
