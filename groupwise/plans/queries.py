@@ -215,15 +215,15 @@ def possession_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(features.possession_summary(possessions(spark, sf_dir), "points", "points", F.col("offense_team_id") < 10, F.col("own_key").isNotNull()))
 
 
-@query("""WITH v AS (SELECT o_custkey AS unit, epoch(o_orderdate) AS t, o_totalprice AS price FROM orders),
+@query("""WITH v AS (SELECT o_custkey AS unit, epoch(o_orderdate) AS t, CAST(round(o_totalprice * 100) AS BIGINT) AS price FROM orders),
 k AS (SELECT unit, (min(t) + max(t)) / 2 AS cutoff FROM v GROUP BY unit)
-SELECT v.unit, count(CASE WHEN t < cutoff THEN 1 END) AS n_before, round(avg(CASE WHEN t < cutoff THEN price END), 4) AS before, count(CASE WHEN t >= cutoff THEN 1 END) AS n_after, round(avg(CASE WHEN t >= cutoff THEN price END), 4) AS after
+SELECT v.unit, count(CASE WHEN t < cutoff THEN 1 END) AS n_before, round(avg(CASE WHEN t < cutoff THEN price END), 6) AS before, count(CASE WHEN t >= cutoff THEN 1 END) AS n_after, round(avg(CASE WHEN t >= cutoff THEN price END), 6) AS after
 FROM v JOIN k ON v.unit = k.unit GROUP BY v.unit""")
 def before_and_after(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', o_orderdate) / 1e6D")
-    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("unit"), at.alias("at"), F.col("o_totalprice").alias("price"))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("unit"), at.alias("at"), F.round(F.col("o_totalprice") * 100).cast("long").alias("price"))
     cutoffs = rows.groupBy("unit").agg(((F.min("at") + F.max("at")) / 2).alias("cutoff"))
-    return rounded(features.before_and_after(rows, cutoffs, "unit", "at", "price", "cutoff"), 4)
+    return rounded(features.before_and_after(rows, cutoffs, "unit", "at", "price", "cutoff"), 6)
 
 
 @query("""WITH o AS (SELECT o_custkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS r, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders),
