@@ -102,6 +102,19 @@ def _banded(s: Column, edits: int, width: int, full: int, top: int, long_) -> Co
     return F.aggregate(F.sequence(F.lit(1), s["n"]), begin, step)["score"]
 
 
+#: Letters whose counts tell two lines apart before their distance is computed; any choice gives the same result.
+COUNTED_LETTERS = "etaonirshdlu"
+
+
+def letters_allow(a: Column, b: Column, edits: int = EDITS) -> Column:
+    """False only if the counts of letters differ by more than the edits can change them, an edit two counts by one."""
+    count = lambda x, c: F.length(x) - F.length(F.replace(x, F.lit(c), F.lit("")))
+    apart = F.lit(0)
+    for c in COUNTED_LETTERS:
+        apart = apart + F.abs(count(a, c) - count(b, c))
+    return apart <= 2 * edits
+
+
 def _lines(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no, line) of every line, a null text being one empty line."""
     return docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
@@ -135,7 +148,8 @@ def line_flags(docs: DataFrame, edits: int = EDITS, least_chars: int = LEAST_CHA
     pairs = indexed.join(probing, "key").where("r <> s").select(F.least("r", "s").alias("r"), F.greatest("r", "s").alias("s")).distinct()
     side = lambda c: distinct.select(F.col("hash").alias(c), F.col("best").alias(f"best_{c}"))
     both = pairs.join(side("r"), "r").join(side("s"), "s")
-    near = both.where(within_edits(F.col("best_r.line"), F.col("best_s.line"), edits))
+    r, s = F.col("best_r.line"), F.col("best_s.line")
+    near = both.where(F.when(letters_allow(r, s, edits), within_edits(r, s, edits)))
     later = F.when(F.col("best_s") > F.col("best_r"), F.col("s")).otherwise(F.col("r"))
     dropped = stored(near.select(later.alias("hash")).distinct(), "near-lines").withColumn("near", F.lit(True))
     firsts = every.where(counted).groupBy("hash").agg(F.min(place).alias("first"), F.count("*").alias("copies"))
