@@ -26,7 +26,8 @@ def segments(edits: int, length: Column) -> list[tuple[Column, Column]]:
 
 
 def _key(length: Column, i: int, part: Column) -> Column:
-    return F.xxhash64(length.cast("int"), F.lit(i), part)
+    # 48 bits: what meets by chance is told apart by its counts and its text
+    return F.xxhash64(length.cast("int"), F.lit(i), part).bitwiseAND(F.lit((1 << 48) - 1))
 
 
 def index_keys(line: Column, n: Column, edits: int = EDITS) -> Column:
@@ -102,16 +103,26 @@ def _banded(s: Column, edits: int, width: int, full: int, top: int, long_) -> Co
     return F.aggregate(F.sequence(F.lit(1), s["n"]), begin, step)["score"]
 
 
-#: Letters whose counts tell two lines apart before their distance is computed; any choice gives the same result.
-COUNTED_LETTERS = "etaonirshdlu"
+#: Letters whose counts tell most lines apart before they are compared; any choice gives the same result.
+COUNTED_LETTERS = "etaonird"
 
 
-def letters_allow(a: Column, b: Column, edits: int = EDITS) -> Column:
-    """False only if the counts of letters differ by more than the edits can change them, an edit two counts by one."""
-    count = lambda x, c: F.length(x) - F.length(F.replace(x, F.lit(c), F.lit("")))
-    apart = F.lit(0)
-    for c in COUNTED_LETTERS:
-        apart = apart + F.abs(count(a, c) - count(b, c))
+def letter_counts(line: Column) -> Column:
+    """Counts of some letters modulo 16, four bits each."""
+    out = F.lit(0).cast("bigint")
+    for i, c in enumerate(COUNTED_LETTERS):
+        own = (F.length(line) - F.length(F.replace(line, F.lit(c), F.lit("")))).cast("bigint") % 16
+        out = out.bitwiseOR(F.shiftleft(own, 4 * i))
+    return out
+
+
+def counts_allow(a: Column, b: Column, edits: int = EDITS) -> Column:
+    """False only if the counts differ by more than the edits can change them: an edit changes two of them by one, and counts modulo 16 differ by no more than counts."""
+    apart = F.lit(0).cast("bigint")
+    for i in range(len(COUNTED_LETTERS)):
+        of = lambda x, i=i: F.shiftright(x, 4 * i).bitwiseAND(F.lit(15).cast("bigint"))
+        d = F.abs(of(a) - of(b))
+        apart = apart + F.least(d, 16 - d)
     return apart <= 2 * edits
 
 
@@ -121,9 +132,9 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def _named(lines: DataFrame) -> DataFrame:
-    """With the line's name, the hash of what stands between the spaces around it, and its length."""
+    """With the line's name, the hash of what stands between the spaces around it, its length and counts of letters."""
     bare = F.trim("line")
-    return lines.select("doc_id", "line_no", bare.alias("line"), F.xxhash64(bare).alias("hash"), F.length(bare).alias("chars"))
+    return lines.select("doc_id", "line_no", bare.alias("line"), F.xxhash64(bare).alias("hash"), F.length(bare).alias("chars"), letter_counts(bare).alias("counts"))
 
 
 def line_flags(docs: DataFrame, edits: int = EDITS, least_chars: int = LEAST_CHARS) -> DataFrame:
@@ -140,21 +151,21 @@ def line_flags(docs: DataFrame, edits: int = EDITS, least_chars: int = LEAST_CHA
     counted = F.col("chars") >= least_chars
     place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "line_no")
     # one column for all that is known of a distinct line, so that its one shuffle serves all four uses below
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "line_no", "line", "chars")).alias("best")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "line_no", "line", "chars", "counts")).alias("best")
     distinct = every.where(counted).groupBy("hash").agg(best)
     line, chars = F.col("best.line"), F.col("best.chars")
-    indexed = distinct.select(F.explode(index_keys(line, chars, edits)).alias("key"), F.col("hash").alias("r"))
-    probing = distinct.select(F.explode(probe_keys(line, chars, edits)).alias("key"), F.col("hash").alias("s"))
-    pairs = indexed.join(probing, "key").where("r <> s").select(F.least("r", "s").alias("r"), F.greatest("r", "s").alias("s")).distinct()
+    indexed = distinct.select(F.explode(index_keys(line, chars, edits)).alias("key"), F.col("hash").alias("r"), F.col("best.counts").alias("r_counts"))
+    probing = distinct.select(F.explode(probe_keys(line, chars, edits)).alias("key"), F.col("hash").alias("s"), F.col("best.counts").alias("s_counts"))
+    likely = (F.col("r") != F.col("s")) & counts_allow(F.col("r_counts"), F.col("s_counts"), edits)
+    pairs = indexed.join(probing, "key").where(likely).select(F.least("r", "s").alias("r"), F.greatest("r", "s").alias("s")).distinct()
     side = lambda c: distinct.select(F.col("hash").alias(c), F.col("best").alias(f"best_{c}"))
     both = pairs.join(side("r"), "r").join(side("s"), "s")
-    r, s = F.col("best_r.line"), F.col("best_s.line")
-    near = both.where(F.when(letters_allow(r, s, edits), within_edits(r, s, edits)))
+    near = both.where(within_edits(F.col("best_r.line"), F.col("best_s.line"), edits))
     later = F.when(F.col("best_s") > F.col("best_r"), F.col("s")).otherwise(F.col("r"))
     dropped = stored(near.select(later.alias("hash")).distinct(), "near-lines").withColumn("near", F.lit(True))
     firsts = every.where(counted).groupBy("hash").agg(F.min(place).alias("first"), F.count("*").alias("copies"))
     known = firsts.join(dropped, "hash", "left").where("copies > 1 or near")
-    placed = every.drop("line").join(known, "hash", "left")
+    placed = every.drop("line", "counts").join(known, "hash", "left")
     reason = F.when(~counted, None).when(F.col("near"), "near").when(F.col("first").isNotNull() & (place != F.col("first")), "exact")
     return placed.select("doc_id", "line_no", "chars", reason.alias("drop"))
 
