@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations, groupby
+from operator import and_
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SIZE = 5
@@ -41,6 +45,27 @@ def violations(start: frozenset, rows: list[tuple]) -> int:
     return bad
 
 
+def violations_of(starts: np.ndarray, members: list, rows: list[tuple]) -> np.ndarray:
+    """violations() of many starting groups at once: one row a group, true where a member of `members` belongs to it."""
+    place, there, bad = {m: i for i, m in enumerate(members)}, starts.T.copy(), np.zeros(len(starts), int)
+    for _, cluster in groupby(rows, key=lambda r: r[0]):
+        cluster = [(place[m], k) for _, m, k in cluster]
+        before = there.copy()
+        for m, k in cluster:
+            if k in ("OUT", "EJECT"):
+                bad += ~there[m]
+                there[m] = False
+        for m, k in cluster:
+            if k == "IN":
+                bad += there[m]
+                there[m] = True
+        for m, k in cluster:
+            if k == "EV":
+                bad += ~(before[m] | there[m])
+        bad += np.maximum(there.sum(axis=0) - SIZE, 0)
+    return bad
+
+
 def starting_group(rows: list[tuple]) -> tuple[list | None, str, int, int]:
     """(members, status, violations, clean solutions) from a period's (clock, member, kind) rows in order.
 
@@ -59,12 +84,19 @@ def starting_group(rows: list[tuple]) -> tuple[list | None, str, int, int]:
     needed = set() if len(certain) > SIZE else set(certain)
     if not SIZE <= len(pool) <= CANDIDATES:
         return None, "UNDERDETERMINED", 0, 0
-    tried = [(violations(frozenset(c), rows), list(c)) for c in combinations(pool, SIZE) if needed <= set(c)]
-    clean = [c for bad, c in tried if not bad]
-    if clean:
-        return max(clean, key=lambda c: (len(needed & set(c)), c)), "SOLVED" if len(clean) == 1 else "AMBIGUOUS", 0, len(clean)
-    bad, members = min(tried, key=lambda t: t[0])
-    return members, "REPAIRED", bad, 0
+    tried = [c for c in combinations(pool, SIZE) if needed <= set(c)]
+    every = sorted(first)
+    bad = violations_of(np.array([[m in c for m in every] for c in map(set, tried)]), every, rows)
+    clean = np.flatnonzero(bad == 0)
+    if len(clean):
+        # combinations of a sorted pool come in order, and all hold the needed
+        return list(tried[clean[-1]]), "SOLVED" if len(clean) == 1 else "AMBIGUOUS", 0, len(clean)
+    return list(tried[bad.argmin()]), "REPAIRED", int(bad.min()), 0
+
+
+def _together(df: DataFrame, group: list[str]) -> DataFrame:
+    """Rows of a group in one partition, of which there stay as many as shuffles make, however few bytes they hold: solving takes time, not room."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *group)
 
 
 def starting_groups(df: DataFrame, group: list[str], clock: str, event: str, member: str, kind: str) -> DataFrame:
@@ -72,12 +104,15 @@ def starting_groups(df: DataFrame, group: list[str], clock: str, event: str, mem
     kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in group)
     of = df.schema[member].dataType.simpleString()
 
-    def solve(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([clock, event, member, kind], ascending=[False, True, True, True], kind="stable")
-        members, status, bad, n = starting_group(list(zip(rows[clock], rows[member].tolist(), rows[kind], strict=True)))
-        return pd.DataFrame([[*key, members, status, bad, n]])
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [starting_group([(r["clock"], r["member"], r["kind"]) for r in rows]) for rows in batch["rows"]]
+            solved = pd.DataFrame(found, columns=["members", "status", "n_violations", "n_solutions"], index=batch.index)
+            yield pd.concat([batch[group], solved], axis=1)
 
-    solved = df.select(*group, clock, event, member, kind).groupBy(*group).applyInPandas(solve, f"{kinds}, members array<{of}>, status string, n_violations int, n_solutions int")
+    fact = F.struct((-F.col(clock)).alias("clock"), F.col(event).alias("event"), F.col(member).alias("member"), F.col(kind).alias("kind"))
+    periods = _together(df.select(*group, fact.alias("fact")), group).groupBy(*group).agg(F.sort_array(F.collect_list("fact")).alias("rows"))
+    solved = periods.mapInPandas(solve, f"{kinds}, members array<{of}>, status string, n_violations int, n_solutions int")
     quality = F.when(F.col("status").isin("EXACT", "SOLVED"), "VALID").when(F.col("status").isin("REPAIRED", "AMBIGUOUS"), "IMPUTED").otherwise("QUARANTINED")
     return solved.withColumn("quality", quality)
 
@@ -87,20 +122,18 @@ def floor_after(df: DataFrame, starts: DataFrame, group: list[str], clock: str,
 
     A row's members leave before its others enter. starts is starting_groups' result. Periods without facts have no rows.
     """
-    kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in group)
     of = df.schema[member].dataType.simpleString()
-
-    def replay(key: tuple, rows: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
-        first = start["members"].iloc[0] if len(start) else None
-        there = None if first is None else set(list(first))
-        rows = rows.sort_values([clock, event], ascending=[False, True], kind="stable")
-        out = []
-        for at, own in rows.groupby(event, sort=False):
-            if there is not None:
-                there -= set(own.loc[own[kind].isin(("OUT", "EJECT")), member])
-                there |= set(own.loc[own[kind] == "IN", member])
-            out.append([*key, at, None if there is None else sorted(there)])
-        return pd.DataFrame(out, columns=[*group, event, "members"])
-
-    facts_ = df.select(*group, clock, event, member, kind).groupBy(*group)
-    return facts_.cogroup(starts.select(*group, "members").groupBy(*group)).applyInPandas(replay, f"{kinds}, {event} {df.schema[event].dataType.simpleString()}, members array<{of}>")
+    moved = lambda *which: F.collect_set(F.when(F.col(kind).isin(*which), F.col(member)))
+    events = _together(df, group).groupBy(*group, event).agg((-F.max(clock)).alias("at"), moved("OUT", "EJECT").alias("outs"), moved("IN").alias("ins"))
+    periods = events.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("at", F.col(event).alias("event"), "outs", "ins"))).alias("rows"))
+    known = starts.select(*(F.col(c).alias(f"_{c}") for c in group), F.col("members").alias("there"))
+    both = periods.join(known, reduce(and_, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in group)), "left")
+    after = lambda there, r: F.sort_array(F.array_union(F.array_except(there, r["outs"]), r["ins"]))
+    start = F.struct(F.col("there").alias("there"), F.expr(f"cast(array() as array<array<{of}>>)").alias("out"))
+
+    def step(state: Column, r: Column) -> Column:
+        now = F.transform(F.array(after(state["there"], r)), lambda m: F.struct(m.alias("there"), F.concat(state["out"], F.array(m)).alias("out")))
+        return F.element_at(now, 1)
+
+    pairs = F.arrays_zip(F.col("rows.event").alias("event"), F.aggregate("rows", start, step)["out"].alias("members"))
+    return both.select(*group, F.explode(pairs).alias("row")).select(*group, F.col("row.event").alias(event), "row.members")

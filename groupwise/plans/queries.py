@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from groupwise.functions import columns as C
 from groupwise.operators import aggregate, answers, features, gates, metrics, models, plays, presence, priors, retrieval, sequence
-from groupwise.plans.roles import GROUPS_SQL, SHOTS_SQL, assertions, possessions, shots, table
+from groupwise.plans.roles import GROUPS_SQL, SHOTS_SQL, assertions, floor_assertions, possessions, shots, table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -322,7 +322,7 @@ def unit_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def starting_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = presence.starting_groups(assertions(spark, sf_dir), ["day", "period"], "clock", "event_id", "user_id", "kind")
+    found = presence.starting_groups(floor_assertions(spark, sf_dir), ["floor", "day", "period"], "clock", "event_id", "user_id", "kind")
     return found.withColumn("members", F.array_join(F.col("members").cast("array<string>"), ","))
 
 
@@ -400,8 +400,8 @@ def shooter_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def floor_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Who is there after each event, where a period's starting group is known."""
-    rows = assertions(spark, sf_dir)
-    keys = (["day", "period"], "clock", "event_id", "user_id", "kind")
+    rows = floor_assertions(spark, sf_dir)
+    keys = (["floor", "day", "period"], "clock", "event_id", "user_id", "kind")
     found = presence.floor_after(rows, presence.starting_groups(rows, *keys), *keys)
     return found.withColumn("members", F.array_join(F.col("members").cast("array<string>"), ","))
 

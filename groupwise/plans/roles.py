@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groupwise.functions import columns as C
+from groupwise.operators.presence import CANDIDATES
 
 #: Expressions that Spark and DuckDB both read.
 SHOTS = {
@@ -58,3 +59,12 @@ def assertions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Presence facts from events: signup enters, error leaves, others act; periods are quarters of days."""
     kind = F.when(F.col("event_type") == "signup", "IN").when(F.col("event_type") == "error", "OUT").otherwise("EV")
     return table(spark, sf_dir, "events").select(F.to_date("ts").alias("day"), F.floor(F.hour("ts") / 6).cast("int").alias("period"), (86400 - F.hour("ts") * 3600 - F.minute("ts") * 60 - F.second("ts")).alias("clock"), "event_id", "user_id", kind.alias("kind"))
+
+
+#: Users of a floor: as many as a period can have candidates, so that none is left unsolved for having too many.
+FLOOR = CANDIDATES
+
+
+def floor_assertions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Presence facts by floors of FLOOR users: floors grow with the table, a period's members do not."""
+    return assertions(spark, sf_dir).withColumn("floor", F.expr(f"user_id div {FLOOR}"))

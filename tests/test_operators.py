@@ -1,5 +1,6 @@
 """Operators on small hand-made tables: fixtures, identities, planted effects and order independence."""
 
+import itertools
 import random
 
 import numpy as np
@@ -9,6 +10,7 @@ from pyspark.sql import types as T
 
 from groupwise.functions import columns as C
 from groupwise.operators import aggregate, answers, features, gates, metrics, models, plays, presence, priors, retrieval, sequence
+from groupwise.plans import queries
 from groupwise.sources import tables
 
 
@@ -121,6 +123,16 @@ def test_starting_groups():
     assert presence.starting_group(six)[1:] == ("REPAIRED", 1, 0)
 
 
+def test_groups_replayed_at_once_are_those_replayed_one_by_one():
+    draw = random.Random(4)
+    for _ in range(60):
+        rows = sorted(((draw.randrange(6), draw.choice("abcdefgh"), draw.choice(["IN", "OUT", "EV", "EJECT"])) for _ in range(draw.randrange(5, 25))), reverse=True)
+        every = sorted({r[1] for r in rows})
+        tried = list(itertools.combinations(every, min(5, len(every))))
+        at_once = presence.violations_of(np.array([[m in c for m in every] for c in tried]), every, rows)
+        assert at_once.tolist() == [presence.violations(frozenset(c), rows) for c in tried]
+
+
 def test_starting_groups_job(spark):
     rows = [(1, 700, e, m, "EV") for e, m in enumerate([1, 2, 3, 4, 5])] + [(2, 700, 0, 9, "IN")]
     got = {r.g: r for r in presence.starting_groups(spark.createDataFrame(rows, "g int, clock int, e int, m long, k string"), ["g"], "clock", "e", "m", "k").collect()}
@@ -390,6 +402,34 @@ def test_the_floor_after_each_event(spark):
     assert got[1, 0] == [1, 2, 3, 4, 5] and got[1, 9] == [2, 3, 4, 5, 6] and got[2, 0] is None
 
 
+def test_registered_periods_are_solved_beyond_the_smallest_tables(spark, sf_dir):
+    big = sf_dir.replace("0.001", "0.01")
+    people: dict = {}
+    for r in queries.floor_assertions(spark, big).collect():
+        people.setdefault((r.floor, r.day, r.period), []).append(r)
+    got = {(r.floor, r.day, r.period): r for r in queries.starting_groups(spark, big).collect()}
+    assert got.keys() == people.keys()
+    few = set()
+    for at, rows in people.items():
+        rows.sort(key=lambda r: (-r.clock, r.event_id))
+        first: dict = {}
+        for r in rows:
+            first.setdefault(r.user_id, r.kind)
+        assert len(first) <= presence.CANDIDATES
+        if len(first) < presence.SIZE:
+            few.add(at)
+        assert (got[at].status == "UNDERDETERMINED") == (at in few)
+    assert len(few) < len(got) / 2
+    floors = {r.event_id: r.members for r in queries.floor_states(spark, big).collect()}
+    assert len(floors) == sum(map(len, people.values()))
+    for at, rows in people.items():
+        there = None if at in few else {int(m) for m in got[at].members.split(",")}
+        for r in rows:
+            if there is not None:
+                there = there - {r.user_id} if r.kind == "OUT" else there | {r.user_id} if r.kind == "IN" else there
+            assert floors[r.event_id] == (None if there is None else ",".join(map(str, sorted(there))))
+
+
 # ---- Features
 
 
