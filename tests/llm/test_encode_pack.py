@@ -158,3 +158,24 @@ def test_a_template_that_rewrites_history_is_detected(spark):
     only_last = chat.format_chats(turns, lambda ts: "".join(f"[{'' if k < len(ts) - 1 else 'now '}{x}]" for k, (_, x) in enumerate(ts)))
     assert [r.rewrote for r in only_last.orderBy("turn").collect()] == [False, True, True]
     assert not chat.format_chats(turns).where(F.col("rewrote")).count()
+
+
+def test_templates_see_whole_prefixes_of_long_conversations(spark):
+    said = [("system" if t == 0 else "user", f"t{t}") for t in range(200)]
+    turns = spark.createDataFrame([(1, t, role, text) for t, (role, text) in enumerate(said)], "conv_id long, turn long, role string, text string")
+
+    def numbered(ts):
+        assert ts[0][0] == "system"
+        return "<s>" + "".join(f"{k}:{'late ' if k == 0 and len(ts) > 150 else ''}{x};" for k, (_, x) in enumerate(ts))
+
+    got = chat.format_chats(turns, numbered).orderBy("turn").collect()
+    for k, r in enumerate(got):
+        before, now = numbered(said[:k]) if k else "", numbered(said[: k + 1])
+        assert r.rewrote == (k == 150) == (not now.startswith(before))
+        assert r.start == (5 if k == 150 else len(before)) and r.piece == now[r.start :]
+    with pytest.raises(ValueError, match="whole prefixes"):
+        renderer = chat.IncrementalRenderer(lambda ts: "".join(f"{k}:{x};" for k, (_, x) in enumerate(ts)), window=8)
+        for role, text in said:
+            renderer.add(role, text)
+    slid, whole = chat.IncrementalRenderer(chat.turn_template, window=8), chat.IncrementalRenderer(chat.turn_template)
+    assert [slid.add(*t) for t in said] == [whole.add(*t) for t in said]
