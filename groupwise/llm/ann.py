@@ -23,6 +23,8 @@ LEAST = 256
 FIRST, GROWTH = 1.9, 1.08
 BLOCK, QUERY_BLOCK = 16_384, 2_048
 SEED = 20
+#: Largest norm by least norm of vectors that are searched together.
+RATIO = 1.1
 
 
 def lifted(vectors: np.ndarray, largest: float) -> np.ndarray:
@@ -31,6 +33,49 @@ def lifted(vectors: np.ndarray, largest: float) -> np.ndarray:
     return np.hstack((vectors, rest[:, None]))
 
 
+def lengths(vectors: np.ndarray) -> np.ndarray:
+    """Norms that neither overflow nor vanish where squares would."""
+    most = np.abs(vectors).max(axis=1)
+    return most * np.linalg.norm(vectors / most[:, None], axis=1)
+
+
+def norm_ranges(norms: np.ndarray, ratio: float = RATIO) -> list[np.ndarray]:
+    """Places of the vectors by range of norms, largest first; a range's norms differ by the ratio at most."""
+    order = np.argsort(-norms, kind="stable")
+    step = np.floor(np.log(norms[order[0]] / norms[order]) / np.log(ratio)).astype(int)
+    return np.split(order, np.flatnonzero(np.diff(step)) + 1)
+
+
+def best_of_block(ids: np.ndarray, points: np.ndarray, q_ids: np.ndarray, q_points: np.ndarray, axes: np.ndarray, k: int, threshold: int):
+    """For each query its (ids, scores) of the k best of a block.
+
+    Norms of very different size leave nothing of inner products in distances, so each range of norms is lifted to its own largest
+    norm, and so are queries, whose length changes no order. A range is left out for queries whose k-th best beats the
+    largest inner product that its norms allow; one no larger than the windows must be filled is verified whole.
+    """
+    norms, q_norms = lengths(points), lengths(q_points)
+    best = [(ids[:0], np.zeros(0))] * len(q_ids)
+    for places in norm_ranges(norms):
+        places = np.sort(places)
+        largest = float(norms[places].max())
+        asking = [j for j, (_, s) in enumerate(best) if len(s) < k or s[-1] <= largest * q_norms[j] * (1 + 1e-9)]
+        if not asking:
+            continue
+        wanted = max(LEAST, k + 1 + int(SHARE * len(places)))
+        if len(places) <= wanted:
+            candidates = [np.arange(len(places))] * len(asking)
+        else:
+            to = q_points[asking] / q_norms[asking][:, None] * largest
+            candidates = SortedProjections(lifted(points[places], largest), axes).candidates(axes @ np.hstack((to, np.zeros((len(to), 1)))).T, wanted, threshold)
+        for j, found in zip(asking, candidates, strict=True):
+            found = places[found]
+            found = found[ids[found] != q_ids[j]]
+            every, scores = np.concatenate((best[j][0], ids[found])), np.concatenate((best[j][1], (points[found] * q_points[j]).sum(axis=1)))
+            first = np.lexsort((every, -scores))[:k]
+            best[j] = every[first], scores[first]
+    return best
+
+
 def projections(dim: int, n: int = PROJECTIONS, seed: int = SEED) -> np.ndarray:
     return np.random.default_rng(seed).standard_normal((n, dim))
 
@@ -83,13 +128,12 @@ def nearest(vectors: DataFrame, is_query, k: int = NEAREST, id_col: str = "vec_i
     sound = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("vec", lambda x: x != 0)
     clean = vectors.select(F.col(id_col).alias("vec_id"), wide.alias("vec"), is_query.alias("asks")).where(F.col("vec").isNotNull() & F.col("vec_id").isNotNull() & sound)
     size = F.size("vec").alias("size")
-    norm = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x)
-    sizes = clean.groupBy(size).agg(F.count("*").alias("n"), F.sum(F.col("asks").cast("long")).alias("asking"), F.max(norm).alias("norm")).orderBy(F.desc("n"), "size").first()
+    sizes = clean.groupBy(size).agg(F.count("*").alias("n"), F.sum(F.col("asks").cast("long")).alias("asking")).orderBy(F.desc("n"), "size").first()
     schema = T.StructType([T.StructField("query_id", id_type), T.StructField("vec_id", id_type), T.StructField("score", T.DoubleType())])
     if sizes is None:
         empty = clean.where("false")
         return empty.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score"))
-    dim, largest = sizes["size"], float(np.sqrt(sizes["norm"]))
+    dim = sizes["size"]
     blocks, query_blocks = -(-sizes["n"] // BLOCK), max(1, -(-(sizes["asking"] or 0) // QUERY_BLOCK))
     clean = clean.where(F.size("vec") == dim)
     at = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks))
@@ -106,15 +150,8 @@ def nearest(vectors: DataFrame, is_query, k: int = NEAREST, id_col: str = "vec_i
         rows = rows.sort_values("vec_id", kind="stable")
         ids, points = rows["vec_id"].to_numpy(), np.stack(rows["vec"].to_numpy()).astype(float)
         q_ids, q_points = asked["vec_id"].to_numpy(), np.stack(asked["vec"].to_numpy()).astype(float)
-        index = SortedProjections(lifted(points, largest), axes)
-        at = axes @ np.hstack((q_points, np.zeros((len(q_points), 1)))).T
-        out = []
-        wanted = max(LEAST, k + 1 + int(SHARE * len(points)))
-        for q, point, found in zip(q_ids, q_points, index.candidates(at, wanted, threshold), strict=True):
-            found = found[ids[found] != q]
-            scores = (points[found] * point).sum(axis=1)
-            best = np.lexsort((ids[found], -scores))[:k]
-            out.append((np.repeat(q, len(best)), ids[found][best], scores[best]))
+        found = best_of_block(ids, points, q_ids, q_points, axes, k, threshold)
+        out = [(np.repeat(q, len(best)), best, scores) for q, (best, scores) in zip(q_ids, found, strict=True)]
         return pd.DataFrame({n: np.concatenate(c) for n, c in zip(schema.names, zip(*out, strict=True), strict=True)})
 
     keys = ("block", "query_block")

@@ -163,6 +163,23 @@ def test_blocks_change_no_result_of_small_tables(spark, monkeypatch):
     assert len({r[:1] + r[2:3] for r in many} & exact) >= 0.9 * len(exact)
 
 
+@pytest.mark.parametrize("norms", ["one long vector", "lognormal"])
+def test_recall_on_unequal_norms(spark, norms):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((6000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if norms == "lognormal":
+        x *= rng.lognormal(0, 0.5, len(x))[:, None]
+    else:
+        x[4321] *= 10
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got: dict = {}
+    for r in ann.nearest(df, F.col("vec_id") < 60).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    found = [len(got[q] & set([i for i in np.argsort(-(x @ x[q]), kind="stable").tolist() if i != q][:20])) for q in range(60)]
+    assert sum(found) >= 0.9 * 20 * 60 and min(found) >= 10
+
+
 # ---- Shared folder and pipeline
 
 
