@@ -24,12 +24,17 @@ CLASSES = {"hexadecimal": (r"^[0-9A-Fa-f]+$", 3.0), "alphanumeric": (r"^[A-Za-z0
 #: Candidates that are no secrets whatever their entropy: one letter case and no digit, numbers, dates and
 #: UUIDs, paths of words, and the example values that documentation uses.
 ALLOWED = (
-    r"^[^0-9]*$",
+    r"^([^0-9A-Z]*|[^0-9a-z]*)$",
     r"^[0-9_-]+$",
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     r"(?i)example|placeholder|changeme|xxxxxx|123456789",
     r"^/?([A-Za-z]+[/_-])+[A-Za-z]*[0-9]{0,4}$",
 )
+#: Tokens of a narrower class inside a longer run, each with its class: windows within them are held to that class's bits.
+TOKENS = {
+    "hexadecimal": r"(?<=[G-Zg-z+/_-])[0-9A-Fa-f]{24,}+|(?<![0-9A-Fa-f])[0-9A-Fa-f]{24,}+(?=[G-Zg-z+/_-])",
+    "alphanumeric": r"(?<=[+/_-])[A-Za-z0-9]{24,}+|(?<![A-Za-z0-9])[A-Za-z0-9]{24,}+(?=[+/_-])",
+}
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
 _SPAN = "array<struct<start:int,kind:int,end:int>>"
 _NONE = f"cast(array() as {_SPAN})"
@@ -91,10 +96,26 @@ def window_spans(chars: Column, least: Column, window: int = WINDOW) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.size(chars)), start, step)["out"]
 
 
+def _merged(spans: Column) -> Column:
+    """Spans in order, those that meet or overlap as one."""
+
+    def step(out: Column, x: Column) -> Column:
+        last = F.try_element_at(out, F.lit(-1))
+        wider = F.struct(last["start"].alias("start"), last["kind"].alias("kind"), F.greatest(last["end"], x["end"]).alias("end"))
+        grown = F.concat(F.slice(out, 1, F.size(out) - 1), F.array(wider))
+        return F.when(last.isNotNull() & (x["start"] <= last["end"]), grown).otherwise(F.concat(out, F.array(x)))
+
+    return F.aggregate(F.array_sort(spans), F.expr(_NONE), step)
+
+
 def entropy_spans(text: Column) -> Column:
-    """Spans of candidate strings' stretches of high entropy; a candidate belongs to the narrowest class that holds it, and allowed ones are passed over."""
+    """Spans of candidate strings' stretches of high entropy.
+
+    A window belongs to the narrowest class that holds it: a candidate's windows to that of the whole, but those within a
+    token of a narrower class to the token's. Candidates and tokens that are allowed are passed over, each for itself.
+    """
     allowed = lambda x: F.reduce(F.array(*(x.rlike(p) for p in ALLOWED)), F.lit(False), lambda a, b: a | b)
-    mixed = F.filter(matches(text, CANDIDATE), lambda m: ~allowed(m["match"]))
+    number = KINDS.index("entropy")
 
     def bits(x: Column) -> Column:
         out = F.lit(float("inf"))
@@ -102,24 +123,40 @@ def entropy_spans(text: Column) -> Column:
             out = F.when(x.rlike(pattern), F.lit(least)).otherwise(out)
         return out
 
-    ready = F.transform(mixed, lambda m: F.struct(m["start"].alias("start"), F.split(m["match"], "").alias("chars"), bits(m["match"]).alias("least")))
-    number = KINDS.index("entropy")
-    found = F.transform(ready, lambda c: F.transform(window_spans(c["chars"], c["least"]), lambda w: F.struct((c["start"] + w["low"]).alias("start"), F.lit(number).alias("kind"), (c["start"] + w["high"]).alias("end"))))
-    return F.when(text.rlike(CANDIDATE), F.flatten(found)).otherwise(F.expr(_NONE))
+    def found(pattern: str, least) -> Column:
+        mixed = F.filter(matches(text, pattern), lambda m: ~allowed(m["match"]))
+        ready = F.transform(mixed, lambda m: F.struct(m["start"].alias("start"), F.split(m["match"], "").alias("chars"), least(m["match"]).alias("least")))
+        spans = F.transform(ready, lambda c: F.transform(window_spans(c["chars"], c["least"]), lambda w: F.struct((c["start"] + w["low"]).alias("start"), F.lit(number).alias("kind"), (c["start"] + w["high"]).alias("end"))))
+        return F.when(text.rlike(pattern), F.flatten(spans)).otherwise(F.expr(_NONE))
+
+    every = [found(CANDIDATE, bits)] + [found(p, lambda _, c=c: F.lit(CLASSES[c][1])) for c, p in TOKENS.items()]
+    return F.when(text.rlike(CANDIDATE), _merged(F.concat(*every))).otherwise(F.expr(_NONE))
+
+
+def _outside(span: Column, others: Column) -> Column:
+    """What other spans, in order of start, leave of one."""
+    piece = lambda low, high: F.array(F.struct(low.alias("start"), span["kind"].alias("kind"), high.alias("end")))
+    state = F.struct(span["start"].alias("at"), F.expr(_NONE).alias("out"))
+
+    def step(s: Column, b: Column) -> Column:
+        high = F.least(b["start"], span["end"])
+        return F.struct(F.greatest(s["at"], b["end"]).alias("at"), F.when(high > s["at"], F.concat(s["out"], piece(s["at"], high))).otherwise(s["out"]).alias("out"))
+
+    return F.aggregate(others, state, step, lambda s: F.when(s["at"] < span["end"], F.concat(s["out"], piece(s["at"], span["end"]))).otherwise(s["out"]))
 
 
 def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with base_spans and spans: arrays of (start, kind, end) in order of start and kind, in code points, ends exclusive.
 
-    kind is a number in KINDS. Base spans are those of the three patterns; spans adds stretches of high entropy that
-    touch none of them. Null and empty texts have none; texts are scanned whole; rows never meet, so repeats, ties and
+    kind is a number in KINDS. Base spans are those of the three patterns; spans adds what they leave of
+    stretches of high entropy. Null and empty texts have none; texts are scanned whole; rows never meet, so repeats, ties and
     hot keys play no part, and an empty table gives an empty result.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     long_value = lambda m: F.length(F.regexp_extract(m["match"], ASSIGN, 2)) >= ASSIGN_CHARS
     base = F.concat(_spans(text, ASSIGN, "assign", long_value), _spans(text, ACCESS, "access"), _spans(text, HEX, "hex"))
     found = docs.withColumn("base_spans", F.array_sort(base)).withColumn("added_spans", entropy_spans(text))
-    apart = F.filter("added_spans", lambda a: ~F.exists("base_spans", lambda b: (a["start"] < b["end"]) & (b["start"] < a["end"])))
+    apart = F.flatten(F.transform("added_spans", lambda a: _outside(a, F.col("base_spans"))))
     return found.withColumn("spans", F.array_sort(F.concat("base_spans", apart))).drop("added_spans")
 
 

@@ -179,6 +179,17 @@ def test_redaction_keeps_the_rest(spark):
         assert r.text == (want + SECRETS[r.doc_id][at:] if spans[r.doc_id] else SECRETS[r.doc_id])
 
 
+def test_secrets_joined_to_other_characters(spark):
+    upper, mixed, letters = "24BE64439E3E49CF46B2D7C90F3602A3D0B907FF", "aB3xK9pQ7mZ2vL5nR8tY1wC4hJ6fD0sG", "qWzXvBnMkLpOiUyTrEaSdFgHjKcV"
+    texts = [f"sk_live_{upper}", f"keys/{upper}/x", f"example/{mixed}", letters, f"{upper.lower()}{mixed}", "Example_Of_A_Path_Of_Words_Without_Any_Secret"]
+    got = {r.doc_id: (r.text, r.spans) for r in secrets.scan(frame(spark, list(enumerate(texts))).drop("spans")).collect()}
+    covered = {d: "".join(c for i, c in enumerate(t) if any(s.start <= i < s.end for s in spans)) for d, (t, spans) in got.items()}
+    assert all(x in covered[d] for d, x in enumerate([upper, upper, mixed, letters, upper.lower() + mixed]))
+    assert not covered[5]
+    for t, spans in got.values():
+        assert all(x.end <= y.start for x, y in zip(spans, spans[1:]))
+
+
 # ---- Lines
 
 
