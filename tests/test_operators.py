@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 
 import numpy as np
 import pytest
@@ -271,6 +272,25 @@ def test_retrieval(spark):
     assert fused[0].score == pytest.approx(2 / 61)
 
 
+def test_registered_questions_are_whole_items(spark, sf_dir, tmp_path):
+    words = lambda t: re.findall("[a-z0-9]+", (t or "").lower())
+    docs = {r.doc_id: words(r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    items = {r.item_id: words(r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()}
+    runs = lambda t: {tuple(t[i : i + 8]) for i in range(len(t) - 7)}
+    held = {d: runs(t) for d, t in docs.items()}
+    relevant = {(i, d) for i, t in items.items() for d in docs if held[d] & runs(t)}
+    assert {tuple(r) for r in queries._holding(spark, sf_dir).collect()} == relevant
+    scored = {(r.query, r.doc) for r in queries.bm25_items(spark, sf_dir).collect()}
+    assert scored == {(i, d) for i, t in items.items() for d, u in docs.items() if set(t) & set(u)}
+    assert {(r.query, r.doc) for r in queries.fused_ranking(spark, sf_dir).collect()} >= scored
+    said = [f"w{i}" for i in range(30)]
+    spark.createDataFrame([(1, " ".join(said))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    late = [(7, " ".join(["other", *said[12:20]])), (8, " ".join(said[12:19])), (9, "nothing of it")]
+    spark.createDataFrame(late, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [tuple(r) for r in queries._holding(spark, str(tmp_path)).collect()] == [(1, 7)]
+    assert {r.doc for r in queries.fused_ranking(spark, str(tmp_path)).collect()} == {7, 8}
+
+
 def test_numbers_are_traced(spark):
     said = spark.createDataFrame([(1, "Made 45% of 120 in Q4, so 0.31 and -7.")], "d int, t string")
     facts = spark.createDataFrame([(1, 0.45), (1, 120.0), (1, 31.0)], "d int, v double")
