@@ -13,44 +13,39 @@ EDITS = 2
 LEAST_CHARS = 20
 
 
-def segments(edits: int, length: Column) -> list[tuple[Column, Column]]:
-    """(start from 1, size) of the edits + 1 segments of a line, sizes apart by one at most, longer ones last."""
+def segment(i: Column, length: Column, edits: int = EDITS) -> tuple[Column, Column]:
+    """(start from 1, size) of segment i, from 1 to edits + 1, of a line; sizes differ by one at most, longer ones come last."""
     parts = edits + 1
-    size, longer = F.floor(length / parts).cast("int"), length % parts
-    out, start = [], F.lit(1)
-    for i in range(1, parts + 1):
-        own = F.when(longer > parts - i, size + 1).otherwise(size)
-        out.append((start, own))
-        start = start + own
-    return out
-
-
-def _key(length: Column, i: int, part: Column) -> Column:
-    # 48 bits: what meets by chance is told apart by its counts and its text
-    return F.xxhash64(length.cast("int"), F.lit(i), part).bitwiseAND(F.lit((1 << 48) - 1))
+    size, shorter = F.floor(length / parts).cast("int"), parts - length % parts
+    return 1 + (i - 1) * size + F.greatest(i - 1 - shorter, F.lit(0)), size + F.when(i > shorter, 1).otherwise(0)
 
 
-def index_keys(line: Column, n: Column, edits: int = EDITS) -> Column:
-    """Keys (length, segment number, segment) under which a line of n characters is found."""
-    return F.array(*(_key(n, i, F.substring(line, start, size)) for i, (start, size) in enumerate(segments(edits, n), 1)))
+def windows(edits: int = EDITS) -> list[tuple[int, int, int]]:
+    """(characters less, segment, shift) of the substrings that a line looks up: first its own edits + 1 segments.
 
+    If a line is within the edits of one of the same length or up to `edits` less, one of that one's segments stands unchanged in
+    it; where it may stand follows from the edits left before and after it (multi-match-aware windows), so only these are looked up.
+    """
+    every = [(less, i, shift) for less in range(edits + 1) for i in range(1, edits + 2) for shift in range(max(1 - i, less - edits - 1 + i), min(i - 1, less + edits + 1 - i) + 1)]
+    return sorted(every, key=lambda w: (w[0] or w[2]) != 0)
 
-def probe_keys(line: Column, n: Column, edits: int = EDITS) -> Column:
-    """Keys by which a line of n characters finds each indexed line of the same length or up to `edits` less within `edits` edits.
 
-    If a line is within the edits, one of its segments stands unchanged in the other; where it may stand follows from the
-    edits left before and after it (multi-match-aware windows), so only these substrings are looked up.
+def with_keys(lines: DataFrame, edits: int = EDITS) -> DataFrame:
+    """Rows of lines (line, chars) for each key (length, segment number, segment), with its place `at` in windows: those up to `edits` are
+    the keys under which the line stands, and it looks up all. One small expression works on a row of each window, which is compiled; one
+    expression for all of them is too long to be.
     """
-    keys = []
-    for less in range(edits + 1):
-        indexed = n - less
-        for i, (start, size) in enumerate(segments(edits, indexed), 1):
-            left, right = i - 1, edits + 1 - i
-            for shift in range(max(-left, less - right), min(left, less + right) + 1):
-                at = start + shift
-                fits = (indexed >= edits + 1) & (at >= 1) & (at + size - 1 <= n)
-                keys.append(F.when(fits, _key(indexed, i, F.substring(line, at, size))))
-    return F.array_compact(F.array(*keys))
+    every = F.array(*(F.struct(F.lit(at).alias("at"), F.lit(less).alias("less"), F.lit(i).alias("i"), F.lit(shift).alias("shift")) for at, (less, i, shift) in enumerate(windows(edits))))
+    raw = F.when(F.octet_length("line") == F.col("chars"), F.col("line").cast("binary"))  # where a character is a byte, parts need no walk from the begin
+    rows = lines.select("*", raw.alias("__raw")).select("*", F.explode(every).alias("w"))
+    indexed = F.col("chars") - F.col("w.less")
+    start, size = segment(F.col("w.i"), indexed, edits)
+    start = start + F.col("w.shift")
+    # 48 bits: what meets by chance is told apart by its counts and its text
+    part = F.when(F.col("__raw").isNotNull(), F.substring(F.col("__raw"), start, size)).otherwise(F.substring(F.col("line"), start, size).cast("binary"))
+    key = F.xxhash64(indexed, F.col("w.i"), part).bitwiseAND(F.lit((1 << 48) - 1))
+    fits = (indexed >= edits + 1) & (start >= 1) & (start + size - 1 <= F.col("chars"))
+    return rows.where(fits).select(*lines.columns, F.col("w.at").alias("at"), key.alias("key"))
 
 
 def within_edits(a: Column, b: Column, edits: int = EDITS) -> Column:
@@ -104,7 +99,7 @@ def _banded(s: Column, edits: int, width: int, full: int, top: int, long_) -> Co
 
 
 #: Letters whose counts tell most lines apart before they are compared; any choice gives the same result.
-COUNTED_LETTERS = "etaonird"
+COUNTED_LETTERS = "etaonirdshlcumgw"
 
 
 def letter_counts(line: Column) -> Column:
@@ -120,21 +115,99 @@ def counts_allow(a: Column, b: Column, edits: int = EDITS) -> Column:
     """False only if the counts differ by more than the edits can change them: an edit changes two of them by one, and counts modulo 16 differ by no more than counts."""
     apart = F.lit(0).cast("bigint")
     for i in range(len(COUNTED_LETTERS)):
-        of = lambda x, i=i: F.shiftright(x, 4 * i).bitwiseAND(F.lit(15).cast("bigint"))
+        of = lambda x, i=i: F.shiftrightunsigned(x, 4 * i).bitwiseAND(F.lit(15).cast("bigint"))
         d = F.abs(of(a) - of(b))
         apart = apart + F.least(d, 16 - d)
     return apart <= 2 * edits
 
 
+def _shared(a: Column, b: Column, from_end: bool) -> Column:
+    """Characters that two strings have in common at their begin or end, by halving steps."""
+    part = (lambda x, k: F.right(x, k)) if from_end else (lambda x, k: F.left(x, k))
+    most = F.least(F.length(a), F.length(b))
+    steps = F.transform(F.sequence(F.lit(0), F.ceil(F.log2(most + 1)).cast("int")), lambda k: F.ceil(most / F.pow(F.lit(2.0), k)).cast("int"))
+
+    def step(at: Column, more: Column) -> Column:
+        to = F.least(at + more, most)
+        return F.when(part(a, to) == part(b, to), to).otherwise(at)
+
+    # a last step of one, as rounding up leaves no gap larger than that
+    return F.aggregate(F.concat(steps, F.array(F.lit(1), F.lit(1))), F.lit(0), step)
+
+
+def ends_allow(a: Column, b: Column, edits: int = EDITS) -> Column:
+    """False only if two strings are further apart than two edits: one edit is spent at each end of the part that differs, so what is left of it must agree.
+
+    For other numbers of edits, true.
+    """
+    if edits != 2:
+        return F.lit(True)
+
+    def core(x: Column) -> Column:
+        m_a, m_b = F.length(x["a"]), F.length(x["b"])
+        rest = lambda s, m, first, last: F.substring(s, F.lit(1 + first), F.greatest(m - first - last, F.lit(0)))
+        out = F.lit(False)
+        for first_a, first_b, last_a, last_b in ((i, j, k, l) for i in (0, 1) for j in (0, 1) for k in (0, 1) for l in (0, 1) if i | j and k | l):
+            out = out | ((m_a - first_a - last_a == m_b - first_b - last_b) & (rest(x["a"], m_a, first_a, last_a) == rest(x["b"], m_b, first_b, last_b)))
+        return (F.greatest(m_a, m_b) <= 2) | out
+
+    bind = lambda x, f: F.element_at(F.transform(F.array(x), f), 1)
+    tail = lambda x: F.struct(F.substring(a, x + 1, F.length(a)).alias("a"), F.substring(b, x + 1, F.length(b)).alias("b"))
+    cut = lambda t, q: F.struct(F.left(t["a"], F.length(t["a"]) - q).alias("a"), F.left(t["b"], F.length(t["b"]) - q).alias("b"))
+    return bind(bind(bind(_shared(a, b, False), tail), lambda t: bind(_shared(t["a"], t["b"], True), lambda q: cut(t, q))), core)
+
+
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, line) of every line, a null text being one empty line."""
-    return docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
+    """(doc_id, line_no, line, chars, h, g) of every line, a null text being one empty line; line without the spaces around it, h and g its 128-bit name."""
+    every = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "whole"))
+    bare = every.select("doc_id", "line_no", F.trim("whole").alias("line"))
+    return bare.select("doc_id", "line_no", "line", F.length("line").alias("chars"), F.xxhash64("line").alias("h"), F.xxhash64(F.lit(7), "line").alias("g"))
+
+
+def _place() -> Column:
+    return F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "line_no")
 
 
-def _named(lines: DataFrame) -> DataFrame:
-    """With the line's name, the hash of what stands between the spaces around it, its length and counts of letters."""
-    bare = F.trim("line")
-    return lines.select("doc_id", "line_no", bare.alias("line"), F.xxhash64(bare).alias("hash"), F.length(bare).alias("chars"), letter_counts(bare).alias("counts"))
+#: Lines of one key that a task compares with what looks them up; larger keys are dealt to several tasks.
+KEY_LINES = 256
+#: A line with more than one in so many of all occurrences is sent to every task: there are no more of them than that.
+HOT_LINES = 1000
+
+
+def near_lines(counted: DataFrame, edits: int = EDITS) -> DataFrame:
+    """(h, g) of the lines within `edits` edits of a line that first occurs before them.
+
+    A key is open if a line stands under it and another one looks it up; that takes the least and largest names a key has, summed
+    up before they are shuffled, so a line on a third of all rows is one row a task, and texts stay where they are. Only lines
+    with an open key are then gathered, once each, and meet by key; those that counts and ends allow are
+    verified inside the join, which gives near pairs alone. Keys of many lines are cut into parts of KEY_LINES.
+    """
+    stands = F.col("at") <= edits
+    of_lines = with_keys(counted, edits).select("h", "g", "at", "key")
+    summed = of_lines.groupBy("key").agg(F.min(F.when(stands, F.col("h"))).alias("stands"), F.min("h").alias("least"), F.max("h").alias("most"))
+    open_keys = stored(summed.where("stands is not null and least <> most").select("key"), "open-keys")
+    open_lines = stored(of_lines.join(open_keys, "key", "left_semi").select("h", "g").distinct(), "open-lines")
+    first = F.min(F.struct(_place().alias("place"), "line", "chars")).alias("first")
+    held = counted.join(open_lines, ["h", "g"], "left_semi").groupBy("h", "g").agg(first)
+    held = stored(held.select("h", "g", "first.place", "first.line", "first.chars", letter_counts(F.col("first.line")).alias("counts")), "held-lines")
+    looked = with_keys(held, edits).join(open_keys, "key", "left_semi")
+    own = F.array(*(F.substring(F.col("line"), *segment(F.lit(i), F.col("chars"), edits)) for i in range(1, edits + 1)))
+    parts = looked.where(stands).groupBy("key").agg(F.ceil(F.count("*") / KEY_LINES).cast("int").alias("parts"))
+    looked = looked.withColumn("own", own).join(parts, "key")
+    side = F.struct("h", "g", "place", "line", "chars", "counts", "own", "at")
+    standing = looked.where(stands).select("key", F.pmod(F.col("g"), F.col("parts")).cast("int").alias("part"), side.alias("r"))
+    looking = looked.select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), side.alias("s"))
+    r, s = F.col("r"), F.col("s")
+    named = lambda x: F.struct(x["h"], x["g"])
+    # lines of one length find each other both ways, and under each segment they share: the first one counts
+    before = F.lit(False)
+    for i in range(edits):
+        before = before | ((F.col("s.at") > i) & (F.col("r.own")[i] == F.col("s.own")[i]))
+    once = F.when(r["chars"] == s["chars"], (named(r) < named(s)) & ~before).otherwise(True)
+    likely = once & counts_allow(r["counts"], s["counts"], edits) & ends_allow(r["line"], s["line"], edits)
+    pairs = standing.join(looking, ["key", "part"]).where(likely & within_edits(r["line"], s["line"], edits))
+    later = F.when(s["place"] > r["place"], named(s)).otherwise(named(r))
+    return pairs.select(later.alias("later")).distinct().select("later.h", "later.g")
 
 
 def line_flags(docs: DataFrame, edits: int = EDITS, least_chars: int = LEAST_CHARS) -> DataFrame:
@@ -142,48 +215,64 @@ def line_flags(docs: DataFrame, edits: int = EDITS, least_chars: int = LEAST_CHA
 
     A line's first occurrence is that of the least (doc_id, line_no), null ids last. `exact`: the same line, without spaces
     around it, stands elsewhere first. `near`: a line within `edits` edits of it has its first occurrence before its own.
-    Lines of fewer than least_chars characters are kept. Lines are told apart by a 64-bit hash. Repeated
+    Lines of fewer than least_chars characters are kept. Lines are told apart by 128 bits of hashes. Repeated
     rows of a doc_id are the same occurrence, and are kept or dropped together.
-
-    Distinct lines are aggregated before anything is joined, so a line on a third of all rows is one row of the join.
     """
-    every = _named(_lines(docs))
-    counted = F.col("chars") >= least_chars
-    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "line_no")
-    # one column for all that is known of a distinct line, so that its one shuffle serves all four uses below
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "line_no", "line", "chars", "counts")).alias("best")
-    distinct = every.where(counted).groupBy("hash").agg(best)
-    line, chars = F.col("best.line"), F.col("best.chars")
-    indexed = distinct.select(F.explode(index_keys(line, chars, edits)).alias("key"), F.col("hash").alias("r"), F.col("best.counts").alias("r_counts"))
-    probing = distinct.select(F.explode(probe_keys(line, chars, edits)).alias("key"), F.col("hash").alias("s"), F.col("best.counts").alias("s_counts"))
-    likely = (F.col("r") != F.col("s")) & counts_allow(F.col("r_counts"), F.col("s_counts"), edits)
-    pairs = indexed.join(probing, "key").where(likely).select(F.least("r", "s").alias("r"), F.greatest("r", "s").alias("s")).distinct()
-    side = lambda c: distinct.select(F.col("hash").alias(c), F.col("best").alias(f"best_{c}"))
-    both = pairs.join(side("r"), "r").join(side("s"), "s")
-    near = both.where(within_edits(F.col("best_r.line"), F.col("best_s.line"), edits))
-    later = F.when(F.col("best_s") > F.col("best_r"), F.col("s")).otherwise(F.col("r"))
-    dropped = stored(near.select(later.alias("hash")).distinct(), "near-lines").withColumn("near", F.lit(True))
-    firsts = every.where(counted).groupBy("hash").agg(F.min(place).alias("first"), F.count("*").alias("copies"))
-    known = firsts.join(dropped, "hash", "left").where("copies > 1 or near")
-    placed = every.drop("line", "counts").join(known, "hash", "left")
-    reason = F.when(~counted, None).when(F.col("near"), "near").when(F.col("first").isNotNull() & (place != F.col("first")), "exact")
-    return placed.select("doc_id", "line_no", "chars", reason.alias("drop"))
+    return _flagged(docs, edits, least_chars, _lines(docs)).select("doc_id", "line_no", "chars", "drop")
+
+
+def _dropped(docs: DataFrame, edits: int, least_chars: int) -> DataFrame:
+    """The flags of dropped lines alone: doc_id, line_no, h, chars, drop."""
+    return _flagged(docs, edits, least_chars, _lines(docs).where(F.col("chars") >= least_chars)).where("drop is not null")
+
+
+def _flagged(docs: DataFrame, edits: int, least_chars: int, lines: DataFrame) -> DataFrame:
+    if least_chars < edits + 1:
+        raise ValueError("lines must have a character for each segment")
+    counted = _lines(docs).where(F.col("chars") >= least_chars)
+    near = stored(near_lines(counted, edits).withColumn("near", F.lit(True)), "near-lines")
+    firsts = counted.groupBy("h", "g").agg(F.min(_place()).alias("first"), F.count("*").alias("copies")).where("copies > 1")
+    known = stored(firsts.join(near, ["h", "g"], "full").select("h", "g", "first", "copies", F.coalesce("near", F.lit(False)).alias("near")), "known-lines")
+    occurrences = known.agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("n")).first()["n"]
+    hot = known.where(F.col("copies") > max(occurrences // HOT_LINES, 1)).select(F.col("h").alias("hot_h"), F.col("g").alias("hot_g"), F.struct("first", "near").alias("of_hot"))
+    of_hot = lines.drop("line").join(F.broadcast(hot), (F.col("h") == F.col("hot_h")) & (F.col("g") == F.col("hot_g")), "left")
+    # rows of hot lines have their answer and are dealt by place
+    dealt = of_hot.withColumn("k", F.when(F.col("hot_h").isNull(), F.col("h")).otherwise(F.xxhash64("doc_id", "line_no")))
+    found = dealt.join(known.select(F.col("h").alias("k"), "g", F.struct("first", "near").alias("of_known")), ["k", "g"], "left")
+    of = F.coalesce("of_hot", "of_known")
+    reason = F.when(of["near"], "near").when(of["first"].isNotNull() & (_place() != of["first"]), "exact")
+    return found.select("doc_id", "line_no", "h", "chars", reason.alias("drop"))
 
 
 def line_report(docs: DataFrame, edits: int = EDITS, least_chars: int = LEAST_CHARS) -> DataFrame:
     """One row a doc_id: n_lines, n_exact, n_near, kept_chars (without spaces around lines) and dropped, the line numbers dropped, comma-joined."""
     count = lambda c: F.count(F.when(c, 1)).alias
-    gone = F.col("drop").isNotNull()
-    numbers = F.array_join(F.array_sort(F.collect_list(F.when(gone, F.col("line_no")))).cast("array<string>"), ",")
-    return line_flags(docs, edits, least_chars).groupBy("doc_id").agg(F.count("*").alias("n_lines"), count(F.col("drop") == "exact")("n_exact"), count(F.col("drop") == "near")("n_near"), F.coalesce(F.sum(F.when(~gone, F.col("chars").cast("long"))), F.lit(0)).alias("kept_chars"), numbers.alias("dropped"))
+    lines = _lines(docs).groupBy("doc_id").agg(F.count("*").alias("lines"), F.sum(F.col("chars").cast("long")).alias("chars"))
+    gone = _dropped(docs, edits, least_chars).select("doc_id", F.lit(0).cast("long").alias("lines"), (-F.col("chars")).cast("long").alias("chars"), "line_no", "drop")
+    both = lines.unionByName(gone, allowMissingColumns=True)
+    numbers = F.array_join(F.array_sort(F.collect_list("line_no")).cast("array<string>"), ",")
+    return both.groupBy("doc_id").agg(F.sum("lines").alias("n_lines"), count(F.col("drop") == "exact")("n_exact"), count(F.col("drop") == "near")("n_near"), F.sum("chars").alias("kept_chars"), numbers.alias("dropped"))
 
 
 def dedup_lines(docs: DataFrame, edits: int = EDITS, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """docs with the dropped lines taken out of text. Other columns stay; texts without such lines stay as they are, null ones too."""
-    gone = line_flags(docs, edits, least_chars).where("drop is not null").groupBy("doc_id").agg(F.collect_set("line_no").alias("__gone"))
-    joined = docs.join(gone.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")), "left")
-    left = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__gone", i))
-    return joined.withColumn("text", F.when(F.col("__gone").isNotNull(), F.array_join(left, "\n")).otherwise(F.col("text"))).select(*docs.columns)
+    """docs with the dropped lines taken out of text. Other columns stay; texts without such lines stay as they are, null ones too.
+
+    Rows that share a doc_id but not a text lose only lines that they hold at that place themselves. A text all of whose lines are dropped is left empty.
+    """
+    numbers = F.array_sort(F.collect_set(F.struct("line_no", "h"))).alias("__gone")
+    gone = _dropped(docs.select("doc_id", "text"), edits, least_chars).groupBy(F.col("doc_id").alias("__id")).agg(numbers)
+    joined = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("__id")), "left")
+    lines = F.split("text", "\n")
+
+    def kept(x: Column) -> Column:
+        # pieces between dropped lines, so that each line is copied once
+        at = F.transform(F.filter(F.col("__gone"), lambda g: F.xxhash64(F.trim(F.get(x, g["line_no"]))) == g["h"]), lambda g: g["line_no"])
+        cuts = F.concat(F.array(F.lit(-1)), at, F.array(F.size(x)))
+        pieces = lambda c: F.transform(F.slice(c, 2, F.size(c)), lambda high, i: F.slice(x, F.get(c, i) + 2, high - F.get(c, i) - 1))
+        return F.element_at(F.transform(F.array(cuts), lambda c: F.array_join(F.flatten(pieces(c)), "\n")), 1)
+
+    text = F.when(F.col("__gone").isNotNull() & F.col("text").isNotNull(), F.element_at(F.transform(F.array(lines), kept), 1)).otherwise(F.col("text"))
+    return joined.withColumn("text", text).select(*docs.columns)
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
