@@ -181,11 +181,11 @@ FILTER_WORDS = 1_000_000
 def _likely_among(rows: DataFrame, names: DataFrame, column: str) -> DataFrame:
     """The rows whose column is among the names', and some others: a hashed bitmap of the names, of bounded size, is sent to all tasks.
 
-    So a join with the names that follows shuffles what it needs and little else.
+    So a join with the names that follows shuffles what it needs and little else. It must be an inner one: a semi-join is moved before this.
     """
     bits = 64 * max(1, min(FILTER_WORDS, names.count() // 2))
     at = F.pmod(F.xxhash64(column), F.lit(bits))
-    word, bit = F.floor(at / 64).cast("bigint"), (at % 64).cast("int")
+    word, bit = F.shiftright(at, 6), (at % 64).cast("int")
     one = F.lit(1).cast("bigint")
     words = names.select(word.alias("__word"), F.call_function("shiftleft", one, bit).alias("bit")).groupBy("__word").agg(F.bit_or("bit").alias("__bits"))
     found = rows.join(F.broadcast(words), word == F.col("__word")).where(F.call_function("shiftrightunsigned", F.col("__bits"), bit).bitwiseAND(one) == 1)
@@ -204,9 +204,9 @@ def near_lines(counted: DataFrame, edits: int = EDITS) -> DataFrame:
     of_lines = with_keys(counted, edits).select("h", "g", "at", "key")
     summed = of_lines.groupBy("key").agg(F.min(F.when(stands, F.col("h"))).alias("stands"), F.min("h").alias("least"), F.max("h").alias("most"))
     open_keys = stored(summed.where("stands is not null and least <> most").select("key"), "open-keys")
-    open_lines = stored(_likely_among(of_lines, open_keys, "key").join(open_keys, "key", "left_semi").select("h", "g").distinct(), "open-lines")
+    open_lines = stored(_likely_among(of_lines, open_keys, "key").join(open_keys, "key").select("h", "g").distinct(), "open-lines")
     first = F.min(F.struct(_place().alias("place"), "line", "chars")).alias("first")
-    held = _likely_among(counted, open_lines, "h").join(open_lines, ["h", "g"], "left_semi").groupBy("h", "g").agg(first)
+    held = _likely_among(counted, open_lines, "h").join(open_lines, ["h", "g"]).groupBy("h", "g").agg(first)
     held = stored(held.select("h", "g", "first.place", "first.line", "first.chars", letter_counts(F.col("first.line")).alias("counts")), "held-lines")
     looked = with_keys(held, edits).join(open_keys, "key", "left_semi")
     own = F.array(*(F.substring(F.col("line"), *segment(F.lit(i), F.col("chars"), edits)) for i in range(1, edits + 1)))
