@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -134,9 +134,9 @@ def _longs(*names: str) -> T.StructType:
     return T.StructType([T.StructField(n, T.LongType()) for n in names])
 
 
-def _census(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, key, n, bits) for each document, and (shingle, holders) for those that many of a few thousand documents hold."""
-    schema = T.StructType([field(docs, "doc_id"), *_longs("key", "n", "shingle", "holders"), T.StructField("bits", T.BinaryType())])
+def _census(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (doc_id, key, n, bits, *carry) for each document, and (shingle, holders) for those that many of a few thousand documents hold."""
+    schema = T.StructType([field(docs, "doc_id"), *_longs("key", "n", "shingle", "holders"), T.StructField("bits", T.BinaryType()), *(field(docs, c) for c in carry)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets: list[np.ndarray] = []
@@ -146,15 +146,16 @@ def _census(docs: DataFrame) -> DataFrame:
             often = counts >= max(2, math.ceil(LONG_SHARE * len(sets)))
             values, counts = values[often], counts[often]
             none = [None] * len(values)
-            yield _batch([none, none, none, values, counts, none], schema, {"doc_id": kind})
+            yield _batch([none, none, none, values, counts, none, *(none for _ in carry)], schema, kinds)
 
         for batch in batches:
-            kind = batch.schema.field(0).type
+            kinds = {n: batch.schema.field(n).type for n in ("doc_id", *carry)}
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 own = [shingles(t) for t in part.column(1).to_pylist()]
                 none = [None] * len(own)
-                yield _batch([part.column(0).to_pylist(), [set_key(s) for s in own], [len(s) for s in own], none, none, [parity_bits(s) for s in own]], schema, {"doc_id": kind})
+                carried = (part.column(2 + i).to_pylist() for i in range(len(carry)))
+                yield _batch([part.column(0).to_pylist(), [set_key(s) for s in own], [len(s) for s in own], none, none, [parity_bits(s) for s in own], *carried], schema, kinds)
                 sets += own
                 if len(sets) >= COUNTED:
                     yield from common()
@@ -162,7 +163,7 @@ def _census(docs: DataFrame) -> DataFrame:
         if sets:
             yield from common()
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text", *carry).mapInArrow(run, schema)
 
 
 def _postings(docs: DataFrame, long: np.ndarray) -> DataFrame:
@@ -204,8 +205,8 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]
 
 
 def _shared_lists(postings: DataFrame) -> DataFrame:
-    """(shingle, key, first): the lists that hold at least two classes; first is the least of them."""
-    schema = _longs("shingle", "key", "first")
+    """(shingle, key): the lists that hold at least two classes."""
+    schema = _longs("shingle", "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s, k in _lists(batches):
@@ -215,53 +216,50 @@ def _shared_lists(postings: DataFrame) -> DataFrame:
             starts = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
             sizes = np.diff(np.append(starts, len(s)))
             more = np.repeat(sizes > 1, sizes)
-            yield _batch([s[more], k[more], np.repeat(k[starts], sizes)[more]], schema)
+            yield _batch([s[more], k[more]], schema)
 
     return postings.repartition("shingle").sortWithinPartitions("shingle", "key").mapInArrow(run, schema)
 
 
+def _centres(lists: DataFrame, members: DataFrame) -> DataFrame:
+    """Pairs (a, b): each class b with the most central class a of each list it is on.
+
+    The original of a group has few shingles of its own, a copy has those that its changes made. So the class with the least share of
+    merged lists to itself stands first in all lists of its group, and the pairs are few.
+    """
+    merged = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1
+    rank = F.struct((1 - F.col("shared") / merged).alias("alone"), F.col("key"))
+    ranked = lists.join(members.select("key", rank.alias("rank")), "key")
+    first = ranked.groupBy("shingle").agg(F.min("rank").alias("first"))
+    return ranked.join(first, "shingle").where("rank <> first").select(F.col("first.key").alias("a"), F.col("key").alias("b")).distinct()
+
+
 def least_shared(n_a, n_b, percent: int = PERCENT):
-    """How many merged lists two linked sets of these sizes share at least: whatever they have in common beyond lies past one's prefix."""
+    """T - L: how many merged lists two linked sets of these sizes share at least, as whatever else they have in common lies past one's prefix."""
     need = -(-percent * (n_a + n_b) // (100 + percent))
     past = np.maximum(-(-percent * n_a // 100), -(-percent * n_b // 100)) - 1
     return np.maximum(1, need - past)
 
 
-def _open_pairs(lists: DataFrame, comp: DataFrame, members: DataFrame) -> DataFrame:
-    """Pairs (a, b) of classes that aren't yet in one component and share as many merged lists as their sizes ask for."""
-    sized = lists.select("shingle", "key").join(members.select("key", "n"), "key")
-    named = sized.join(comp.withColumnRenamed("node", "key"), "key", "left").select("shingle", F.coalesce("component", "key").alias("component"), "key", "n")
-    open_ = named.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("shingle")
-    schema = _longs("a", "b", "n_a", "n_b")
+def _least_shared(n_a: Column, n_b: Column, percent: int = PERCENT) -> Column:
+    """least_shared of columns."""
+    past = F.greatest(F.ceil(percent * n_a / 100), F.ceil(percent * n_b / 100)) - 1
+    return F.greatest(F.ceil(percent * (n_a + n_b) / (100 + percent)) - past, F.lit(1))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for s, c, k, n in _lists(batches):
-            starts = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
-            out, held = [], 0
-            for low, high in zip(starts.tolist(), [*starts[1:].tolist(), len(s)], strict=True):
-                cc, kk, nn = c[low:high], k[low:high], n[low:high]
-                for i in range(high - low - 1):
-                    fits = (cc[i + 1 :] != cc[i]) & (100 * np.minimum(nn[i + 1 :], nn[i]) >= PERCENT * np.maximum(nn[i + 1 :], nn[i]))
-                    other, size = kk[i + 1 :][fits], nn[i + 1 :][fits]
-                    if len(other):
-                        first = kk[i] < other
-                        out.append((np.where(first, kk[i], other), np.where(first, other, kk[i]), np.where(first, nn[i], size), np.where(first, size, nn[i])))
-                        held += len(other)
-                    if held > 200_000:
-                        yield _batch([np.concatenate(x) for x in zip(*out, strict=True)], schema)
-                        out, held = [], 0
-            if held:
-                yield _batch([np.concatenate(x) for x in zip(*out, strict=True)], schema)
-
-    def often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b, n_a, n_b, shared = (x.to_numpy() for x in batch.columns)
-            kept = shared >= least_shared(n_a, n_b)
-            yield _batch([a[kept], b[kept]], _longs("a", "b"))
 
-    kept = named.join(open_, "shingle", "left_semi").select("shingle", "component", "key", "n")
-    pairs = kept.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(run, schema)
-    return pairs.groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("shared")).mapInArrow(often, _longs("a", "b"))
+def _open_pairs(lists: DataFrame, comp: DataFrame, members: DataFrame) -> DataFrame:
+    """Pairs (a, b) of classes that aren't yet in one component and occur together in as many merged lists as their sizes ask for.
+
+    Lists are merged by a sort-merge join of the lists with themselves, which splits hot ones, and occurrences are summed before they are shuffled.
+    """
+    named = lists.join(members.select("key", "n"), "key").join(comp.withColumnRenamed("node", "key"), "key", "left").select("shingle", F.coalesce("component", "key").alias("component"), "key", "n")
+    open_ = named.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("shingle")
+    kept = stored(named.join(open_, "shingle", "left_semi"), "open-lists")
+    side = lambda c: kept.select("shingle", F.col("key").alias(c), F.col("component").alias(f"of_{c}"), F.col("n").alias(f"n_{c}"))
+    n_a, n_b = F.col("n_a"), F.col("n_b")
+    apart = (F.col("a") < F.col("b")) & (F.col("of_a") != F.col("of_b")) & (100 * F.least(n_a, n_b) >= PERCENT * F.greatest(n_a, n_b))
+    merged = side("a").join(side("b"), "shingle").where(apart)
+    return merged.groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("shared")).where(F.col("shared") >= _least_shared(n_a, n_b)).select("a", "b")
 
 
 def _possible(pairs: DataFrame, members: DataFrame) -> DataFrame:
@@ -305,35 +303,41 @@ def _verified(pairs: DataFrame, members: DataFrame, docs: DataFrame) -> DataFram
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
-    """For each row of docs (doc_id, text): doc_id, n_shingles and component_id, the smallest doc_id that links reach.
+    """For each row of docs (doc_id, text): doc_id, n_shingles and component_id, the smallest doc_id that links reach."""
+    return jaccard_groups(docs).select("doc_id", "n_shingles", "component_id")
+
+
+def jaccard_groups(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """For each row of docs (doc_id, text): doc_id, n_shingles, component_id, the smallest doc_id that links reach, group, a number that rows have in common
+    if links join them and no others have, null for texts without words, and the columns named in carry.
 
     Equal sets are one class, told apart by a 64-bit hash and their size, and one row stands for it. First each class
-    is compared with the first one of each list it is on; these few pairs a document join the bulk of every group. Then
+    is compared with the most central one of each list it is on; these few pairs a document join the bulk of every group. Then
     the pairs that aren't yet in one component and share as many lists as a link asks for are compared, so that no link
     between components is lost and a group's copies are not compared all with all. No partner is capped.
     Null, empty or wordless texts have 0 shingles and stand alone; repeated rows are one class; a row without doc_id has
     no place among the components and gets its class's. An empty table gives an empty result.
     """
+    census = stored(_census(docs, carry), "census")
     docs = docs.select("doc_id", "text")
-    census = stored(_census(docs), "census")
-    rows = census.where("key is not null").select("doc_id", "key", "n", "bits")
+    rows = census.where("key is not null").select("doc_id", "key", "n", "bits", *carry)
     n_docs = rows.count()
     common = census.where("shingle is not null").groupBy("shingle").agg(F.sum("holders").alias("holders")).where(F.col("holders") >= max(4.0, LONG_SHARE * n_docs / 2))
     long = np.sort(np.array([r[0] for r in common.select("shingle").collect()], np.int64))
     classes = rows.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits"))
     lists = stored(_shared_lists(_postings(docs, long)), "lists")
-    members = lists.select("key").distinct().join(classes, "key")
-    stars = lists.where("key <> first").select(F.col("first").alias("a"), F.col("key").alias("b")).distinct()
-    links = stored(_verified(_possible(stars, members), members, docs), "stars")
+    members = stored(lists.groupBy("key").agg(F.count("*").alias("shared")).join(classes, "key"), "members")
+    links = stored(_verified(_possible(_centres(lists, members), members), members, docs), "stars")
     more = _possible(_open_pairs(lists, components(links), members), members)
     links = links.union(stored(_verified(more, members, docs), "open"))
     comp = stored(components(links), "components")
     named = comp.join(classes.withColumnRenamed("key", "node"), "node").select("node", "component", "doc_id")
     least = named.groupBy("component").agg(F.min("doc_id").alias("least"))
-    by_class = named.join(least, "component").select(F.col("node").alias("key"), F.col("least").alias("of_links"))
-    of_class = classes.join(by_class, "key", "left").select("key", F.coalesce("of_links", "doc_id").alias("component_id"))
+    by_class = named.join(least, "component").select(F.col("node").alias("key"), F.col("least").alias("of_links"), "component")
+    of_class = classes.join(by_class, "key", "left").select("key", F.coalesce("of_links", "doc_id").alias("component_id"), "component")
     out = rows.join(of_class, "key", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    group = F.when(F.col("n") > 0, F.coalesce("component", "key"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), group.alias("group"), *carry)
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
