@@ -10,13 +10,26 @@ from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where it is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """The folder that the cluster names in spark.checkpoint.dir, with its file system.
+
+    Where it is unset, a local master gets a temporary one; any other must name one, as its executors share no local folder.
+    """
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="groupwise-")
-        spark.sparkContext.setCheckpointDir(named)
-        named = spark.sparkContext.getCheckpointDir()
-    return named.rstrip("/")
+        context.setCheckpointDir(named)
+        named = context.getCheckpointDir()
+    path = context._jvm.org.apache.hadoop.fs.Path(named)
+    return path.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+
+
+def tasks_for(spark: SparkSession, total_bytes: int, task_bytes: int = 64_000_000, least_bytes: int = 1_000_000) -> int:
+    """Tasks for an amount of data: one for each task_bytes, but where there is little, as many as keep three rounds of all cores busy with least_bytes or more."""
+    small = min(-(-total_bytes // least_bytes), 3 * spark.sparkContext.defaultParallelism)
+    return max(1, -(-total_bytes // task_bytes), small)
 
 
 def new_path(spark: SparkSession, name: str) -> str:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from groupwise.llm.common import field, filesystem, new_path, stored, table
+from groupwise.llm.common import field, filesystem, new_path, stored, table, tasks_for
 
 #: Samples of a pixel row: 64 pixels of three 8-bit samples.
 ROW = 192
@@ -189,7 +189,9 @@ def media_columns(rows: DataFrame, folder: str, id_col: str = "doc_id", data_col
     written = stored(write_shards(rows, folder, id_col, data_col), "media-rows")
     place = F.min(F.struct("shard", "offset", "length")).alias("place")
     places = written.groupBy("digest").agg(place).select("digest", "place.*")
-    in_order = places.repartition("shard", (F.col("offset") / 4_000_000).cast("long")).sortWithinPartitions("shard", "offset")
+    total = written.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("n")).first()["n"]
+    # the number is given, as places are so small beside what they name that adaptive execution would merge them
+    in_order = places.repartition(tasks_for(rows.sparkSession, total), "shard", (F.col("offset") / 4_000_000).cast("long")).sortWithinPartitions("shard", "offset")
     known = stored_features(header_metadata(in_order))
     return written.select("doc_id", "digest").join(known, "digest")
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from groupwise.llm.common import filesystem, new_path, stored, table
+from groupwise.llm.common import filesystem, new_path, stored, table, tasks_for
 
 #: Payloads of fewer bytes are always written whole.
 REVISIT_BYTES = 1000
@@ -113,31 +113,59 @@ def _whole_member(read, at: int, first: bytes) -> tuple[bytes, int] | None:
             return None
 
 
+#: Members in a row, or fewer up to the file's end, that must follow one another before a range's first candidate counts.
+CHAIN = 4
+
+
 def members_in(read, start: int, end: int) -> Iterator[tuple[int, bytes]]:
     """(offset, record) of the members that start in [start, end), by read(offset, bytes).
 
-    The range is scanned for gzip magic; a candidate counts if it decodes to a WARC header and to its end. Whatever a
-    member holds is passed over, so magic inside compressed data of an own member is never tried; at a range's begin,
-    inside another's member, it fails to decode.
+    The range is scanned for gzip magic; a candidate counts if it decodes to a WARC header and to its end, and what follows is
+    another such member, CHAIN times or up to the file's end. So a member that a record stores uncompressed, and that a range which
+    begins inside that record meets first, is passed over: the record's own end follows it. A stored archive of CHAIN or more members in a row can't be told from
+    the file's own by a range that begins inside it. Whatever a member holds is passed over too.
     """
     at, window, base = start, b"", start
-    while at < end:
+    held: list[tuple[int, bytes]] = []
+    sure = start == 0
+    while not (sure and at >= end):
         if at < base or at + len(MAGIC) > base + len(window):
             base, window = at, read(at, CHUNK)
-        hit = window.find(MAGIC, at - base)
-        if hit < 0:
-            if len(window) < CHUNK:
+        if held or sure:  # a chain goes on right here or ends
+            follows = window[at - base : at - base + len(MAGIC)] == MAGIC
+            found = _whole_member(read, at, window[at - base :]) if follows else None
+            if found is None:
+                if held and at - base < len(window):
+                    at, held = held[0][0] + 1, []  # no member, nor the file's end: the chain was none
+                    continue
+                yield from (h for h in held if h[0] < end)
+                if at >= end or at - base >= len(window):
+                    return
+                held, sure = [], False  # broken bytes between members
+                continue
+        else:
+            if at >= end:
+                return
+            hit = window.find(MAGIC, at - base)
+            if hit < 0:
+                if len(window) < CHUNK:
+                    return
+                at = base + len(window) - len(MAGIC) + 1
+                continue
+            at = base + hit
+            if at >= end:
                 return
-            at = base + len(window) - len(MAGIC) + 1
-            continue
-        at = base + hit
-        if at >= end:
-            return
-        found = _whole_member(read, at, window[hit:])
-        if found is None:
-            at += 1
-            continue
-        yield at, found[0]
+            found = _whole_member(read, at, window[hit:])
+            if found is None:
+                at += 1
+                continue
+        if sure:
+            yield at, found[0]
+        else:
+            held.append((at, found[0]))
+            if len(held) >= CHAIN:
+                yield from (h for h in held if h[0] < end)
+                held, sure = [], True
         at += found[1]
 
 
@@ -180,7 +208,9 @@ def read_archives(files: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame
                 if rows:
                     yield batch_of(rows)
 
-    return ranges.repartition("path", "start").mapInArrow(run, schema)
+    total = files.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("n")).first()["n"]
+    # the number is given, as range rows are so small that adaptive execution would merge them into one task
+    return ranges.repartition(tasks_for(files.sparkSession, total), "path", "start").mapInArrow(run, schema)
 
 
 #: The letters of base 32 (RFC 4648), in order of value.
