@@ -79,13 +79,16 @@ def required(n: int, percent: int = PERCENT) -> int:
     return -(-n * percent // 100)
 
 
-def prefix(shingle_set: np.ndarray, long: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """The shingles whose lists are merged: the first n - T + 1, those with long lists last."""
+def prefix(shingle_set: np.ndarray, long: np.ndarray, percent: int = PERCENT, rank: np.ndarray | None = None) -> np.ndarray:
+    """The shingles whose lists are merged: the first n - T + 1 in an order that all sets share, those with long lists last, the longest (by rank) at the end."""
     n = len(shingle_set)
     if len(long):
-        at = np.searchsorted(long, shingle_set)
-        is_long = long[np.minimum(at, len(long) - 1)] == shingle_set
-        shingle_set = np.concatenate((shingle_set[~is_long], shingle_set[is_long]))
+        at = np.minimum(np.searchsorted(long, shingle_set), len(long) - 1)
+        is_long = long[at] == shingle_set
+        last = shingle_set[is_long]
+        if rank is not None:
+            last = last[np.argsort(rank[at[is_long]], kind="stable")]
+        shingle_set = np.concatenate((shingle_set[~is_long], last))
     return shingle_set[: n - required(n, percent) + 1]
 
 
@@ -166,10 +169,10 @@ def _census(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     return docs.select("doc_id", "text", *carry).mapInArrow(run, schema)
 
 
-def _postings(docs: DataFrame, long: np.ndarray) -> DataFrame:
-    """(shingle, key): the short lists that are merged; a task sends a class once."""
-    schema = _longs("shingle", "key")
-    sent_long = docs.sparkSession.sparkContext.broadcast(long)
+def _postings(docs: DataFrame, long: np.ndarray, rank: np.ndarray) -> DataFrame:
+    """(shingle, key, at): the short lists that are merged, with the shingle's place in its class's order; a task sends a class once."""
+    schema = _longs("shingle", "key", "at")
+    sent_long = docs.sparkSession.sparkContext.broadcast((long, rank))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[int] = set()
@@ -182,10 +185,11 @@ def _postings(docs: DataFrame, long: np.ndarray) -> DataFrame:
                         if len(sent) > REMEMBERED:
                             sent.clear()
                         sent.add(key)
-                        out.append(prefix(own, sent_long.value))
+                        out.append(prefix(own, sent_long.value[0], rank=sent_long.value[1]))
                         keys.append(key)
                         sizes.append(len(out[-1]))
-                yield _batch([np.concatenate(out), np.repeat(np.array(keys, np.int64), np.array(sizes, np.int64))], schema)
+                places = np.concatenate([np.arange(n) for n in sizes]) if sizes else np.zeros(0, np.int64)
+                yield _batch([np.concatenate(out), np.repeat(np.array(keys, np.int64), np.array(sizes, np.int64)), places], schema)
 
     return docs.select("text").mapInArrow(run, schema)
 
@@ -205,18 +209,18 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]
 
 
 def _shared_lists(postings: DataFrame) -> DataFrame:
-    """(shingle, key): the lists that hold at least two classes."""
-    schema = _longs("shingle", "key")
+    """(shingle, key, at): the lists that hold at least two classes."""
+    schema = _longs("shingle", "key", "at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for s, k in _lists(batches):
+        for s, k, at in _lists(batches):
             new = np.ones(len(s), bool)
             new[1:] = (s[1:] != s[:-1]) | (k[1:] != k[:-1])
-            s, k = s[new], k[new]
+            s, k, at = s[new], k[new], at[new]
             starts = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
             sizes = np.diff(np.append(starts, len(s)))
             more = np.repeat(sizes > 1, sizes)
-            yield _batch([s[more], k[more]], schema)
+            yield _batch([s[more], k[more], at[more]], schema)
 
     return postings.repartition("shingle").sortWithinPartitions("shingle", "key").mapInArrow(run, schema)
 
@@ -241,25 +245,25 @@ def least_shared(n_a, n_b, percent: int = PERCENT):
     return np.maximum(1, need - past)
 
 
-def _least_shared(n_a: Column, n_b: Column, percent: int = PERCENT) -> Column:
-    """least_shared of columns."""
-    past = F.greatest(F.ceil(percent * n_a / 100), F.ceil(percent * n_b / 100)) - 1
-    return F.greatest(F.ceil(percent * (n_a + n_b) / (100 + percent)) - past, F.lit(1))
-
-
 def _open_pairs(lists: DataFrame, comp: DataFrame, members: DataFrame) -> DataFrame:
-    """Pairs (a, b) of classes that aren't yet in one component and occur together in as many merged lists as their sizes ask for.
+    """Pairs (a, b) of classes that aren't yet in one component and meet in a list early enough for their sizes.
 
-    Lists are merged by a sort-merge join of the lists with themselves, which splits hot ones, and occurrences are summed before they are shuffled.
+    Of two sets that share `need` shingles the first one that they share, in the common order, has at least need - 1 after it in both. So
+    only the beginnings of both lists of shingles are merged, shorter ones than a prefix for any partner; who has that many of its own there
+    meets nobody, however large its group. A sort-merge join of the lists with themselves splits hot ones.
     """
-    named = lists.join(members.select("key", "n"), "key").join(comp.withColumnRenamed("node", "key"), "key", "left").select("shingle", F.coalesce("component", "key").alias("component"), "key", "n")
+    named = lists.join(members.select("key", "n"), "key").join(comp.withColumnRenamed("node", "key"), "key", "left").select("shingle", F.coalesce("component", "key").alias("component"), "key", "n", "at")
     open_ = named.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("shingle")
-    kept = stored(named.join(open_, "shingle", "left_semi"), "open-lists")
-    side = lambda c: kept.select("shingle", F.col("key").alias(c), F.col("component").alias(f"of_{c}"), F.col("n").alias(f"n_{c}"))
+    # with a partner of its own size or more a set needs more than with a smaller one: beyond this place it only meets smaller ones
+    early = F.col("at") <= F.col("n") - F.ceil(2 * PERCENT * F.col("n") / (100 + PERCENT))
+    kept = stored(named.join(open_, "shingle", "left_semi").withColumn("early", early), "open-lists")
+    side = lambda df, c: df.select("shingle", F.col("key").alias(c), F.col("component").alias(f"of_{c}"), F.col("n").alias(f"n_{c}"), F.col("at").alias(f"at_{c}"))
     n_a, n_b = F.col("n_a"), F.col("n_b")
-    apart = (F.col("a") < F.col("b")) & (F.col("of_a") != F.col("of_b")) & (100 * F.least(n_a, n_b) >= PERCENT * F.greatest(n_a, n_b))
-    merged = side("a").join(side("b"), "shingle").where(apart)
-    return merged.groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("shared")).where(F.col("shared") >= _least_shared(n_a, n_b)).select("a", "b")
+    need = F.ceil(PERCENT * (n_a + n_b) / (100 + PERCENT))
+    smaller = (n_a < n_b) | ((n_a == n_b) & (F.col("a") < F.col("b")))
+    meet = smaller & (F.col("of_a") != F.col("of_b")) & (100 * n_a >= PERCENT * n_b) & (F.col("at_a") <= n_a - need) & (F.col("at_b") <= n_b - need)
+    merged = side(kept.where("early"), "a").join(side(kept, "b"), "shingle").where(meet)
+    return merged.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _possible(pairs: DataFrame, members: DataFrame) -> DataFrame:
@@ -313,7 +317,7 @@ def jaccard_groups(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
 
     Equal sets are one class, told apart by a 64-bit hash and their size, and one row stands for it. First each class
     is compared with the most central one of each list it is on; these few pairs a document join the bulk of every group. Then
-    the pairs that aren't yet in one component and share as many lists as a link asks for are compared, so that no link
+    the pairs that aren't yet in one component and meet early enough in a list are compared, so that no link
     between components is lost and a group's copies are not compared all with all. No partner is capped.
     Null, empty or wordless texts have 0 shingles and stand alone; repeated rows are one class; a row without doc_id has
     no place among the components and gets its class's. An empty table gives an empty result.
@@ -323,9 +327,10 @@ def jaccard_groups(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     rows = census.where("key is not null").select("doc_id", "key", "n", "bits", *carry)
     n_docs = rows.count()
     common = census.where("shingle is not null").groupBy("shingle").agg(F.sum("holders").alias("holders")).where(F.col("holders") >= max(4.0, LONG_SHARE * n_docs / 2))
-    long = np.sort(np.array([r[0] for r in common.select("shingle").collect()], np.int64))
+    found = sorted((r["shingle"], r["holders"]) for r in common.collect())
+    long, rank = (np.array([x[i] for x in found], np.int64) for i in (0, 1))
     classes = rows.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits"))
-    lists = stored(_shared_lists(_postings(docs, long)), "lists")
+    lists = stored(_shared_lists(_postings(docs, long, rank)), "lists")
     members = stored(lists.groupBy("key").agg(F.count("*").alias("shared")).join(classes, "key"), "members")
     links = stored(_verified(_possible(_centres(lists, members), members), members, docs), "stars")
     more = _possible(_open_pairs(lists, components(links), members), members)
