@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,17 +13,16 @@ from pyspark.sql import types as T
 from groupwise.llm.common import field, table
 
 NEAREST = 20
-PROJECTIONS = 96
+PROJECTIONS = 160
 #: Share of projections whose window must hold a vector before it is verified.
 THRESHOLD = 0.9
-#: Windows stop growing once k vectors and this share of a block collide often enough; all that do are verified. With the
-#: projections and the threshold it sets recall: measured on the given tables of 51,282 rows it is above 0.9 (README).
-SHARE = 0.06
-#: A block's candidates that windows grow to at least, which makes small tables nearly exact.
-LEAST = 256
+#: Windows stop growing once OVER * k vectors and this share of a block collide often enough; all that do are verified. With the
+#: projections and the threshold they set recall, which README gives as measured.
+SHARE, OVER = 0.1, 4
 #: First half-width of a window, in standard deviations of a projection, and the factor by which it grows.
 FIRST, GROWTH = 1.9, 1.08
-BLOCK, QUERY_BLOCK = 16_384, 2_048
+#: Vectors of a block, which a task holds, and queries that are answered at once.
+BLOCK, QUERY_BLOCK = 16_384, 256
 SEED = 20
 #: Largest norm by least norm of vectors that are searched together.
 RATIO = 1.1
@@ -46,34 +47,38 @@ def norm_ranges(norms: np.ndarray, ratio: float = RATIO) -> list[np.ndarray]:
     return np.split(order, np.flatnonzero(np.diff(step)) + 1)
 
 
-def best_of_block(ids: np.ndarray, points: np.ndarray, q_ids: np.ndarray, q_points: np.ndarray, axes: np.ndarray, k: int, threshold: int):
-    """For each query its (ids, scores) of the k best of a block.
+class Block:
+    """A block's vectors by ranges of norms, with the sorted projections of each range.
 
     Norms of very different size leave nothing of inner products in distances, so each range of norms is lifted to its own largest
-    norm, and so are queries, whose length changes no order. A range is left out for queries whose k-th best beats the
-    largest inner product that its norms allow; one no larger than the windows must be filled is verified whole.
+    norm, and so are queries, whose length changes no order.
     """
-    norms, q_norms = lengths(points), lengths(q_points)
-    best = [(ids[:0], np.zeros(0))] * len(q_ids)
-    for places in norm_ranges(norms):
-        places = np.sort(places)
-        largest = float(norms[places].max())
-        asking = [j for j, (_, s) in enumerate(best) if len(s) < k or s[-1] <= largest * q_norms[j] * (1 + 1e-9)]
-        if not asking:
-            continue
-        wanted = max(LEAST, k + 1 + int(SHARE * len(places)))
-        if len(places) <= wanted:
-            candidates = [np.arange(len(places))] * len(asking)
-        else:
+
+    def __init__(self, ids: np.ndarray, points: np.ndarray, axes: np.ndarray):
+        self.ids, self.points, self.axes = ids, points, axes
+        norms = lengths(points)
+        self.ranges = []
+        for places in map(np.sort, norm_ranges(norms)):
+            largest = float(norms[places].max())
+            self.ranges.append((places, largest, SortedProjections(lifted(points[places], largest), axes)))
+
+    def best(self, q_ids: np.ndarray, q_points: np.ndarray, k: int, threshold: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(ids, scores) of the k best for each query. A range is left out for queries whose k-th best beats the largest inner product that its norms allow."""
+        q_norms = lengths(q_points)
+        best = [(self.ids[:0], np.zeros(0))] * len(q_ids)
+        for places, largest, index in self.ranges:
+            asking = [j for j, (_, s) in enumerate(best) if len(s) < k or s[-1] <= largest * q_norms[j] * (1 + 1e-9)]
+            if not asking:
+                continue
             to = q_points[asking] / q_norms[asking][:, None] * largest
-            candidates = SortedProjections(lifted(points[places], largest), axes).candidates(axes @ np.hstack((to, np.zeros((len(to), 1)))).T, wanted, threshold)
-        for j, found in zip(asking, candidates, strict=True):
-            found = places[found]
-            found = found[ids[found] != q_ids[j]]
-            every, scores = np.concatenate((best[j][0], ids[found])), np.concatenate((best[j][1], (points[found] * q_points[j]).sum(axis=1)))
-            first = np.lexsort((every, -scores))[:k]
-            best[j] = every[first], scores[first]
-    return best
+            wanted = OVER * k + 1 + int(SHARE * len(places))
+            for j, found in zip(asking, index.candidates(self.axes @ np.hstack((to, np.zeros((len(to), 1)))).T, wanted, threshold), strict=True):
+                found = places[found]
+                found = found[self.ids[found] != q_ids[j]]
+                every, scores = np.concatenate((best[j][0], self.ids[found])), np.concatenate((best[j][1], (self.points[found] * q_points[j]).sum(axis=1)))
+                first = np.lexsort((every, -scores))[:k]
+                best[j] = every[first], scores[first]
+        return best
 
 
 def projections(dim: int, n: int = PROJECTIONS, seed: int = SEED) -> np.ndarray:
@@ -116,7 +121,7 @@ class SortedProjections:
 def nearest(vectors: DataFrame, is_query, k: int = NEAREST, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """The k rows of the largest inner product for each row that is_query (a Column) picks, but for itself: query_id, rank, id, score.
 
-    Every row is indexed, in blocks of vectors; queries go to all blocks in blocks of their own, so a task holds BLOCK
+    Every row is indexed once, in blocks of vectors; queries flow through all blocks, so a task holds BLOCK
     vectors and QUERY_BLOCK queries, and a block verifies all that collide often enough and keeps its k best. Scores
     are double-precision inner products of the vectors given. Ties go to the smaller id.
     Null vectors and ids, zero vectors, those that hold null, NaN or infinite components or another number of
@@ -134,28 +139,39 @@ def nearest(vectors: DataFrame, is_query, k: int = NEAREST, id_col: str = "vec_i
         empty = clean.where("false")
         return empty.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score"))
     dim = sizes["size"]
-    blocks, query_blocks = -(-sizes["n"] // BLOCK), max(1, -(-(sizes["asking"] or 0) // QUERY_BLOCK))
+    blocks = -(-sizes["n"] // BLOCK)
     clean = clean.where(F.size("vec") == dim)
-    at = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks))
-    query_at = F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(query_blocks))
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    stored_rows = clean.select("vec_id", "vec", at.cast("long").alias("block")).withColumn("query_block", every(query_blocks))
-    queries = clean.where("asks").groupBy("vec_id").agg(F.min("vec").alias("vec")).select("vec_id", "vec", query_at.cast("long").alias("query_block")).withColumn("block", every(blocks))
-    axes = projections(dim + 1)
+    at = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("long")
+    held = clean.select(at.alias("block"), F.lit(False).alias("asks"), "vec_id", "vec")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    asked = clean.where("asks").groupBy("vec_id").agg(F.min("vec").alias("vec")).select(every.alias("block"), F.lit(True).alias("asks"), "vec_id", "vec")
+    axes = projections(dim + 1, PROJECTIONS)
     threshold = int(np.ceil(THRESHOLD * PROJECTIONS))
 
-    def search(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        if not len(rows) or not len(asked):
-            return pd.DataFrame({"query_id": rows["vec_id"][:0], "vec_id": rows["vec_id"][:0], "score": np.zeros(0)})
-        rows = rows.sort_values("vec_id", kind="stable")
-        ids, points = rows["vec_id"].to_numpy(), np.stack(rows["vec"].to_numpy()).astype(float)
-        q_ids, q_points = asked["vec_id"].to_numpy(), np.stack(asked["vec"].to_numpy()).astype(float)
-        found = best_of_block(ids, points, q_ids, q_points, axes, k, threshold)
-        out = [(np.repeat(q, len(best)), best, scores) for q, (best, scores) in zip(q_ids, found, strict=True)]
-        return pd.DataFrame({n: np.concatenate(c) for n, c in zip(schema.names, zip(*out, strict=True), strict=True)})
-
-    keys = ("block", "query_block")
-    local = stored_rows.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInPandas(search, schema)
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # rows come by block, its vectors before the queries
+        current, ids, points, block = None, [], [], None
+        for batch in batches:
+            kind = batch.schema.field("vec_id").type
+            for low in range(0, batch.num_rows, QUERY_BLOCK):
+                part = batch.slice(low, QUERY_BLOCK)
+                numbers, asks = part.column(0).to_numpy(), part.column(1).to_numpy(zero_copy_only=False)
+                names, vectors = part.column(2).to_numpy(zero_copy_only=False), np.asarray(part.column(3).flatten()).reshape(part.num_rows, dim)
+                for number in dict.fromkeys(numbers.tolist()):
+                    if number != current:
+                        current, ids, points, block = number, [], [], None
+                    own = numbers == number
+                    ids.append(names[own & ~asks])
+                    points.append(vectors[own & ~asks])
+                    asking = own & asks
+                    if not asking.any() or not sum(map(len, ids)):
+                        continue
+                    block = block or Block(np.concatenate(ids), np.concatenate(points), axes)
+                    found = block.best(names[asking], vectors[asking], k, threshold)
+                    of = np.repeat(names[asking], [len(x) for x, _ in found])
+                    yield pa.RecordBatch.from_arrays([pa.array(of, kind), pa.array(np.concatenate([x for x, _ in found]), kind), pa.array(np.concatenate([s for _, s in found]))], names=schema.names)
+
+    local = held.unionByName(asked).repartition(blocks, "block").sortWithinPartitions("block", "asks", "vec_id").mapInArrow(search, schema)
     best = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("minus"), "vec_id"))), 1, k)  # k rows from each block
     ranked = local.groupBy("query_id").agg(best.alias("best")).select("query_id", F.posexplode("best").alias("at", "hit"))
     return ranked.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), "hit.vec_id", (-F.col("hit.minus")).alias("score"))
