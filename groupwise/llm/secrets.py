@@ -40,17 +40,38 @@ _SPAN = "array<struct<start:int,kind:int,end:int>>"
 _NONE = f"cast(array() as {_SPAN})"
 
 
+#: Matches whose places are summed up in one go; a text's matches are worked on in stretches of so many, so that time grows in proportion to them.
+STRETCH = 200
+
+
+def _bound(x: Column, f) -> Column:
+    """f of x, which is computed once."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
 def matches(text: Column, pattern: str) -> Column:
     """(start, match) of a pattern's leftmost non-overlapping matches, in code points: what split leaves between them gives the places."""
-    between, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), 0)
-    pairs = F.arrays_zip(F.slice(between, 1, F.size(found)).alias("gap"), found.alias("match"))
-    state = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,match:string>>)").alias("out"))
+    found = F.regexp_extract_all(text, F.lit(pattern), 0)
+    zipped = _bound(found, lambda m: F.arrays_zip(F.slice(F.split(text, pattern, -1), 1, F.size(m)).alias("gap"), m.alias("match")))
+    none = F.expr("cast(array() as array<struct<start:int,match:string>>)")
 
-    def step(s: Column, x: Column) -> Column:
-        start = s["at"] + F.length(x["gap"])
-        return F.struct((start + F.length(x["match"])).alias("at"), F.concat(s["out"], F.array(F.struct(start.alias("start"), x["match"].alias("match")))).alias("out"))
+    def placed(part: Column, at: Column) -> Column:
+        def step(s: Column, x: Column) -> Column:
+            start = s["at"] + F.length(x["gap"])
+            return F.struct((start + F.length(x["match"])).alias("at"), F.concat(s["out"], F.array(F.struct(start.alias("start"), x["match"].alias("match")))).alias("out"))
+
+        return F.aggregate(part, F.struct(at.alias("at"), none.alias("out")), step)["out"]
+
+    def stretches(pairs: Column) -> Column:
+        firsts = F.sequence(F.lit(1), F.size(pairs), F.lit(STRETCH))
+        return F.transform(firsts, lambda i: F.slice(pairs, i, STRETCH))
+
+    def in_order(parts: Column) -> Column:
+        sizes = F.transform(parts, lambda part: F.aggregate(part, F.lit(0), lambda s, x: s + F.length(x["gap"]) + F.length(x["match"])))
+        begins = F.aggregate(sizes, F.array(F.lit(0)), lambda out, n: F.concat(out, F.array(F.element_at(out, -1) + n)))
+        return _bound(begins, lambda b: F.flatten(F.transform(parts, lambda part, i: placed(part, F.get(b, i)))))
 
-    return F.aggregate(pairs, state, step)["out"]
+    return _bound(zipped, lambda pairs: F.when(F.size(pairs) > 0, _bound(stretches(pairs), in_order)).otherwise(none))
 
 
 def _spans(text: Column, pattern: str, kind: str, keep=None) -> Column:
