@@ -173,9 +173,10 @@ def test_templates_see_whole_prefixes_of_long_conversations(spark):
         before, now = numbered(said[:k]) if k else "", numbered(said[: k + 1])
         assert r.rewrote == (k == 150) == (not now.startswith(before))
         assert r.start == (5 if k == 150 else len(before)) and r.piece == now[r.start :]
-    with pytest.raises(ValueError, match="whole prefixes"):
-        renderer = chat.IncrementalRenderer(lambda ts: "".join(f"{k}:{x};" for k, (_, x) in enumerate(ts)), window=8)
-        for role, text in said:
-            renderer.add(role, text)
-    slid, whole = chat.IncrementalRenderer(chat.turn_template, window=8), chat.IncrementalRenderer(chat.turn_template)
-    assert [slid.add(*t) for t in said] == [whole.add(*t) for t in said]
+
+
+def test_turn_by_turn_templates_need_no_prefix(spark):
+    said = [("system" if t == 0 else "user", f"t{t} ### </turn>") for t in range(200)]
+    lone, whole = chat.IncrementalRenderer(chat.turn_template), chat.IncrementalRenderer(lambda ts: chat.turn_template(ts))
+    assert [lone.add(*t) for t in said] == [whole.add(*t) for t in said]
+    assert not lone.turns and not lone.before and len(whole.turns) == 200
