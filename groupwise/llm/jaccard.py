@@ -31,7 +31,7 @@ LONG_SHARE = 0.001
 #: Documents counted together when long lists are looked for.
 COUNTED = 4000
 #: Words whose hash a worker remembers, and sets that a task remembers to have sent.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 
 
 class _Hashes(dict):
@@ -165,6 +165,7 @@ def _census(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
                     sets = []
         if sets:
             yield from common()
+        _HASHES.clear()  # workers live on
 
     return docs.select("doc_id", "text", *carry).mapInArrow(run, schema)
 
@@ -190,6 +191,7 @@ def _postings(docs: DataFrame, long: np.ndarray, rank: np.ndarray) -> DataFrame:
                         sizes.append(len(out[-1]))
                 places = np.concatenate([np.arange(n) for n in sizes]) if sizes else np.zeros(0, np.int64)
                 yield _batch([np.concatenate(out), np.repeat(np.array(keys, np.int64), np.array(sizes, np.int64)), places], schema)
+        _HASHES.clear()
 
     return docs.select("text").mapInArrow(run, schema)
 

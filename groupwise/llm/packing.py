@@ -22,7 +22,7 @@ LENGTH = 1024
 #: most one part-filled sequence a group; it drops nothing.
 GROUP = 4096
 #: Encoded runs that a Python worker remembers; it starts anew beyond that.
-REMEMBERED = 800_000
+REMEMBERED = 300_000
 
 
 class _Known(dict):
