@@ -40,9 +40,8 @@ def elapsed(period: Column, remaining: Column) -> Column:
 
 
 def season_of(game_id: Column) -> Column:
-    """First year of the season that digits 4 and 5 of a ten-digit id name; null for other ids."""
-    year = F.substring(game_id, 4, 2).try_cast("int")
-    return F.when(game_id.rlike(r"^\d{10}$"), F.when(year >= 46, 1900 + year).otherwise(2000 + year))
+    """First year of the season that digits 4 and 5 of a ten-digit id name, all of this century; null for other ids."""
+    return F.when(game_id.rlike(r"^\d{10}$"), 2000 + F.substring(game_id, 4, 2).try_cast("int"))
 
 
 def season_label(year: Column) -> Column:

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from statistics import NormalDist
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from groupwise.functions.columns import direction, softmax
 from groupwise.operators.models import Ridge
+from groupwise.operators.sequence import row_numbers
 
 
 def masked(df: DataFrame, tier: str, magnitudes: list[str], signed: str) -> DataFrame:
@@ -56,35 +60,35 @@ def choice_metrics(df: DataFrame, mix: str, chosen: str, n_choices: int, floor:
     return df.agg(F.avg(-F.ln(hit)).alias("log_loss"), F.avg((F.array_position(q, F.array_max(q)) - 1 == F.col(chosen)).cast("double")).alias("top_1"), F.avg(brier).alias("brier"), F.count("*").alias("n"))
 
 
+#: Bytes of a covariance that may be sent to every task; the design's columns are fixed, its rows play no part.
+COVARIANCE_BYTES = 256_000_000
+
+
 def project_swaps(scenarios: DataFrame, fit: Ridge, blocks: tuple[str, str], per: float = 100.0) -> DataFrame:
     """(out, in, share) scenarios with off_delta, def_delta, net_delta, error and an 80 % interval.
 
-    A member's effects are looked up by block; a null member is an average one, whose effects are zero; the same member out
-    and in changes nothing. Errors are exact contrasts of the fit's covariance.
+    A member's effects are looked up by block; a null or unknown member is an average one, whose effects are zero; the same member out
+    and in changes nothing. Errors are exact contrasts of the fit's covariance: four of its rows and columns a scenario, in batches.
     """
-    spark = scenarios.sparkSession
+    if fit.covariance.nbytes > COVARIANCE_BYTES:
+        raise ValueError("the covariance is too large to send to tasks")
     at = {c: i for i, c in enumerate(fit.columns)}
-    members = sorted({m for _, m in fit.columns})
-    effect = lambda b, m: float(fit.coefficients[at[b, m]]) if (b, m) in at else 0.0
-    known = spark.createDataFrame([(int(m), effect(blocks[0], m) * per, effect(blocks[1], m) * per) for m in members], "member long, off double, def double")
-    pairs = []
-    for m in [None, *members]:
-        for n in [None, *members]:
-            v = np.zeros(len(at))
-            for who, sign in ((m, -1.0), (n, 1.0)):
-                for b, side in ((blocks[0], 1.0), (blocks[1], -1.0)):
-                    if who is not None and (b, who) in at:
-                        v[at[b, who]] += sign * side
-            pairs.append((None if m is None else int(m), None if n is None else int(n), float(np.sqrt(max(0.0, v @ fit.covariance @ v)) * per)))
-    errors = spark.createDataFrame(pairs, "o long, i long, contrast double")
-    a, b = known.toDF("o", "o_off", "o_def"), known.toDF("i", "i_off", "i_def")
-    same = lambda x, y: F.col(x).eqNullSafe(F.col(y))
-    rows = scenarios.join(F.broadcast(a), F.col("out") == F.col("o"), "left").drop("o").join(F.broadcast(b), F.col("in") == F.col("i"), "left").drop("i").na.fill(0.0, ["o_off", "o_def", "i_off", "i_def"])
-    rows = rows.join(F.broadcast(errors), same("out", "o") & same("in", "i"), "left").drop("o", "i")
-    share, z = F.col("share"), NormalDist().inv_cdf(0.9)
-    rows = rows.withColumn("off_delta", share * (F.col("i_off") - F.col("o_off"))).withColumn("def_delta", share * (F.col("i_def") - F.col("o_def")))
-    rows = rows.withColumn("net_delta", F.col("off_delta") - F.col("def_delta")).withColumn("error", share * F.col("contrast"))
-    return rows.withColumn("low", F.col("net_delta") - z * F.col("error")).withColumn("high", F.col("net_delta") + z * F.col("error")).drop("o_off", "o_def", "i_off", "i_def", "contrast")
+    # one more column of zeros for members without effects
+    beta, covariance = np.append(fit.coefficients, 0.0) * per, np.pad(fit.covariance, (0, 1)) * per * per
+    z, new = NormalDist().inv_cdf(0.9), ("off_delta", "def_delta", "net_delta", "error", "low", "high")
+    schema = T.StructType([*(f for f in scenarios.schema if f.name not in new), *(T.StructField(n, T.DoubleType()) for n in new)])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            place = lambda block, who: np.array([at.get((block, None if pd.isna(m) else int(m)), len(at)) for m in batch[who]], int)
+            where = np.stack([place(blocks[0], "in"), place(blocks[0], "out"), place(blocks[1], "in"), place(blocks[1], "out")], axis=1)
+            sign, share = np.array([1.0, -1.0, -1.0, 1.0]), batch["share"].to_numpy(float)
+            off, def_ = beta[where[:, 0]] - beta[where[:, 1]], beta[where[:, 2]] - beta[where[:, 3]]
+            variance = np.einsum("i,nij,j->n", sign, covariance[where[:, :, None], where[:, None, :]], sign)
+            net, error = share * (off - def_), share * np.sqrt(np.maximum(variance, 0))
+            yield batch.assign(off_delta=share * off, def_delta=share * def_, net_delta=net, error=error, low=net - z * error, high=net + z * error)[schema.names]
+
+    return scenarios.drop(*new).mapInPandas(run, schema)
 
 
 def projection_scores(df: DataFrame, projected: str, actual: str) -> DataFrame:
@@ -106,12 +110,11 @@ def request_sets(members: DataFrame, member: str, n: int, size: int = 5, seed: i
 
 def group_documents(df: DataFrame, key: str, by: list[str], value: str, least: int) -> DataFrame:
     """(key, by, n, mean, level, text) of groups with `least` rows or more; level says where a group's mean lies among all of them."""
-    groups = df.groupBy(key, *by).agg(F.count("*").alias("n"), F.avg(value).alias("mean")).where(F.col("n") >= least)
-    # ranked by distinct means: a few numbers a group, so the share below needs no window over rows
-    counts = groups.groupBy(F.round("mean", 9).alias("m")).agg(F.count("*").alias("c"))
-    below = counts.alias("a").join(counts.alias("b"), F.col("b.m") < F.col("a.m"), "left").groupBy("a.m").agg(F.coalesce(F.sum("b.c"), F.lit(0)).alias("below"))
-    total = counts.agg(F.sum("c").alias("total"))
-    placed = groups.withColumn("m", F.round("mean", 9)).join(below, "m").crossJoin(F.broadcast(total)).withColumn("share", F.col("below") / F.col("total"))
+    groups = df.groupBy(key, *by).agg(F.count("*").alias("n"), F.avg(value).alias("mean")).where(F.col("n") >= least).withColumn("m", F.round("mean", 9))
+    ranked = row_numbers(groups, "m", key, *by, name="__row")
+    below = ranked.groupBy("m").agg(F.min("__row").alias("below"))
+    total = ranked.agg(F.count("*").alias("total"))
+    placed = ranked.join(below, "m").crossJoin(F.broadcast(total)).withColumn("share", F.col("below") / F.col("total"))  # one row
     s = F.col("share")
     level = F.when(s >= 0.8, "elite").when(s >= 0.6, "above average").when(s >= 0.4, "average").when(s >= 0.2, "below average").otherwise("poor")
     text = F.format_string("Seen %d times, %.2f a time: %s.", "n", "mean", level)
@@ -136,8 +139,6 @@ def outline_path(corners: Column) -> Column:
 
 def shuffled_lists(df: DataFrame, key: str, lists: list[str], seed: int) -> DataFrame:
     """df with its lists, together, moved to other rows by a seeded order: a negative control."""
-    from groupwise.operators.sequence import row_numbers
-
     rows = row_numbers(df.drop(*lists), key, name="__row")
     moved = row_numbers(df.select(key, *lists).withColumn("__h", F.xxhash64(key, F.lit(seed))), "__h", key, name="__row").select("__row", *lists)
     return rows.join(moved, "__row").drop("__row").select(*df.columns)

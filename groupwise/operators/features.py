@@ -101,6 +101,16 @@ def change_noise(df: DataFrame, unit: str, order: list[str], value: str, least:
     return each.agg(F.count("*").alias("units"), F.stddev_samp("change").alias("sd"))
 
 
+def out_of_fold(df: DataFrame, fold: str, keys: list[str], made: str) -> DataFrame:
+    """(fold, keys, makes, attempts) of the rows outside each fold: totals less the fold's own, so no fold is judged by its rows."""
+    own = df.groupBy(fold, *keys).agg(F.sum(F.col(made).cast("long")).alias("__m"), F.count("*").alias("__n"))
+    whole = own.groupBy(*keys).agg(F.sum("__m").alias("__all_m"), F.sum("__n").alias("__all_n"))
+    folds = df.select(fold).distinct()
+    every = whole.crossJoin(F.broadcast(folds)).join(own, [fold, *keys], "left")  # a few folds
+    left = lambda c: F.col(f"__all_{c}") - F.coalesce(f"__{c}", F.lit(0))
+    return every.select(fold, *keys, left("m").alias("makes"), left("n").alias("attempts")).where("attempts > 0")
+
+
 def baselines(train: DataFrame, test: DataFrame, member: str, category: str, made: str, shrunk: DataFrame) -> DataFrame:
     """test with p_category (the category's train rate) and p_member (the member's shrunken rate there, the category's without one).
 
@@ -113,15 +123,18 @@ def baselines(train: DataFrame, test: DataFrame, member: str, category: str, mad
     return joined.withColumn("p_category", p).withColumn("p_member", F.coalesce("__m", p)).drop("__c", "__w", "__m")
 
 
-def split_half(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:
-    """(n, pearson, spearman, corrected) of two halves' values by key; ranks of ties are averaged, corrected is for twice the length."""
-    both = a.select(key, F.col(value).alias("x")).join(b.select(key, F.col(value).alias("y")), key)
+def split_half(a: DataFrame, b: DataFrame, key: str, value: str, least: int = 0, rows: str | None = None) -> DataFrame:
+    """(n, pearson, spearman, corrected) of two halves' values by key; ranks of ties are averaged, corrected is for twice the length.
+
+    With rows, the column of each half's number of rows, keys of fewer than `least` in either half are left out.
+    """
+    side = lambda df, c: (df.where(F.col(rows) >= least) if rows else df).select(key, F.col(value).alias(c))
+    both = side(a, "x").join(side(b, "y"), key)
 
     def ranked(df: DataFrame, c: str) -> DataFrame:
-        # ranks by distinct values: rows of one value share the mean of their places
-        counts = df.groupBy(c).agg(F.count("*").alias("__c"))
-        numbered = counts.withColumn("__before", F.coalesce(F.sum("__c").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a unit table
-        return df.join(numbered.select(c, (F.col("__before") + (F.col("__c") + 1) / 2).alias(f"{c}_rank")), c)
+        # rows of one value share the mean of their places
+        places = row_numbers(df.select(key, c), c, key, name="__place").groupBy(c).agg((F.avg("__place") + 1).alias(f"{c}_rank"))
+        return df.join(places, c)
 
     r = ranked(ranked(both, "x"), "y")
     pearson = F.corr("x", "y")

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from groupwise.functions.columns import group_key, same_members, season_of
+
 
 @dataclass(frozen=True)
 class Gate:
@@ -32,6 +34,32 @@ def run_gates(df: DataFrame, gates: list[Gate]) -> DataFrame:
     return measured.select(F.explode(rows).alias("g")).select("g.*")
 
 
+def group_gates(own: str, other: str, key: str, seconds: str) -> list[Gate]:
+    """Gates on groups and their stretches: five a side, keys that no order changes, durations above 0, lengths from 1 to 35 seconds."""
+    return [
+        Gate("valid groups have five a side", share((F.size(own) == 5) & (F.size(other) == 5)), 1.0),
+        Gate("hash does not depend on order", share(group_key(F.reverse(own)) == F.col(key)), 1.0),
+        Gate("durations are positive", share(F.col(seconds) > 0), 1.0),
+        Gate("length is plausible", share(F.col(seconds).between(1, 35)), 0.95),
+    ]
+
+
+def oracle_gates(own: str, oracle: str, clear: bool = False) -> list[Gate]:
+    """How often an independent list has the same members; where nothing is ambiguous it must more often."""
+    name, least = ("oracle agrees where clear", 0.96) if clear else ("oracle agrees", 0.93)
+    return [Gate(name, share(same_members(F.col(own), F.col(oracle))), least)]
+
+
+def placement_gates(listed: Column, placed: Column) -> list[Gate]:
+    """How many shots have lists, and lie in a possession."""
+    return [Gate("shots have lists", share(listed), 0.99), Gate("shots lie in possessions", share(placed), 0.99)]
+
+
+def season_gate(game: str, season: str) -> Gate:
+    """Ids must name the season of their partition."""
+    return Gate("ids name their season", share(season_of(F.col(game)) == F.col(season)), 1.0)
+
+
 def require(report: DataFrame) -> None:
     """Raises if a blocking gate failed."""
     failed = [r["gate"] for r in report.where("status = 'FAIL'").collect()]

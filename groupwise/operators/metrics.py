@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from groupwise.operators.sequence import equal_bins, row_numbers
+from groupwise.operators.sequence import equal_bins, kept, row_numbers
 
 CLIP = 1e-15
 
@@ -98,7 +98,7 @@ def calibration_slope(df: DataFrame, y: str, p: str, steps: int = 25) -> tuple[f
     """(slope, intercept) of an unpenalised logistic regression of y on the logit of p; None if y has one value. Each Newton step is one aggregate."""
     from groupwise.functions.columns import logit
 
-    rows = df.select(F.col(y).cast("double").alias("y"), logit(F.col(p), CLIP).alias("x"))
+    rows = kept(df.select(F.col(y).cast("double").alias("y"), logit(F.col(p), CLIP).alias("x")))
     low, high = rows.agg(F.min("y"), F.max("y")).first()
     if low is None or low == high:
         return None
@@ -113,5 +113,5 @@ def calibration_slope(df: DataFrame, y: str, p: str, steps: int = 25) -> tuple[f
         d0, d1 = (s["h2"] * s["g0"] - s["h1"] * s["g1"]) / det, (s["h0"] * s["g1"] - s["h1"] * s["g0"]) / det
         intercept, slope = intercept + d0, slope + d1
         if abs(d0) + abs(d1) < 1e-10:
-            break
-    return slope, intercept
+            return slope, intercept
+    raise ValueError(f"no convergence in {steps} steps")

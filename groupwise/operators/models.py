@@ -2,14 +2,32 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
+from pathlib import Path
 from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from groupwise.operators.sequence import kept
+
+
+def _one_solver_thread() -> None:
+    """numpy's linear algebra in one thread: beside a JVM's many threads its own were seen to wait for each other for ever. Solves are small."""
+    maps = Path("/proc/self/maps")
+    for path in {line.split()[-1] for line in maps.read_text().splitlines() if "openblas" in line} if maps.exists() else ():
+        library = ctypes.CDLL(path)
+        for name in ("scipy_openblas_set_num_threads64_", "scipy_openblas_set_num_threads", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(library, name):
+                getattr(library, name)(1)
+
+
+_one_solver_thread()
 
 
 def member_cells(df: DataFrame, row: str, blocks: dict[str, str], y: str) -> DataFrame:
@@ -69,20 +87,28 @@ class Moments:
         return Moments(self.columns, self.xx - other.xx, self.x1 - other.x1, self.xy - other.xy, self.n - other.n, self.y - other.y, self.yy - other.yy)
 
 
+def with_home(df: DataFrame, is_home: str, name: str = "home") -> DataFrame:
+    """df with a list column for the home side: one member on it, none away. As a block with a penalty of 0 it is the design's home column."""
+    return df.withColumn(name, F.when(F.col(is_home), F.array(F.lit(1).cast("bigint"))).otherwise(F.array().cast("array<bigint>")))
+
+
 def moments(df: DataFrame, blocks: dict[str, str], y: str, fold: str | None = None) -> dict:
-    """Moments by fold from one pass; its size is that of the members' pairs, not of the rows."""
+    """Moments by fold from one pass; its size is that of the members' pairs, not of the rows. They come as columns of numbers. No rows give no folds."""
     of_fold = F.col(fold) if fold else F.lit(0)
-    entries = gram(df, blocks, y, fold).collect()
+    entries = kept(gram(df, blocks, y, fold))
     value = F.col(y).cast("double")
     totals = {r["fold"]: r for r in df.groupBy(of_fold.alias("fold")).agg(F.count("*").alias("n"), F.sum(value).alias("y"), F.sum(value * value).alias("yy")).collect()}
-    columns = sorted({(e["block_i"], e["member_i"]) for e in entries} | {(e["block_j"], e["member_j"]) for e in entries})
-    at = {c: k for k, c in enumerate(columns)}
+    columns = sorted(tuple(r) for r in entries.where("block_i = block_j AND member_i = member_j").select("block_i", "member_i").distinct().collect())
+    places = df.sparkSession.createDataFrame([(b, m, k) for k, (b, m) in enumerate(columns)], T.StructType([*entries.select("block_i", "member_i").schema.fields, T.StructField("k", T.IntegerType())])) if columns else None
     out = {k: Moments(columns, np.zeros((len(columns),) * 2), np.zeros(len(columns)), np.zeros(len(columns)), float(r["n"]), float(r["y"] or 0), float(r["yy"] or 0)) for k, r in totals.items()}
-    for e in entries:
-        m, i, j = out[e["fold"]], at[e["block_i"], e["member_i"]], at[e["block_j"], e["member_j"]]
-        m.xx[i, j] = m.xx[j, i] = e["n"]
-        if i == j:
-            m.x1[i], m.xy[i] = e["n"], e["y"]
+    if places is None:
+        return out
+    named = entries.join(F.broadcast(places.toDF("block_i", "member_i", "i")), ["block_i", "member_i"]).join(F.broadcast(places.toDF("block_j", "member_j", "j")), ["block_j", "member_j"])  # the design's columns
+    for key, m in out.items():
+        own = named.where(F.col("fold").eqNullSafe(F.lit(key))).select("i", "j", "n", "y").toArrow()
+        i, j, n, s = (own.column(c).to_numpy() for c in ("i", "j", "n", "y"))
+        m.xx[i, j] = m.xx[j, i] = n
+        m.x1[i[i == j]], m.xy[i[i == j]] = n[i == j], s[i == j]
     return out
 
 
@@ -103,32 +129,72 @@ def solve_ridge(m: Moments, penalties: dict[str, float]) -> Ridge:
     return Ridge(m.columns, beta, variance * hat @ inverse, mean, variance, df, float(np.linalg.cond(system)))
 
 
-def select_penalties(by_fold: dict, grid: list[float], blocks: tuple[str, str]) -> tuple[dict[str, float], float]:
-    """The pair of penalties with the least held-out squared error, from the folds' moments alone: no further pass over rows."""
+def select_penalties(by_fold: dict, grid: list[float], blocks: tuple[str, str], free: tuple[str, ...] = ()) -> tuple[dict[str, float], float]:
+    """The pair of penalties with the least held-out squared error, from the folds' moments alone: no further pass over rows.
+
+    A pair costs one Cholesky solve a fold. Blocks in `free` have no penalty.
+    """
     folds = list(by_fold.values())
     total = folds[0]
     for f in folds[1:]:
         total = Moments(total.columns, total.xx + f.xx, total.x1 + f.x1, total.xy + f.xy, total.n + f.n, total.y + f.y, total.yy + f.yy)
+    trained = [(total - held, held) for held in folds]
     best: tuple[dict[str, float], float] | None = None
     for a in grid:
         for b in grid:
-            penalties, error = {blocks[0]: a, blocks[1]: b}, 0.0
-            for held in folds:
-                fit = solve_ridge(total - held, penalties)
-                mean, beta = fit.mean, fit.coefficients
+            penalties, error = {blocks[0]: a, blocks[1]: b} | dict.fromkeys(free, 0.0), 0.0
+            diagonal = np.array([penalties[block] for block, _ in total.columns])
+            for fit, held in trained:
+                mean = fit.y / fit.n
+                beta = _solve(fit.xx + np.diag(diagonal), fit.xy - mean * fit.x1)
                 error += held.yy - 2 * mean * held.y + held.n * mean**2 - 2 * beta @ (held.xy - mean * held.x1) + beta @ held.xx @ beta
             if best is None or error / total.n < best[1] - 1e-15:
                 best = (penalties, error / total.n)
     return best
 
 
+def _solve(system: np.ndarray, target: np.ndarray) -> np.ndarray:
+    try:
+        lower = np.linalg.cholesky(system)
+    except np.linalg.LinAlgError:  # a member that a fold lacks, without penalty
+        return np.linalg.lstsq(system, target, rcond=None)[0]
+    return np.linalg.solve(lower.T, np.linalg.solve(lower, target))
+
+
+_EFFECTS = "block string, member long, effect double, error double, low double, high double, includes_zero boolean"
+
+
 def effects(df: DataFrame, blocks: dict[str, str], y: str, penalties: dict[str, float], scale: float = 100.0) -> DataFrame:
-    """(block, member, effect, error, low, high, includes_zero) per `scale` rows: one pass, one small solve."""
-    fit = solve_ridge(moments(df, blocks, y)[0], penalties)
+    """(block, member, effect, error, low, high, includes_zero) per `scale` rows: one pass, one small solve. No rows give no effects."""
+    found = moments(df, blocks, y)
+    if not found:
+        return df.sparkSession.createDataFrame([], _EFFECTS)
+    fit = solve_ridge(found[0], penalties)
     errors = np.sqrt(np.maximum(np.diag(fit.covariance), 0)) * scale
     z = NormalDist().inv_cdf(0.975)
     rows = [(b, int(m), float(c * scale), float(e), float(c * scale - z * e), float(c * scale + z * e), bool(abs(c * scale) <= z * e)) for (b, m), c, e in zip(fit.columns, fit.coefficients, errors, strict=True)]
-    return df.sparkSession.createDataFrame(rows, "block string, member long, effect double, error double, low double, high double, includes_zero boolean")
+    return df.sparkSession.createDataFrame(rows, _EFFECTS)
+
+
+def member_totals(effects: DataFrame, own: str, other: str) -> DataFrame:
+    """(member, offence, defence, total, spread) from effects: points allowed count against a member, so the defence's sign turns; spread is how far the two are apart."""
+    of = lambda block, name, sign: effects.where(F.col("block") == block).select("member", (sign * F.col("effect")).alias(name))
+    both = of(own, "offence", 1).join(of(other, "defence", -1), "member", "full").na.fill(0.0, ["offence", "defence"])
+    return both.withColumn("total", F.col("offence") + F.col("defence")).withColumn("spread", F.abs(F.col("offence") - F.col("defence")))
+
+
+def choice_design(df: DataFrame, mixes: list[str], drivers: dict[str, tuple[int, ...]], n_choices: int, name: str = "x", without: tuple[str, ...] = ()) -> DataFrame:
+    """df with a flat design of n_choices * p numbers: a constant for each choice but the first, one term for each column of shares (their log
+    ratios to the usual ones, an array of n_choices), and one for each driver, its column's value on the choices that it acts on.
+
+    Terms named in `without` are zero everywhere, which leaves the others where they are: a model without them.
+    """
+    cells = []
+    for k in range(n_choices):
+        cells += [F.lit(1.0 if k == j else 0.0) for j in range(1, n_choices)]
+        cells += [F.lit(0.0) if m in without else F.coalesce(F.get(m, F.lit(k)).cast("double"), F.lit(0.0)) for m in mixes]
+        cells += [F.coalesce(F.col(d).cast("double"), F.lit(0.0)) if k in on and d not in without else F.lit(0.0) for d, on in drivers.items()]
+    return df.withColumn(name, F.array(*cells))
 
 
 def choice_step(df: DataFrame, design: str, chosen: str, theta: np.ndarray, n_choices: int, weight: str | None = None) -> tuple[float, np.ndarray, np.ndarray, int]:
@@ -165,7 +231,7 @@ def choice_step(df: DataFrame, design: str, chosen: str, theta: np.ndarray, n_ch
 
 def fit_choice(df: DataFrame, design: str, chosen: str, p: int, n_choices: int, l2: float = 1e-4, free: tuple[int, ...] = (), steps: int = 30, weight: str | None = None) -> tuple[np.ndarray, np.ndarray, float]:
     """(theta, covariance, mean loss) of a conditional logit by Newton steps; parameters in `free` have no penalty. One pass over rows a step, which are kept between steps."""
-    df = df.select(design, chosen, *([weight] if weight else [])).persist()
+    df = kept(df.select(design, chosen, *([weight] if weight else [])))
     theta, penalty = np.zeros(p), np.array([0.0 if i in free else l2 for i in range(p)])
     for _ in range(steps):
         loss, grad, info, n = choice_step(df, design, chosen, theta, n_choices, weight)
@@ -176,7 +242,8 @@ def fit_choice(df: DataFrame, design: str, chosen: str, p: int, n_choices: int,
         if np.abs(step).max() < 1e-9:
             break
         theta = theta - step
-    df.unpersist()
+    else:
+        raise ValueError(f"no convergence in {steps} steps")
     inverse = np.linalg.inv(system)
     return theta, inverse @ info @ inverse, loss / n
 

@@ -39,19 +39,23 @@ def _bands(value: np.ndarray, gradient: np.ndarray, covariance: np.ndarray, z: f
     return out
 
 
-def rank_plays(df: DataFrame, request: str, design: str, names: list[str], theta: np.ndarray, covariance: np.ndarray, prices: list[float], confidence: float = 0.8, floor: float = 0.01) -> DataFrame:
-    """(request, choice, share, value, error, band): each choice's worth a hundred times, in bands that the evidence separates.
+def rank_plays(df: DataFrame, request: str, design: str, names: list[str], theta: np.ndarray, covariance: np.ndarray, prices: list[float], confidence: float = 0.8, floor: float = 0.01, usual: list[float] | None = None) -> DataFrame:
+    """(request, choice, share, value, error, band): what each choice is worth a hundred times beyond its usual share, in bands that the evidence separates.
+
+    usual are the shares of an average mix, none if not given; they are fixed, so errors are those of the shares.
 
     Choices below the floor share are left out of the ranking, with band null. Requests are worked on in batches, no rows meet.
     """
     n, p, z = len(names), len(theta), NormalDist().inv_cdf(0.5 + confidence / 2)
     theta, covariance, price = np.asarray(theta, float), np.asarray(covariance, float), np.asarray(prices, float)
+    worth = 100 * price * np.asarray(usual if usual is not None else np.zeros(n), float)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if not len(batch):
                 continue
             q, value, gradient = _priced(np.stack(batch["x"].to_numpy()).astype(float).reshape(-1, n, p), theta, price)
+            value = value - worth
             error = np.sqrt(np.maximum(np.einsum("nkp,pq,nkq->nk", gradient, covariance, gradient), 0))
             band = np.full(q.shape, np.nan)
             for i in range(len(q)):

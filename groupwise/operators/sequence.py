@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df as it is now, in the folder that spark.checkpoint.dir names; only a local session without one gets a temporary folder."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="groupwise-"))
+    return df.checkpoint()
+
+
 def asof_join(left: DataFrame, right: DataFrame, by: list[str], at: str, right_at: str, take: list[str], within: float | None = None, tie: str | None = None) -> DataFrame:
     """left with the columns `take` of the right row of the same `by` whose right_at is the latest up to `at`.
 
@@ -28,16 +41,21 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], at: str, right_a
     return last.select(*left.columns, *(F.when(known, F.col(f"__last.{c}")).alias(c) for c in take), known.alias("matched"))
 
 
-def interval_join(points: DataFrame, spans: DataFrame, by: list[str], at: str, start: str, end: str, order: str) -> DataFrame:
-    """points with the one span of the same `by` that holds them on a countdown clock (at <= start, at > end), the least `order` if several do; others go."""
-    key = [F.struct(*(F.col(f"p.{c}") for c in points.columns))]
-    on = (F.col(f"p.{at}") <= F.col(f"s.{start}")) & (F.col(f"p.{at}") > F.col(f"s.{end}"))
-    for c in by:
-        on &= F.col(f"p.{c}") == F.col(f"s.{c}")
+def interval_join(points: DataFrame, spans: DataFrame, by: list[str], at: str, start: str, end: str, order: str, width: float = 60.0) -> DataFrame:
+    """points with the one span of the same `by` that holds them on a countdown clock (at <= start, at > end), the least `order` if several do; others go.
+
+    Spans are cut into stretches of `width` on the clock, and a point meets those of its stretch alone, whatever a key holds in all. Equal
+    points are looked up once, and each keeps its row.
+    """
     extra = [c for c in spans.columns if c not in by]
-    joined = points.alias("p").join(spans.alias("s"), on)
-    best = joined.groupBy(*(k.alias("__p") for k in key)).agg(F.min_by(F.struct(*(F.col(f"s.{c}") for c in extra)), F.struct(f"s.{order}", F.struct(*(F.col(f"s.{c}") for c in extra)))).alias("__s"))
-    return best.select("__p.*", *(F.col(f"__s.{c}") for c in extra))
+    place = lambda c: F.floor(c.cast("double") / width)
+    cut = spans.where(F.col(start) > F.col(end)).select(*by, F.struct(*extra).alias("__s"), F.explode(F.sequence(place(F.col(end)), place(F.col(start)))).alias("__at"))
+    distinct = points.groupBy(*points.columns).agg(F.count("*").alias("__n")).withColumn("__at", place(F.col(at)))
+    holds = (F.col(at) <= F.col(f"__s.{start}")) & (F.col(at) > F.col(f"__s.{end}"))
+    found = distinct.join(cut, [*by, "__at"]).where(holds)
+    best = found.groupBy(*points.columns, "__n").agg(F.min_by("__s", F.struct(f"__s.{order}", "__s")).alias("__s"))
+    rows = best.select(*points.columns, *(F.col(f"__s.{c}") for c in extra), F.explode(F.sequence(F.lit(1), F.col("__n"))).alias("__n"))
+    return rows.drop("__n")
 
 
 def previous_end(df: DataFrame, by: list[str], order: list[str], end: str, opening: Column) -> Column:
@@ -72,9 +90,10 @@ def stints(df: DataFrame, by: list[str], clock: str, order: str, key: list[str],
 def row_numbers(df: DataFrame, *order: Column | str, name: str = "row") -> DataFrame:
     """df with its place, from 0, in a total order over the whole table, without bringing it into one task.
 
-    Rows are dealt by ranges and sorted in each; the sizes of the ranges, one number a partition, give each its offset.
+    Rows are dealt by ranges and sorted in each; the sizes of the ranges, one number a partition, give each its offset. The dealt rows are
+    written to the shared folder, as they must be the same ones when they are counted and when they are numbered.
     """
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id()).persist()
+    ranged = kept(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id()))
     sizes = ranged.groupBy("__part").agg(F.count("*").alias("n"), F.min("__at").alias("first"))
     w = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
     offsets = sizes.select("__part", (F.coalesce(F.sum("n").over(w), F.lit(0)) - F.col("first")).alias("__shift"))

@@ -4,28 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from groupwise.functions import columns as C
 from groupwise.operators import aggregate, answers, features, gates, metrics, models, plays, presence, priors, retrieval, sequence
-from groupwise.plans.roles import GROUPS_SQL, SHOTS_SQL, assertions, floor_assertions, possessions, shots, table
-
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    return df.select(*(F.round(F.col(c), digits).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes))
-
+from groupwise.plans.registry import ORACLE_SQL, QUERIES, query, rounded
+from groupwise.plans.roles import GROUPS_SQL, SCORERS_SQL, SHOTS_SQL, assertions, floor_assertions, possessions, scorers, shots, table
 
 def _epoch():
     """Seconds of ts, which has no time zone."""
@@ -111,7 +95,7 @@ def member_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregate.member_sums(possessions(spark, sf_dir), ["own", "other"], "points")
 
 
-_SUPPORT_SQL = f"""WITH {GROUPS_SQL}, a AS (SELECT 1 + l_suppkey % 8 AS member, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1 + l_suppkey % 8),
+_SUPPORT_SQL = f"""WITH {GROUPS_SQL}, {SCORERS_SQL}, a AS (SELECT member, count(*) AS n FROM scorers WHERE l_returnflag = 'R' GROUP BY member),
 g AS (SELECT own_key, CAST(sum(points) AS BIGINT) AS points, count(*) AS n_rows, min(own) AS own FROM possessions GROUP BY own_key),
 x AS (SELECT own_key, points, n_rows, unnest(own) AS member FROM g),
 sup AS (SELECT own_key, max(points) AS points, max(n_rows) AS n_rows, min(coalesce(n, 0)) AS min_attempts FROM x LEFT JOIN a ON x.member = a.member GROUP BY own_key)"""
@@ -119,17 +103,17 @@ sup AS (SELECT own_key, max(points) AS points, max(n_rows) AS n_rows, min(coales
 
 @query(f"""{_SUPPORT_SQL} SELECT own_key, points, n_rows, min_attempts, CASE WHEN n_rows >= 200 AND min_attempts >= 100 THEN 'reportable' WHEN min_attempts >= 30 THEN 'directional' ELSE 'refused' END AS tier FROM sup""")
 def group_support(spark: SparkSession, sf_dir: str) -> DataFrame:
-    attempts = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").groupBy((1 + F.col("l_suppkey") % 8).alias("member")).agg(F.count("*").alias("n"))
+    attempts = scorers(spark, sf_dir).where("l_returnflag = 'R'").groupBy("member").agg(F.count("*").alias("n"))
     found = aggregate.support(possessions(spark, sf_dir), "own_key", "own", attempts, "points")
     return found.select("own_key", "points", "n_rows", "min_attempts", aggregate.tier(F.col("n_rows"), F.col("min_attempts")).alias("tier"))
 
 
-@query(f"""WITH {GROUPS_SQL}, m AS (SELECT game_id, unnest(own) AS a FROM possessions), r AS (SELECT a, count(*) AS n FROM m GROUP BY a),
+@query(f"""WITH {GROUPS_SQL}, m AS (SELECT game_id, unnest(list_concat(own, other)) AS a FROM possessions), r AS (SELECT a, count(*) AS n FROM m GROUP BY a),
 p AS (SELECT x.a, y.a AS b, count(*) AS c FROM m x JOIN m y ON x.game_id = y.game_id AND x.a <> y.a GROUP BY x.a, y.a),
 s AS (SELECT p.a, b, n, round(c / n, 6) AS share, row_number() OVER (PARTITION BY p.a ORDER BY round(c / n, 6) DESC, b) AS k FROM p JOIN r ON p.a = r.a)
 SELECT a AS member, n AS rows, b AS partner, share, share > 0.85 AS flagged FROM s WHERE k = 1 ORDER BY share DESC, a LIMIT 50""")
 def co_occurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return aggregate.co_occurrence(possessions(spark, sf_dir), "game_id", ["own"])
+    return aggregate.co_occurrence(possessions(spark, sf_dir), "game_id", ["own", "other"])
 
 
 @query(f"""WITH {GROUPS_SQL}, o AS (SELECT year(played) AS game_id, offense_team_id AS team_id, 100 * avg(points) AS off_rating, count(*) AS n_off FROM possessions GROUP BY year(played), offense_team_id),
@@ -158,7 +142,7 @@ SELECT own_key, n_rows, min_attempts, CASE WHEN tier = 'reportable' THEN round(d
   CASE WHEN delta > 0 THEN 'gain' WHEN delta < 0 THEN 'loss' ELSE 'flat' END AS direction FROM ans WHERE tier <> 'refused'""")
 def masked_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = possessions(spark, sf_dir)
-    attempts = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").groupBy((1 + F.col("l_suppkey") % 8).alias("member")).agg(F.count("*").alias("n"))
+    attempts = scorers(spark, sf_dir).where("l_returnflag = 'R'").groupBy("member").agg(F.count("*").alias("n"))
     whole = rows.agg(F.avg("points").alias("base"))
     found = aggregate.support(rows, "own_key", "own", attempts, "points").crossJoin(F.broadcast(whole))
     answer = found.select("own_key", "n_rows", "min_attempts", (F.col("points") / F.col("n_rows") - F.col("base")).alias("delta"), aggregate.tier(F.col("n_rows"), F.col("min_attempts")).alias("tier"))
@@ -192,27 +176,28 @@ def polygon_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def swap_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What each one-for-one exchange among the members would change, by the ridge's effects."""
+    """What exchanging a member for another would change, by the ridge's effects."""
     rows = possessions(spark, sf_dir)
     fit = models.solve_ridge(models.moments(rows, {"own": "own", "other": "other"}, "points")[0], {"own": 2000.0, "other": 4000.0})
-    m = rows.select(F.explode("own").alias("out")).distinct()
-    scenarios = m.crossJoin(m.withColumnRenamed("out", "in")).withColumn("share", F.lit(0.5))
+    # the first and the last member of each five change places
+    scenarios = rows.select(F.get("own", F.lit(0)).alias("out"), F.get("own", F.lit(4)).alias("in")).distinct().withColumn("share", F.lit(0.5))
     return rounded(answers.project_swaps(scenarios, fit, ("own", "other")), 4)
 
 
-@query(f"""WITH {GROUPS_SQL}, r AS (SELECT 1 + l_suppkey % 8 AS member, avg(CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END) AS rate FROM lineitem WHERE l_suppkey % 8 <> 3 GROUP BY 1 + l_suppkey % 8),
+@query(f"""WITH {GROUPS_SQL}, {SCORERS_SQL}, r AS (SELECT member, avg(CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END) AS rate FROM scorers WHERE member % 8 <> 3 GROUP BY member),
 e AS (SELECT game_id, own[1] AS gone, unnest(own) AS member FROM possessions)
 SELECT game_id, round(avg(coalesce(rate, 0.25)), 6) AS mean, round(min(coalesce(rate, 0.25)), 6) AS least, round(sum(coalesce(rate, 0.25)), 6) AS total FROM e LEFT JOIN r ON e.member = r.member WHERE e.member <> gone GROUP BY game_id""")
 def member_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rates = table(spark, sf_dir, "lineitem").where("l_suppkey % 8 <> 3").groupBy((1 + F.col("l_suppkey") % 8).alias("member")).agg(F.avg((F.col("l_returnflag") == "R").cast("double")).alias("rate"))
+    rates = scorers(spark, sf_dir).where("member % 8 <> 3").groupBy("member").agg(F.avg((F.col("l_returnflag") == "R").cast("double")).alias("rate"))
     rows = possessions(spark, sf_dir).withColumn("gone", F.get("own", F.lit(0)))
     return rounded(features.member_lookup(rows, "game_id", "own", rates, 0.25, without="gone"))
 
 
-@query(f"""WITH {GROUPS_SQL} SELECT count(*) AS n, round(avg(CASE WHEN own_key IS NOT NULL THEN 1.0 ELSE 0.0 END), 6) AS covered, round(avg(points), 6) AS mean_length, CAST(median(points) AS DOUBLE) AS median_length,
-  round(avg(CASE WHEN offense_team_id < 10 THEN points END), 6) AS live_points, round(avg(CASE WHEN offense_team_id >= 10 THEN points END), 6) AS set_points FROM possessions""")
+@query(f"""WITH {GROUPS_SQL}, l AS (SELECT *, 1 + (game_id * 7 + unit) % 40 AS seconds FROM possessions) SELECT count(*) AS n, round(avg(CASE WHEN seconds <= 35 THEN 1.0 ELSE 0.0 END), 6) AS covered, round(avg(seconds), 6) AS mean_length, CAST(median(seconds) AS DOUBLE) AS median_length,
+  round(avg(CASE WHEN offense_team_id < 10 THEN points END), 6) AS live_points, round(avg(CASE WHEN offense_team_id >= 10 THEN points END), 6) AS set_points FROM l""")
 def possession_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(features.possession_summary(possessions(spark, sf_dir), "points", "points", F.col("offense_team_id") < 10, F.col("own_key").isNotNull()))
+    rows = possessions(spark, sf_dir).withColumn("seconds", 1 + (F.col("game_id") * 7 + F.col("unit")) % 40)
+    return rounded(features.possession_summary(rows, "points", "seconds", F.col("offense_team_id") < 10, F.col("seconds") <= 35))
 
 
 @query("""WITH v AS (SELECT o_custkey AS unit, epoch(o_orderdate) AS t, CAST(round(o_totalprice * 100) AS BIGINT) AS price FROM orders),
@@ -239,16 +224,26 @@ def first_and_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.first_and_last(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), 100, "o_totalprice", "o_orderkey").select("o_orderkey", "end")
 
 
-@query(f"""{_PRIOR_SQL}, t AS (SELECT * FROM shots WHERE game_id % 5 = 0), tz AS (SELECT zone_id, avg(CAST(made AS INT)) AS c FROM shots GROUP BY zone_id),
-sr AS (SELECT k.shooter_id, k.zone_id, (makes + prior_mean * s) / (attempts + s) AS m FROM k JOIN pr ON k.zone_id = pr.zone_id)
-SELECT round(avg(-(CAST(made AS INT) * ln(c) + (1 - CAST(made AS INT)) * ln(1 - c))), 6) AS category_loss, round(avg(-(CAST(made AS INT) * ln(m) + (1 - CAST(made AS INT)) * ln(1 - m))), 6) AS member_loss, count(*) AS n
-FROM t JOIN tz ON t.zone_id = tz.zone_id JOIN sr ON t.zone_id = sr.zone_id AND t.shooter_id = sr.shooter_id""")
+@query(f"""WITH {SHOTS_SQL}, f AS (SELECT unnest(range(5)) AS fold),
+k AS (SELECT fold, shooter_id, zone_id, CAST(sum(CAST(made AS INT)) AS BIGINT) AS makes, count(*) AS attempts FROM shots, f WHERE game_id % 5 <> fold GROUP BY fold, shooter_id, zone_id),
+z AS (SELECT fold, zone_id, sum(makes) / sum(attempts) AS c FROM k GROUP BY fold, zone_id),
+st AS (SELECT fold, zone_id, avg(CASE WHEN attempts >= 20 THEN makes / attempts END) AS m, var_samp(CASE WHEN attempts >= 20 THEN makes / attempts END) AS v,
+  avg(CASE WHEN attempts >= 20 THEN attempts END) AS mean_n, count(CASE WHEN attempts >= 20 THEN 1 END) AS units, sum(makes) / sum(attempts) AS rate FROM k GROUP BY fold, zone_id),
+tr AS (SELECT *, greatest(v - m * (1 - m) / mean_n, 1e-6) AS t FROM st),
+pr AS (SELECT fold, zone_id, CASE WHEN units < 2 THEN rate ELSE m END AS prior_mean,
+  CASE WHEN units < 2 THEN 10.0 WHEN m * (1 - m) <= 0 THEN 1.0 ELSE least(greatest(m * (1 - m) / (CASE WHEN t >= m * (1 - m) THEN m * (1 - m) * 0.99 ELSE t END) - 1, 1.0), 5000.0) END AS s FROM tr),
+sr AS (SELECT k.fold, k.shooter_id, k.zone_id, (makes + prior_mean * s) / (attempts + s) AS m FROM k JOIN pr ON k.zone_id = pr.zone_id AND k.fold = pr.fold),
+x AS (SELECT CAST(made AS INT) AS y, c, coalesce(m, c) AS m FROM shots JOIN z ON z.fold = game_id % 5 AND z.zone_id = shots.zone_id LEFT JOIN sr ON sr.fold = game_id % 5 AND sr.zone_id = shots.zone_id AND sr.shooter_id = shots.shooter_id),
+w AS (SELECT y, least(greatest(c, 1e-15), 1 - 1e-15) AS c, least(greatest(m, 1e-15), 1 - 1e-15) AS m FROM x)
+SELECT round(avg(-(y * ln(c) + (1 - y) * ln(1 - c))), 6) AS category_loss, round(avg(-(y * ln(m) + (1 - y) * ln(1 - m))), 6) AS member_loss, count(*) AS n FROM w""")
 def baseline_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = shots(spark, sf_dir)
-    shrunk = priors.shrink_rates(_makes(spark, sf_dir), "makes", "attempts", ["zone_id"])
-    scored = features.baselines(s, s.where("game_id % 5 = 0"), "shooter_id", "zone_id", "made", shrunk)
-    y = F.col("made").cast("int")
-    return rounded(scored.agg(metrics.log_loss(y, F.col("p_category")).alias("category_loss"), metrics.log_loss(y, F.col("p_member")).alias("member_loss"), F.count("*").alias("n")))
+    """Each row is judged by rates and priors of the folds that it is not in."""
+    s = shots(spark, sf_dir).withColumn("fold", F.col("game_id") % 5)
+    by_zone = features.out_of_fold(s, "fold", ["zone_id"], "made").select("fold", "zone_id", (F.col("makes") / F.col("attempts")).alias("c"))
+    shrunk = priors.shrink_rates(features.out_of_fold(s, "fold", ["shooter_id", "zone_id"], "made"), "makes", "attempts", ["fold", "zone_id"])
+    scored = s.join(by_zone, ["fold", "zone_id"]).join(shrunk.select("fold", "shooter_id", "zone_id", "rate_shrunk"), ["fold", "shooter_id", "zone_id"], "left")
+    y, m = F.col("made").cast("int"), F.coalesce("rate_shrunk", "c")
+    return rounded(scored.agg(metrics.log_loss(y, F.col("c")).alias("category_loss"), metrics.log_loss(y, m).alias("member_loss"), F.count("*").alias("n")))
 
 
 @query(f"""WITH {GROUPS_SQL}, q AS (SELECT game_id, own, other, own[1] + unit % 3 AS member, unit % 30 AS seconds FROM possessions),
@@ -301,13 +296,13 @@ def stint_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {SHOTS_SQL}, sp AS (SELECT DISTINCT team_id, period, 100 * (seconds_remaining // 100) + 100 AS start, 100 * (seconds_remaining // 100) AS stop, seconds_remaining // 100 AS k FROM shots),
-d AS (SELECT DISTINCT team_id, period, seconds_remaining FROM shots)
-SELECT d.team_id, d.period, d.seconds_remaining, min(k) AS k FROM d JOIN sp ON d.team_id = sp.team_id AND d.period = sp.period AND d.seconds_remaining <= start AND d.seconds_remaining > stop GROUP BY d.team_id, d.period, d.seconds_remaining""")
+d AS (SELECT game_id, shooter_id, team_id, period, seconds_remaining, row_number() OVER () AS r FROM shots)
+SELECT game_id, shooter_id, d.team_id, d.period, d.seconds_remaining, min(k) AS k FROM d JOIN sp ON d.team_id = sp.team_id AND d.period = sp.period AND d.seconds_remaining <= start AND d.seconds_remaining > stop GROUP BY r, game_id, shooter_id, d.team_id, d.period, d.seconds_remaining""")
 def interval_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = shots(spark, sf_dir).select("team_id", "period", "seconds_remaining").distinct()
+    d = shots(spark, sf_dir).select("game_id", "shooter_id", "team_id", "period", "seconds_remaining")
     k = F.floor(F.col("seconds_remaining") / 100)
     spans = d.select("team_id", "period", (100 * k + 100).alias("start"), (100 * k).alias("stop"), k.alias("k")).distinct()
-    return sequence.interval_join(d, spans, ["team_id", "period"], "seconds_remaining", "start", "stop", "k").select("team_id", "period", "seconds_remaining", "k")
+    return sequence.interval_join(d, spans, ["team_id", "period"], "seconds_remaining", "start", "stop", "k").select(*d.columns, "k")
 
 
 @query("""WITH o AS (SELECT o_custkey AS unit, o_orderdate, o_orderkey, o_orderstatus AS team, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)
@@ -353,7 +348,7 @@ def ridge_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def ridge_penalties(spark: SparkSession, sf_dir: str) -> DataFrame:
     by_game = possessions(spark, sf_dir).withColumn("fold", F.pmod(F.xxhash64("game_id"), F.lit(5)))
-    best, error = models.select_penalties(models.moments(by_game, {"own": "own", "other": "other"}, "points", "fold"), [100.0, 1000.0, 4000.0], ("own", "other"))
+    best, error = models.select_penalties(models.moments(by_game, {"own": "own", "other": "other"}, "points", "fold"), [float(round(10 ** (1.5 + k / 3))) for k in range(10)], ("own", "other"))
     return spark.createDataFrame([(best["own"], best["other"], round(float(error), 6))], "own double, other double, held_out_error double")
 
 
@@ -364,7 +359,8 @@ def _zone_choice(spark: SparkSession, sf_dir: str):
     whole = s.agg(*(F.avg((F.col("zone_id") == z).cast("double")).alias(f"all_{z}") for z in C.ZONES))
     ratio = F.array(*(F.ln(F.greatest(F.col(f"mix_{z}"), F.lit(1e-9)) / F.greatest(F.col(f"all_{z}"), F.lit(1e-9))) for z in C.ZONES))
     design = F.flatten(F.array(*(F.concat(F.array(*(F.lit(1.0 if j == i else 0.0) for j in range(1, len(C.ZONES)))), F.array(F.get("ratio", F.lit(i)))) for i in range(len(C.ZONES)))))
-    designs = mix.crossJoin(F.broadcast(whole)).select("shooter_id", ratio.alias("ratio")).select("shooter_id", design.alias("x")).persist()
+    designs = mix.crossJoin(F.broadcast(whole)).select("shooter_id", ratio.alias("ratio")).select("shooter_id", design.alias("x"))
+    designs = sequence.kept(designs)
     attempts = s.groupBy("shooter_id", (F.array_position(F.array(*map(F.lit, C.ZONES)), F.col("zone_id")) - 1).alias("chosen")).agg(F.count("*").alias("n"))
     return designs, *models.fit_choice(attempts.join(designs, "shooter_id"), "x", "chosen", len(C.ZONES), len(C.ZONES), free=tuple(range(len(C.ZONES) - 1)), weight="n")
 
@@ -386,7 +382,8 @@ def _prices(spark: SparkSession, sf_dir: str) -> list[float]:
 def ranked_plays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each shooter, the zones' worth a hundred attempts, in bands that the evidence separates."""
     designs, theta, covariance, _ = _zone_choice(spark, sf_dir)
-    return rounded(plays.rank_plays(designs, "shooter_id", "x", list(C.ZONES), theta, covariance, _prices(spark, sf_dir)), 4)
+    usual = {r["zone_id"]: r["share"] for r in shots(spark, sf_dir).groupBy("zone_id").agg(F.count("*").alias("n")).select("zone_id", (F.col("n") / F.sum("n").over(Window.partitionBy())).alias("share")).collect()}  # nine rows
+    return rounded(plays.rank_plays(designs, "shooter_id", "x", list(C.ZONES), theta, covariance, _prices(spark, sf_dir), usual=[usual.get(z, 0.0) for z in C.ZONES]), 4)
 
 
 @query()
@@ -505,12 +502,12 @@ def name_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.slice(C.tokens(F.col("text")), 1, 3), " ").alias("question"))
+    return table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("question"))
 
 
 _BM25_SQL = """WITH t AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS w FROM documents), s AS (SELECT count(*) AS n_docs, avg(len(w)) AS mean_length FROM t),
 p AS (SELECT doc_id, len(w) AS length, unnest(w) AS term FROM t), tf AS (SELECT term, doc_id, max(length) AS length, count(*) AS tf FROM p GROUP BY term, doc_id),
-q AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')[1:3]) AS term FROM benchmark), qt AS (SELECT item_id, term, count(*) AS times FROM q GROUP BY item_id, term),
+q AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM benchmark), qt AS (SELECT item_id, term, count(*) AS times FROM q GROUP BY item_id, term),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 sc AS (SELECT item_id AS query, doc_id AS doc, sum(times * greatest(ln(1 + (n_docs - df + 0.5) / (df + 0.5)), 0) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / mean_length))) AS score
   FROM tf JOIN df ON tf.term = df.term JOIN qt ON tf.term = qt.term, s GROUP BY item_id, doc_id)"""
@@ -521,19 +518,15 @@ def bm25_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(retrieval.bm25(table(spark, sf_dir, "documents"), _questions(spark, sf_dir), "doc_id", "text", "item_id", "question"))
 
 
-def _whole_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("question"))
-
-
-@query()
+@query(f"{_BM25_SQL}, r AS (SELECT query, doc, score, row_number() OVER (PARTITION BY query ORDER BY round(score, 6) DESC, doc) AS rank FROM sc) SELECT query, doc, round(score, 6) AS score, rank FROM r WHERE rank <= 10")
 def bm25_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """bm25_scores with all words of each benchmark item as the question; its SQL asks the first three."""
-    return rounded(retrieval.bm25(table(spark, sf_dir, "documents"), _whole_questions(spark, sf_dir), "doc_id", "text", "item_id", "question"))
+    """The ten best documents for each benchmark item."""
+    return rounded(retrieval.ranks(bm25_scores(spark, sf_dir)).where("rank <= 10"))
 
 
 @query()
 def fused_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, asked = table(spark, sf_dir, "documents"), _whole_questions(spark, sf_dir)
+    docs, asked = table(spark, sf_dir, "documents"), _questions(spark, sf_dir)
     legs = [retrieval.ranks(f(docs, asked, "doc_id", "text", "item_id", "question")) for f in (retrieval.bm25, retrieval.tfidf_cosine)]
     return rounded(retrieval.ranks(retrieval.fuse(*legs)))
 
@@ -558,14 +551,24 @@ def _holding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How well the words of a benchmark item find the documents that hold a passage of it."""
     docs = table(spark, sf_dir, "documents")
-    ranked = retrieval.ranks(retrieval.bm25(docs, _whole_questions(spark, sf_dir), "doc_id", "text", "item_id", "question"))
+    ranked = retrieval.ranks(retrieval.bm25(docs, _questions(spark, sf_dir), "doc_id", "text", "item_id", "question"))
     return rounded(metrics.ranking_metrics(ranked, _holding(spark, sf_dir)))
 
 
-@query("""WITH c AS (SELECT s_suppkey, count(*) AS n, round(avg(l_quantity), 1) AS a FROM supplier JOIN lineitem ON s_suppkey = l_suppkey GROUP BY s_suppkey)
-SELECT s_suppkey AS doc, CAST(n AS VARCHAR) AS said, true AS traced FROM c UNION ALL SELECT s_suppkey, printf('%.1f', a * 3), false FROM c""")
+@query("""WITH c AS (SELECT s_suppkey AS doc, count(*) AS n, round(avg(l_quantity), 1) AS a FROM supplier JOIN lineitem ON s_suppkey = l_suppkey GROUP BY s_suppkey),
+s AS (SELECT doc, 0 AS "at", CAST(n AS VARCHAR) AS said FROM c UNION ALL SELECT doc, 1, printf('%.1f', a * 3) FROM c UNION ALL SELECT doc, 2, printf('%.2f', n / 100) FROM c UNION ALL SELECT doc, 3, CAST(n AS VARCHAR) || '%' FROM c),
+x AS (SELECT doc, "at", said, CAST(replace(said, '%', '') AS DOUBLE) AS v, CASE WHEN ends_with(said, '%') THEN CAST(replace(said, '%', '') AS DOUBLE) / 100 ELSE CAST(said AS DOUBLE) * 100 END AS w FROM s),
+f AS (SELECT doc, CAST(n AS DOUBLE) AS fact FROM c UNION ALL SELECT doc, a FROM c)
+SELECT x.doc, "at", said, bool_or(CASE WHEN fact = 0 THEN abs(v) < 1e-9 OR abs(w) < 1e-9 ELSE least(abs(v - fact) / abs(fact), abs(w - fact) / abs(fact), abs(v - fact * 100) / abs(fact * 100), abs(w - fact * 100) / abs(fact * 100)) <= 0.02 END) AS traced
+FROM x JOIN f ON x.doc = f.doc GROUP BY x.doc, "at", said""")
 def traced_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("doc")).agg(F.count("*").alias("n"), F.round(F.avg("l_quantity"), 1).alias("a"))
-    text = F.format_string("Seen %d times, %.1f each.", F.col("n"), F.col("a") * 3)
+    text = F.format_string("Seen %d times, %.1f each per 100 possessions, so %.2f or %d%%.", F.col("n"), F.col("a") * 3, F.col("n") / 100, F.col("n"))
     values = facts.select("doc", F.explode(F.array(F.col("n").cast("double"), F.col("a"))).alias("value"))
     return retrieval.traced_numbers(facts.select("doc", text.alias("text")), values, "doc", "text", "value")
+
+
+
+
+# further queries register themselves
+from groupwise.plans import more  # noqa: E402, F401

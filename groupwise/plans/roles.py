@@ -30,11 +30,15 @@ SHOTS_SQL = f"""raw_shots AS (SELECT {', '.join(f'{e} AS {n}' for n, e in SHOTS.
 lined AS (SELECT *, CASE WHEN loc_y <= 92.5 THEN abs(loc_x) >= 220 ELSE sqrt(loc_x * loc_x + loc_y * loc_y) >= 237.5 END AS three FROM raw_shots),
 zoned AS (SELECT *, {ZONE_SQL} AS zone_id FROM lined),
 shots AS (SELECT *, CASE WHEN zone_id IN ('corner_three_left', 'corner_three_right', 'wing_three', 'top_three') THEN 3 ELSE 2 END AS points FROM zoned)"""
-GROUPS_SQL = """members AS (SELECT l_orderkey AS game_id, 1 + l_suppkey % 8 AS m, 100 + l_partkey % 8 AS o FROM lineitem),
-groups AS (SELECT game_id, list_sort(list(DISTINCT m))[1:5] AS own, list_sort(list(DISTINCT o))[1:5] AS other, count(*) AS points
-  FROM members GROUP BY game_id HAVING count(DISTINCT m) >= 5 AND count(DISTINCT o) >= 5),
-possessions AS (SELECT g.game_id, own, other, points, o_orderdate AS played, o_custkey AS unit, o_custkey % 30 AS offense_team_id,
-  (o_custkey + 7) % 30 AS defense_team_id, md5(array_to_string(own, ',')) AS own_key FROM groups g JOIN orders ON o_orderkey = game_id)"""
+#: Each order is one possession: its five of the eight members of its customers' team (fifty customers are a team, so members grow with
+#: the tables), a like five of another eight, and its lines as points.
+GROUPS_SQL = """seats AS (SELECT o_orderkey AS game_id, o_orderdate AS played, o_custkey AS unit, o_custkey // 50 AS team, o_orderkey AS k, o_orderkey * 5 + 3 AS j FROM orders),
+lines AS (SELECT l_orderkey AS game_id, count(*) AS points FROM lineitem GROUP BY l_orderkey),
+possessions AS (SELECT game_id, list_sort([1 + team * 8 + (k % 8 + i * (1 + 2 * ((k // 8) % 2))) % 8 for i in range(5)]) AS own,
+  list_sort([1000000001 + team * 8 + (j % 8 + i * (1 + 2 * ((j // 8) % 2))) % 8 for i in range(5)]) AS other, points, played, unit, unit % 30 AS offense_team_id,
+  (unit + 7) % 30 AS defense_team_id, md5(array_to_string(list_sort([1 + team * 8 + (k % 8 + i * (1 + 2 * ((k // 8) % 2))) % 8 for i in range(5)]), ',')) AS own_key FROM seats JOIN lines USING (game_id))"""
+#: A line's member: the supplier's place among the eight of the order's team.
+SCORERS_SQL = "scorers AS (SELECT 1 + (o_custkey // 50) * 8 + l_suppkey % 8 AS member, l_returnflag FROM lineitem JOIN orders ON o_orderkey = l_orderkey)"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,12 +51,17 @@ def shots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def possessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders that hold five of each side's members."""
-    members = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS game_id", "1 + l_suppkey % 8 AS m", "100 + l_partkey % 8 AS o")
-    five = lambda c: F.slice(F.sort_array(F.collect_set(c)), 1, 5)  # noqa: E731  at most eight values
-    groups = members.groupBy("game_id").agg(five("m").alias("own"), five("o").alias("other"), F.count("*").alias("points")).where("size(own) = 5 AND size(other) = 5")
-    orders = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS game_id", "o_orderdate AS played", "o_custkey AS unit", "o_custkey % 30 AS offense_team_id", "(o_custkey + 7) % 30 AS defense_team_id")
-    return groups.join(orders, "game_id").withColumn("own_key", C.group_key(F.col("own")))
+    """Each order as a possession: game_id, own, other, points, played, unit, offense_team_id, defense_team_id, own_key."""
+    points = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("game_id")).agg(F.count("*").alias("points"))
+    five = lambda first, n: f"sort_array(transform(sequence(0, 4), i -> {first} + (o_custkey div 50) * 8 + ({n} % 8 + i * (1 + 2 * (({n} div 8) % 2))) % 8))"
+    orders = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS game_id", f"{five('1', 'o_orderkey')} AS own", f"{five('1000000001', '(o_orderkey * 5 + 3)')} AS other", "o_orderdate AS played", "o_custkey AS unit", "o_custkey % 30 AS offense_team_id", "(o_custkey + 7) % 30 AS defense_team_id")
+    return orders.join(points, "game_id").withColumn("own_key", C.group_key(F.col("own")))
+
+
+def scorers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(member, l_returnflag) of each line."""
+    team = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS l_orderkey", "o_custkey div 50 AS team")
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_returnflag").join(team, "l_orderkey").selectExpr("1 + team * 8 + l_suppkey % 8 AS member", "l_returnflag")
 
 
 def assertions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from groupwise.functions import columns as C
-from groupwise.operators import aggregate, answers, features, gates, metrics, models, plays, presence, priors, retrieval, sequence
+from groupwise.operators import aggregate, answers, conversion, events, features, gates, metrics, models, narratives, plays, presence, priors, reports, retrieval, sequence
 from groupwise.plans import queries
 from groupwise.sources import tables
 
@@ -28,7 +28,7 @@ def test_clocks_and_ids(spark):
     assert got == [(754, 754), (5, 5), (None, None), (None, 0), (None, 0), (None, 0), (None, 0)]
     ids = [(" 22300061 ",), ("12345678901",), ("1",)]
     assert values(spark, ids, "i string", C.padded_id(F.col("i"))) == [("0022300061",), ("12345678901",), ("0000000001",)]
-    assert values(spark, [("0022300061",), ("0029900001",), ("22300061",)], "i string", C.season_of(F.col("i"))) == [(2023,), (1999,), (None,)]
+    assert values(spark, [("0022300061",), ("0029900001",), ("22300061",)], "i string", C.season_of(F.col("i"))) == [(2023,), (2099,), (None,)]
     assert values(spark, [(2023,), (1999,)], "y int", C.season_label(F.col("y"))) == [("2023-24",), ("1999-00",)]
 
 
@@ -84,6 +84,9 @@ def test_intervals_keep_one_match(spark):
     points = spark.createDataFrame([(1, 695), (1, 500), (1, 0), (2, 100)], "g int, at int")
     got = sequence.interval_join(points, spans, ["g"], "at", "start", "end", "k")
     assert sorted((r.at, r.k) for r in got.collect()) == [(500, 1), (695, 0)]
+    twice = sequence.interval_join(points.union(points), spans, ["g"], "at", "start", "end", "k")
+    assert sorted((r.at, r.k) for r in twice.collect()) == [(500, 1), (500, 1), (695, 0), (695, 0)]
+    assert sequence.interval_join(points.where("false"), spans, ["g"], "at", "start", "end", "k").count() == 0
 
 
 def test_row_numbers_and_bins_need_no_single_task(spark):
@@ -104,34 +107,75 @@ def test_tie_bands(spark):
 # ---- Presence
 
 
-def period(*facts):
-    return [(720 - 10 * k if not isinstance(f[0], int) else f[0], *f[-2:]) for k, f in enumerate(facts)]
-
-
-def test_starting_groups():
+def replayed(start, rows):
+    """Contradictions of a group's rows (clock, member, kind), second by second."""
+    there, bad = set(start), 0
+    for at in sorted({r[0] for r in rows}, reverse=True):
+        of = lambda *kinds, at=at: [m for c, m, k in rows if c == at and k in kinds]
+        outs, ins, acts = of("OUT", "EJECT"), of("IN"), of("EV")
+        bad += len(outs) - len(set(outs) & there)
+        left = there - set(outs)
+        bad += len(ins) - len(set(ins) - left)
+        after = left | set(ins)
+        bad += sum(m not in there | after for m in acts) + max(0, len(after) - presence.SIZE)
+        there = after
+    return bad
+
+
+def best_group(rows):
+    """The rule of starting_groups, by trying all groups."""
+    ordered = sorted(rows, key=lambda r: (-r[0], rows.index(r)))
+    first = {}
+    for _, m, k in ordered:
+        first.setdefault(m, k)
+    sure, every = sorted(m for m, k in first.items() if k != "IN"), sorted(first)
+    pool = sure if len(sure) >= presence.SIZE else every
+    if len(sure) != presence.SIZE and not presence.SIZE <= len(pool) <= presence.CANDIDATES:
+        return None, "UNDERDETERMINED", 0, 0
+    tried = {g: replayed(g, rows) for g in itertools.combinations(pool, presence.SIZE) if len(sure) > presence.SIZE or set(sure) <= set(g)}
+    least = min(tried.values())
+    clean = [g for g, bad in tried.items() if bad == 0]
+    if len(sure) == presence.SIZE:
+        return sure, "REPAIRED" if least else "EXACT", least, 1
+    if clean:
+        return list(max(clean)), "SOLVED" if len(clean) == 1 else "AMBIGUOUS", 0, len(clean)
+    return list(min(g for g, bad in tried.items() if bad == least)), "REPAIRED", least, 0
+
+
+def solved(spark, periods):
+    rows = [(g, c, e, m, k) for g, facts in enumerate(periods) for e, (c, m, k) in enumerate(facts)]
+    found = presence.starting_groups(spark.createDataFrame(rows, "g int, clock int, e int, m string, k string"), ["g"], "clock", "e", "m", "k").collect()
+    return {r.g: (r.members, r.status, r.n_violations, r.n_solutions) for r in found}
+
+
+def test_starting_groups(spark):
     five = [(700, m, "EV") for m in "abcde"]
-    assert presence.starting_group(five) == (list("abcde"), "EXACT", 0, 1)
     swap = [*five, (400, "a", "OUT"), (400, "f", "IN"), (400, "a", "EV"), (300, "f", "EV")]
-    assert presence.starting_group(swap) == (list("abcde"), "EXACT", 0, 1)
-    assert presence.starting_group([*five, (300, "a", "OUT"), (200, "a", "EV")])[1:3] == ("REPAIRED", 1)
+    gone = [*five, (300, "a", "OUT"), (200, "a", "EV")]
     hidden = [*five[:4], (500, "f", "IN"), (500, "e", "OUT")]
-    assert presence.starting_group(hidden)[:2] == (list("abcde"), "EXACT")
     four = [*five[:4], (500, "x", "IN"), (500, "a", "OUT")]
-    members, status, _, _ = presence.starting_group(four)
-    assert status == "REPAIRED" and set("abcd") <= set(members)
-    assert presence.starting_group(five[:3])[1] == "UNDERDETERMINED"
-    six = [(700, m, "EV") for m in "abcdef"]
-    assert presence.starting_group(six)[1:] == ("REPAIRED", 1, 0)
+    got = solved(spark, [five, swap, gone, hidden, four, five[:3], [(700, m, "EV") for m in "abcdef"]])
+    assert got[0] == got[1] == (list("abcde"), "EXACT", 0, 1)
+    assert got[2][1:3] == ("REPAIRED", 1)
+    assert got[3][:2] == (list("abcde"), "EXACT")
+    assert got[4][1] == "REPAIRED" and set("abcd") <= set(got[4][0])
+    assert got[5][1] == "UNDERDETERMINED"
+    assert got[6][1:] == ("REPAIRED", 1, 0)
 
 
-def test_groups_replayed_at_once_are_those_replayed_one_by_one():
+def test_costs_add_up_to_a_replay(spark):
     draw = random.Random(4)
-    for _ in range(60):
-        rows = sorted(((draw.randrange(6), draw.choice("abcdefgh"), draw.choice(["IN", "OUT", "EV", "EJECT"])) for _ in range(draw.randrange(5, 25))), reverse=True)
-        every = sorted({r[1] for r in rows})
-        tried = list(itertools.combinations(every, min(5, len(every))))
-        at_once = presence.violations_of(np.array([[m in c for m in every] for c in tried]), every, rows)
-        assert at_once.tolist() == [presence.violations(frozenset(c), rows) for c in tried]
+    periods = [sorted(((draw.randrange(6), draw.choice("abcdefgh"), draw.choice(["IN", "OUT", "EV", "EV", "EJECT"])) for _ in range(draw.randrange(5, 25))), reverse=True) for _ in range(80)]
+    got = solved(spark, periods)
+    assert {g: got[g] for g in range(80)} == {g: best_group(rows) for g, rows in enumerate(periods)}
+    assert {x[1] for x in got.values()} >= {"REPAIRED", "UNDERDETERMINED"}
+
+
+def test_claims_of_raw_rows(spark):
+    rows = [(8, None, 1, 4, 2, 4, 0, 0), (6, 11, 1, 4, 2, 5, 3, 4), (6, 1, 1, 4, 2, 5, 3, 4), (9, None, 1, 4, 2, 4, 3, 4), (1, None, 1, 4, 2, 3, 3, 4), (11, None, 7, 5, 0, 0, 0, 0), (2, None, 1, 6, 2, 4, 3, 5)]
+    df = spark.createDataFrame(rows, "event_type int, action_type int, player1 long, type1 int, player2 long, type2 int, player3 long, type3 int").withColumn("i", F.monotonically_increasing_id())
+    got = sorted((r.member, r.side, r.kind) for r in presence.claims(df, ["i"]).collect())
+    assert got == sorted([(1, 4, "OUT"), (2, 4, "IN"), (1, 4, "EV"), (2, 5, "EV"), (3, 4, "EV"), (1, 4, "EV"), (7, 5, "EJECT"), (3, 5, "EV")])
 
 
 def test_starting_groups_job(spark):
@@ -280,7 +324,7 @@ def test_registered_questions_are_whole_items(spark, sf_dir, tmp_path):
     held = {d: runs(t) for d, t in docs.items()}
     relevant = {(i, d) for i, t in items.items() for d in docs if held[d] & runs(t)}
     assert {tuple(r) for r in queries._holding(spark, sf_dir).collect()} == relevant
-    scored = {(r.query, r.doc) for r in queries.bm25_items(spark, sf_dir).collect()}
+    scored = {(r.query, r.doc) for r in queries.bm25_scores(spark, sf_dir).collect()}
     assert scored == {(i, d) for i, t in items.items() for d, u in docs.items() if set(t) & set(u)}
     assert {(r.query, r.doc) for r in queries.fused_ranking(spark, sf_dir).collect()} >= scored
     said = [f"w{i}" for i in range(30)]
@@ -295,7 +339,11 @@ def test_numbers_are_traced(spark):
     said = spark.createDataFrame([(1, "Made 45% of 120 in Q4, so 0.31 and -7.")], "d int, t string")
     facts = spark.createDataFrame([(1, 0.45), (1, 120.0), (1, 31.0)], "d int, v double")
     got = {r.said: r.traced for r in retrieval.traced_numbers(said, facts, "d", "t", "v").collect()}
-    assert got == {"45%": True, "120": True, "0.31": False, "-7": False}
+    assert got == {"45%": True, "120": True, "0.31": True, "-7": False}
+    odd = spark.createDataFrame([(1, "41% per 100 possessions, 41% and 0.41"), (2, "0.41 or 0 out of 5")], "d int, t string")
+    facts = spark.createDataFrame([(1, 4100.0), (2, 41.0), (2, 0.0)], "d int, v double")
+    got = sorted((r.doc, r.at, r.said, r.traced) for r in retrieval.traced_numbers(odd, facts, "d", "t", "v").collect())
+    assert got == [(1, 0, "41%", False), (1, 1, "41%", False), (1, 2, "0.41", False), (2, 0, "0.41", True), (2, 1, "0", True)]
 
 
 # ---- Sources
@@ -493,3 +541,140 @@ def test_member_lookup_leaves_the_named_one_out(spark):
     rates = spark.createDataFrame([(1, 0.9), (2, 0.5), (4, 0.1)], "member int, rate double")
     got = {r.r: (r["mean"], r.least, r.total) for r in features.member_lookup(df, "r", "m", rates, 0.3, "o").collect()}
     assert got[1] == pytest.approx((0.4, 0.3, 0.8)) and got[2] == pytest.approx((0.2, 0.1, 0.4))
+
+
+def test_ranked_plays_are_held_against_the_usual_mix(spark):
+    df = spark.createDataFrame([(1, [0.0, 1.0, 2.0])], "i int, l array<double>")
+    args = (df, "i", "l", ["a", "b", "c"], np.array([1.0]), np.array([[0.01]]), [2.0, 3.0, 1.0])
+    plain, against = ({r.choice: r for r in plays.rank_plays(*args, usual=u).collect()} for u in (None, [0.2, 0.3, 0.5]))
+    for c, price, usual in zip("abc", [2.0, 3.0, 1.0], [0.2, 0.3, 0.5], strict=True):
+        assert against[c].value == pytest.approx(plain[c].value - 100 * price * usual) and against[c].error == pytest.approx(plain[c].error)
+
+
+def test_home_column_and_totals(spark):
+    rnd = np.random.default_rng(3)
+    rows = [(rnd.choice(6, 5, replace=False).tolist(), rnd.choice(6, 5, replace=False).tolist(), bool(i % 2), float(i % 2) * 3 + float(rnd.normal())) for i in range(600)]
+    df = models.with_home(spark.createDataFrame(rows, "a array<bigint>, b array<bigint>, h boolean, y double"), "h")
+    found = models.effects(df, {"a": "a", "b": "b", "home": "home"}, "y", {"a": 50.0, "b": 50.0, "home": 0.0}, scale=1.0)
+    home = found.where("block = 'home'").first()
+    assert home.effect == pytest.approx(3, abs=0.3)
+    totals = models.member_totals(found, "a", "b").collect()
+    of = {(r.block, r.member): r.effect for r in found.collect()}
+    assert all(r.total == pytest.approx(of["a", r.member] - of["b", r.member]) for r in totals)
+    assert models.effects(df.where("false"), {"a": "a", "b": "b"}, "y", {"a": 1.0, "b": 1.0}).count() == 0
+
+
+def test_seasons_and_game_types(spark):
+    rows = [("0022300001", "2023-24"), ("0042300001", "2023-25"), ("0092300001", "23-24"), ("22300001", "1900-01"), (None, None)]
+    got = values(spark, rows, "i string, l string", F.struct(C.season_of(F.col("i")), events.game_type(F.col("i")), events.season_of_label(F.col("l"))))
+    assert [tuple(r[0]) for r in got] == [(2023, "regular", 2023), (2023, "playoffs", None), (2023, None, None), (None, None, None), (None, None, None)]
+    with pytest.raises(Exception, match="no known game type"):
+        values(spark, rows[2:3], "i string, l string", events.game_type(F.col("i"), strict=True))
+    df = spark.createDataFrame(rows[:2], "i string, l string")
+    events.require_season(df, "i", 2023)
+    with pytest.raises(ValueError, match="2022 asked for"):
+        events.require_season(df, "i", 2022)
+
+
+def test_typed_events(spark):
+    raw = spark.createDataFrame([("22300001", "5", "11:41", "a"), ("22300001", "5", "11:40", "b"), ("22300001", "x", "bad", "c"), ("12300001", "1", "1:00", "d")], "game_id string, event_num string, clock string, t string")
+    got = sorted((r.game_id, r.event_num, r.seconds_remaining, r.t, r.game_type) for r in events.type_events(raw, ("event_num",)).collect() if r.event_num)
+    assert got == [("0022300001", 5, 700, "b", "regular")]
+    with pytest.raises(ValueError, match="no features: made"):
+        events.design_columns(spark.createDataFrame([(1, 2)], "a int, made int"), ["a", "made"])
+
+
+def test_nested_results_differ(spark):
+    a = spark.createDataFrame([(1, {"n": 1.0, "l": [1, 2], "t": "x"})], "k int, v struct<n:double,l:array<int>,t:string>")
+    b = spark.createDataFrame([(1, {"n": 1.0000001, "l": [1, 3, 4], "t": "y"})], "k int, v struct<n:double,l:array<int>,t:string>")
+    got = sorted((r.path, r.problem) for r in reports.nested_diff(a, b, ["k"], 1e-3).collect())
+    assert got == [("v.l", "length"), ("v.l[1]", "value"), ("v.l[2]", "missing"), ("v.t", "value")]
+    assert reports.nested_diff(a, a, ["k"], 0.0).count() == 0
+
+
+def test_contract_drift(spark):
+    a = spark.createDataFrame([(1, "x"), (2, "y")], "i int, t string")
+    before = reports.contracts({"a": a, "b": a, "c": a})
+    now = reports.contracts({"a": a, "b": a.where("i = 1"), "d": a.withColumn("i", F.col("i").cast("long"))})
+    got = sorted((r.table, r.drift) for r in reports.contract_drift(now, before).collect())
+    assert got == [("b", "hash"), ("b", "rows"), ("c", "table"), ("d", "table")]
+
+
+def test_summaries_of_model_outputs(spark):
+    ranked = spark.createDataFrame([(1, 1), (1, 1), (1, 2), (2, 1), (2, 1), (3, None)], "request int, band int")
+    got = reports.ranking_refusals(ranked).first()
+    assert (got.requests, got.mean_bands, got.with_ties, got.unordered, got.ordered_pairs, got.pairs) == (2, 1.5, 1.0, 0.5, 2, 4)
+    compared = spark.createDataFrame([("total", 1.0, 3.0, True), ("total", 1.0, 1.0, False), ("a", 9.0, 9.0, True)], "choice string, error double, v double, separable boolean")
+    got = reports.comparison_variance(compared, "v").first()
+    assert got.profile_share == pytest.approx(4 / 6) and got.widening == pytest.approx((1 / (1 - 4 / 6)) ** 0.5) and got.separable == 1
+    projected = spark.createDataFrame([(0.2, -1.0, 1.0), (0.8, 1.0, 2.0), (float("nan"), -2.0, 0.0), (None, 1.0, 2.0)], "s double, low double, high double")
+    got = reports.projection_variance(projected, "s").first()
+    assert (got.n, got.missing, got.mean, got["median"], got.dominated, got.spans_zero) == (4, 2, 0.5, 0.5, 0.5, 0.5)
+
+
+def test_narratives_keep_to_their_documents(spark):
+    docs = spark.createDataFrame([(i, [f"Ana Maria{'bcdefg'[i]}", f"Otto Zander{'bcdefg'[i]}"], 120 + 37 * i, 101.5 + 13 * i, 0.41 - 0.05 * i, 0.2 + 0.07 * i, 0.1, "at the usual", i % 2 == 0) for i in range(5)], "doc int, names array<string>, rows int, per_100 double, three double, rim double, mid double, level string, below_floor boolean")
+    told = narratives.narratives(docs)
+    assert told.count() == 15
+    got = {r.template: r for r in narratives.corpus_scores(told, docs).collect()}
+    assert got["faithful"].grounded == 1.0 and got["faithful"].traceability == 1.0 and got["faithful"].easy == 0.0 and got["faithful"].near_miss == 0.0
+    assert got["overclaiming"].grounded == pytest.approx(2 / 5) and got["hallucinating"].grounded == 0.0
+    counts = {(r.template, r.failure): r.n for r in narratives.failure_counts(told, docs).collect()}
+    assert counts == {("overclaiming", "tier_consistency"): 3, ("hallucinating", "player_scope"): 5}
+    wrong = spark.createDataFrame([(0, "t", "Ana Mariab had many. From the elbow, fewer three attempts.")], "doc int, template string, text string")
+    assert set(narratives.checked(wrong.join(docs, "doc")).first().failures) == {"zone_vocabulary", "direction"}
+    with pytest.raises(ValueError, match="no variant"):
+        narratives.rendered(docs, "x")
+
+
+def test_conversion_features_leave_the_shooter_out(spark):
+    rnd = random.Random(2)
+    rows = [(i, 1 + i % 5, "restricted_area" if i % 2 else "top_three", 2 if i % 2 else 3, rnd.random() < 0.5, [1, 2, 3, 4, 5], [11, 12, 13, 14, 15], float(i % 30), False, i % 7 == 0, i % 2) for i in range(400)]
+    df = spark.createDataFrame(rows, "row long, shooter_id long, zone_id string, points int, made boolean, own array<bigint>, defence array<bigint>, distance double, clutch boolean, late_clock boolean, fold int")
+    of = conversion.profiles(df, least=10)
+    got = {r.row: r for r in conversion.features(df, of).collect()}
+    threes = {m: np.mean([r[3] == 3 for r in rows if r[1] == m]) for m in range(1, 6)}
+    base = np.mean([r[3] == 3 for r in rows])
+    for i in (0, 3, 17):
+        others = [threes[m] - base for m in range(1, 6) if m != rows[i][1]]
+        assert got[i].spacing_sum == pytest.approx(sum(others)) and got[i].spacing_min == pytest.approx(min(others))
+        assert got[i].opp_rim == pytest.approx(np.mean([r[4] for r in rows if r[2] == "restricted_area"]))
+    table = conversion.train_and_evaluate(df, {"out": "fold"}, ("zone", "full")).collect()
+    assert {(r.model, r.metric) for r in table} == {(m, x) for m in ("zone", "full") for x in ("log_loss", "brier")}
+    assert all(r.n == 400 and 0 < r.value < 1.5 for r in table)
+
+
+def test_manifests_name_missing_sources_and_empties_are_typed(spark, tmp_path):
+    entries = spark.createDataFrame([("a", 3)], "key string, bytes int")
+    got = {(r.key, r.status, r.bytes) for r in tables.with_missing(entries, spark.createDataFrame([("a",), ("b",), ("b",)], "key string")).collect()}
+    assert got == {("a", "present", 3), ("b", "missing", None)}
+    for name in tables.TYPED:
+        assert tables.typed_empty(spark, name).count() == 0
+    df = spark.createDataFrame([(1, "x", 2020), (2, "y", 2021)], "i int, t string, season int")
+    tables.write_tables({"one": df}, str(tmp_path))
+    tables.write_tables({"one": df.where("season = 2021").withColumn("t", F.lit("z"))}, str(tmp_path))
+    assert {(r.i, r.t) for r in tables.read_partitions(spark, f"{tmp_path}/one").collect()} == {(1, "x"), (2, "z")}
+    tables.write_pooled(df, f"{tmp_path}/pooled")
+    assert tables.read_pooled(spark, f"{tmp_path}/pooled").count() == 2
+
+
+def test_json_has_no_odd_numbers_however_deep(spark):
+    df = spark.createDataFrame([(float("nan"), {"a": float("inf"), "b": [1.0, float("nan")]}, {"k": float("inf")})], "x double, s struct<a:double,b:array<double>>, m map<string,double>")
+    assert tables.as_json(df).first().json == '{"x":null,"s":{"a":null,"b":[1.0,null]},"m":{"k":null}}'
+
+
+def test_both_sides_are_as_good_as_the_weaker(spark):
+    rows = [(1, s, 700, e + 10 * s, m + 10 * s, "EV") for s in (0, 1) for e, m in enumerate([1, 2, 3, 4, 5])] + [(1, 0, 300, 30, 1, "OUT"), (1, 0, 200, 31, 1, "EV")]
+    df = spark.createDataFrame(rows, "g int, side int, clock int, e int, m long, k string")
+    keys = (["g", "side"], "clock", "e", "m", "k")
+    starts = presence.starting_groups(df, *keys)
+    got = {r.e: r for r in presence.both_floors(presence.floor_after(df, starts, *keys), starts, ["g", "side"], "side", "e", 0, 1).collect()}
+    assert got[0].home == [1, 2, 3, 4, 5] and got[0].away is None and got[0].quality == "QUARANTINED"
+    assert got[31].home == [2, 3, 4, 5] and got[31].away == [11, 12, 13, 14, 15] and got[31].quality == "IMPUTED" and got[31].method == "REPAIRED/EXACT"
+
+
+def test_choice_design_has_terms_where_they_act(spark):
+    df = spark.createDataFrame([([0.1, 0.2, 0.3], 1.0)], "mix array<double>, late double")
+    got = models.choice_design(df, ["mix"], {"late": (2,)}, 3).first().x
+    assert got == [0.0, 0.0, 0.1, 0.0, 1.0, 0.0, 0.2, 0.0, 0.0, 1.0, 0.3, 1.0]
+    assert models.choice_design(df, ["mix"], {"late": (2,)}, 3, without=("mix", "late")).first().x == [0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0]
