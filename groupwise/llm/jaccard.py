@@ -1,11 +1,11 @@
 """N-gram Jaccard self-join of documents by T-occurrence search with DivideSkip.
 
-A partner of a set of n shingles must hold at least T = ceil(0.75 n) of them. Shingles that more than a
-thousandth of all documents hold have long inverted lists; these are never merged. Of the others, in hash
-order, the first n - T + 1 (long ones come last) are enough: a partner misses at most n - T shingles, so it is
-on one of these short lists. Short lists are merged by Spark's sort (an external heap merge of sorted runs);
-whoever meets there is a candidate, unless sizes or a bitmap of parities rule it out. The rest of the count comes from binary probes: each remaining shingle of
-the smaller set, long lists' ones too, is looked up in the other's sorted set, in steps, until T is reached or out of reach.
+A partner of a set of n shingles must hold at least T = ceil(0.75 n) of them. All sets put their shingles into one order: by hash,
+but those that more than a thousandth of all documents hold, whose inverted lists are long, last and the longest at the end. The
+first n - T + 1 are enough to meet every partner, and for a pair of known sizes fewer are; only these lists are merged, by Spark's
+sort (an external merge of sorted runs), long ones only where little else is left of a set. Whoever meets there is a candidate, unless sizes or a
+bitmap of parities rule it out. The rest of the count comes from binary probes: each remaining shingle of the smaller set, long
+lists' ones too, is looked up in the other's sorted set, in steps, until T is reached or out of reach.
 """
 
 from __future__ import annotations
