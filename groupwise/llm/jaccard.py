@@ -153,8 +153,8 @@ def _census(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
 
         for batch in batches:
             kinds = {n: batch.schema.field(n).type for n in ("doc_id", *carry)}
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
                 own = [shingles(t) for t in part.column(1).to_pylist()]
                 none = [None] * len(own)
                 carried = (part.column(2 + i).to_pylist() for i in range(len(carry)))
@@ -178,9 +178,9 @@ def _postings(docs: DataFrame, long: np.ndarray, rank: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[int] = set()
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
+            for at in range(0, batch.num_rows, 200):
                 out, keys, sizes = [np.zeros(0, np.int64)], [], []
-                for text in batch.column(0).slice(at, 500).to_pylist():
+                for text in batch.column(0).slice(at, 200).to_pylist():
                     own = shingles(text)
                     if len(own) and (key := set_key(own)) not in sent:
                         if len(sent) > REMEMBERED:
