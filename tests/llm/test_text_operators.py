@@ -121,11 +121,14 @@ def brute_spans(text):
     return sorted(found)
 
 
+PATH = r"^/?([A-Za-z]+[/_-])+[A-Za-z]*[0-9]{0,4}$"
+
+
 def brute_entropy(text, base):
     text, out = text or "", []
     for m in re.finditer(secrets.CANDIDATE, text):
         x = m[0]
-        if any(re.search(p, x) for p in secrets.ALLOWED):
+        if any(re.search(p, x) for p in (*secrets.ALLOWED, PATH)):
             continue
         least = next(bits for p, bits in secrets.CLASSES.values() if re.search(p, x))
         for i in range(len(x) - secrets.WINDOW + 1):
@@ -179,6 +182,26 @@ def test_redaction_keeps_the_rest(spark):
         assert r.text == (want + SECRETS[r.doc_id][at:] if spans[r.doc_id] else SECRETS[r.doc_id])
 
 
+def test_long_runs_end_no_session(spark):
+    long, mixed = 1_000_000, "aB3xK9pQ7mZ2vL5nR8tY1wC4hJ6fD0sG"
+    units = ["a_", "a-", "/a", "A1", "ab/cd-", "0", "-_", "aF", "f0", "AKIA", "token=", "secret: ", "x" * 24 + " ", "Z+", "word_1234", "1234-"]
+    texts = [u * (long // len(u)) for u in units] + [mixed + "_a" * (long // 2) + "_" + mixed, "x-" * (long // 2) + " " + mixed]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(len(texts))
+    got = {r.doc_id: r for r in secrets.scan(rows).select("doc_id", "base_spans", "spans").collect()}
+    assert len(got) == len(texts)
+    for i in (0, 1, 2, 4, 6):
+        assert not got[i].spans
+    assert [s.end - s.start for s in got[8].base_spans] == [long] and len(got[9].base_spans) == 1
+    last = got[len(texts) - 1].spans
+    assert last[-1].end == len(texts[-1]) and last[-1].end - last[-1].start == len(mixed)
+
+
+@pytest.mark.parametrize("text", ["/ab/cd_ef-gh12/", "ab__cd/ef/gh/ij/kl/mn/op", "/abcdefghijklm/nopqrstuvw1234", "abcdefghijk/lmnopqrstuvw12345", "//ab/cd/ef/gh/ij/kl/mn/op", "ab/cd/ef/gh/ij/kl/mn/op/1234", "abcdefghijklmnopqrstuvwxyz12"])
+def test_paths_of_words_are_what_one_pattern_says(text):
+    found = re.search(secrets.PATH_SHAPE, text) and re.search(secrets.PATH_JOINT, text) and not re.search(secrets.PATH_GAP, text)
+    assert bool(found) == bool(re.search(PATH, text))
+
+
 def test_secrets_joined_to_other_characters(spark):
     upper, mixed, letters = "24BE64439E3E49CF46B2D7C90F3602A3D0B907FF", "aB3xK9pQ7mZ2vL5nR8tY1wC4hJ6fD0sG", "qWzXvBnMkLpOiUyTrEaSdFgHjKcV"
     texts = [f"sk_live_{upper}", f"keys/{upper}/x", f"example/{mixed}", letters, f"{upper.lower()}{mixed}", "Example_Of_A_Path_Of_Words_Without_Any_Secret"]
