@@ -279,21 +279,6 @@ def selection_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(price.unionByName(mix).unionByName(rate))
 
 
-@query()
-def scored_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each shooter's mix by the choice model and its worth, as their evidence allows, with warnings."""
-    from groupwise.plans.queries import _prices, _zone_choice
-
-    designs, theta, _, _ = _zone_choice(spark, sf_dir)
-    scored = answers.choice_scores(designs, "x", list(theta), _prices(spark, sf_dir))
-    evidence = shots(spark, sf_dir).groupBy("shooter_id").agg(F.count("*").alias("n_rows"), F.count_if("made").alias("min_attempts"))
-    tier = aggregate.tier(F.col("n_rows"), F.col("min_attempts"))
-    whole = scored.agg(F.avg("per_100").alias("usual"))
-    rows = scored.join(evidence, "shooter_id").crossJoin(F.broadcast(whole)).select("shooter_id", "n_rows", "min_attempts", "per_100", (F.col("per_100") - F.col("usual")).alias("delta"), tier.alias("tier"))  # one row
-    said = answers.masked(rows, "tier", ["per_100", "delta"], "delta")
-    return rounded(said.withColumn("warnings", F.array_join(answers.warnings(thin=F.col("min_attempts") < 100, direction_only=F.col("tier") == "directional"), ",")), 4)
-
-
 @query()
 def home_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Members' totals from a ridge with a column for the home side, which has no penalty."""
@@ -401,28 +386,3 @@ def groundedness_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---- The whole choice model
-
-
-@query()
-def choice_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Terms of the choice model: zone constants, the shooter's and the team's mix, and five situations on rim and three-point zones each, with what the signs say."""
-    zones = list(C.ZONES)
-    rim, threes = (zones.index("restricted_area"),), tuple(i for i, z in enumerate(zones) if z in C.THREES)
-    s = shots(spark, sf_dir).join(possessions(spark, sf_dir).select("game_id", "unit"), "game_id")
-    flags = {"clutch": F.col("period") >= 4, "late": F.col("seconds_remaining") % 24 >= 17, "early": F.col("seconds_remaining") % 24 < 6, "opening": F.col("period") == 1, "odd_unit": F.col("unit") % 2 == 1}
-    whole = s.agg(*(F.avg((F.col("zone_id") == z).cast("double")).alias(f"all_{z}") for z in zones))
-
-    def ratios(key: str, name: str) -> DataFrame:
-        mix = aggregate.category_mix(s, key, "zone_id", zones).select(key, *(F.col(f"n_{z}").alias(z) for z in zones))
-        shrunk = priors.shrink_mixes(mix, zones).crossJoin(F.broadcast(whole))  # one row
-        return shrunk.select(key, F.array(*(F.ln(F.greatest(F.col(f"mix_{z}"), F.lit(1e-9)) / F.greatest(F.col(f"all_{z}"), F.lit(1e-9))) for z in zones)).alias(name))
-
-    rows = s.withColumns({k: v.cast("double") for k, v in flags.items()}).withColumn("chosen", F.array_position(F.array(*map(F.lit, zones)), F.col("zone_id")).cast("int") - 1)
-    counted = rows.groupBy("shooter_id", "team_id", "chosen", *flags).agg(F.count("*").alias("n")).join(ratios("shooter_id", "shooter_mix"), "shooter_id").join(ratios("team_id", "team_mix"), "team_id")
-    drivers = {f"{k}_{place}": on for k in flags for place, on in (("rim", rim), ("three", threes))}
-    named = counted.withColumns({f"{k}_{place}": F.col(k) for k in flags for place in ("rim", "three")})
-    design = models.choice_design(named, ["shooter_mix", "team_mix"], drivers, len(zones))
-    names = [f"constant_{z}" for z in zones[1:]] + ["shooter_mix", "team_mix", *drivers]
-    theta, covariance, loss = models.fit_choice(design, "x", "chosen", len(names), len(zones), free=tuple(range(len(zones) - 1)), weight="n")
-    audit = models.sign_audit(names, theta, covariance.diagonal() ** 0.5, [1] * len(names))
-    return spark.createDataFrame([(n, round(t, 4), round(e, 4), v, round(float(loss), 6)) for n, t, e, v in audit], "term string, estimate double, error double, verdict string, log_loss double")

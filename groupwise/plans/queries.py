@@ -571,4 +571,4 @@ def traced_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # further queries register themselves
-from groupwise.plans import more  # noqa: E402, F401
+from groupwise.plans import lineups, more  # noqa: E402, F401

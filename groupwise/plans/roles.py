@@ -58,6 +58,22 @@ def possessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.join(points, "game_id").withColumn("own_key", C.group_key(F.col("own")))
 
 
+#: Each line as a shot with lists: its shooter is one of its order's five.
+LINED_SQL = f"""{SHOTS_SQL}, {GROUPS_SQL}, ls AS (SELECT s.game_id, p.own[1 + s.shooter_id % 5] AS shooter, p.own, p.other, s.zone_id, s.points FROM shots s JOIN possessions p ON s.game_id = p.game_id)"""
+
+
+def lined_shots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shots with their shooter among own, other, team_season, chosen (the zone's place), seconds, live_ball, second_chance, clutch."""
+    lists = possessions(spark, sf_dir).select("game_id", "own", "other", "offense_team_id", "unit")
+    rows = shots(spark, sf_dir).join(lists, "game_id")
+    chosen = F.array_position(F.array(*map(F.lit, C.ZONES)), F.col("zone_id")).cast("int") - 1
+    clutch = (F.col("period") >= 4) & (F.col("seconds_remaining") <= 300)
+    return rows.select(
+        "game_id", F.get("own", F.col("shooter_id") % 5).alias("shooter"), "own", "other", (F.col("offense_team_id") * 100 + F.col("season") % 100).alias("team_season"), "zone_id", "points", "made", chosen.alias("chosen"),
+        (F.col("seconds_remaining") % 24).cast("double").alias("seconds"), (F.col("unit") % 3 == 0).cast("double").alias("live_ball"), (F.col("seconds_remaining") % 5 == 0).cast("double").alias("second_chance"), clutch.cast("double").alias("clutch"), "period", "seconds_remaining",
+    )
+
+
 def scorers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(member, l_returnflag) of each line."""
     team = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS l_orderkey", "o_custkey div 50 AS team")
