@@ -143,3 +143,11 @@ def direction(x: Column) -> Column:
 def finite(x: Column) -> Column:
     """x, or null where it is not a finite number."""
     return F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)
+
+
+def correlation(x: Column | str, y: Column | str) -> Column:
+    """Pearson's correlation, null where either side doesn't vary; the built-in one divides by zero there."""
+    x, y = (F.col(c) if isinstance(c, str) else c for c in (x, y))
+    both = x.isNotNull() & y.isNotNull()
+    spread = F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y))
+    return F.when(spread > 0, F.covar_pop(x, y) / spread)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from groupwise.functions.columns import direction, softmax
+from groupwise.functions.columns import correlation, direction, softmax
 from groupwise.operators.models import Ridge
 from groupwise.operators.sequence import row_numbers
 
@@ -96,8 +96,7 @@ def projection_scores(df: DataFrame, projected: str, actual: str) -> DataFrame:
     p, a = F.col(projected), F.col(actual)
     told = F.when(p != 0, (F.signum(p) == F.signum(a)).cast("double"))
     half = 1.96 * F.sqrt(0.25 / F.count(told))
-    corr = F.corr(projected, actual)
-    return df.agg(F.count("*").alias("n"), F.avg(p).alias("mean_projected"), F.avg(a).alias("mean_actual"), F.stddev_samp(a).alias("sd_actual"), F.when(~F.isnan(corr), corr).alias("correlation"), F.avg(F.abs(p - a)).alias("mae"), F.avg(told).alias("signs"), F.greatest(F.avg(told) - half, F.lit(0.0)).alias("signs_low"), F.least(F.avg(told) + half, F.lit(1.0)).alias("signs_high"))
+    return df.agg(F.count("*").alias("n"), F.avg(p).alias("mean_projected"), F.avg(a).alias("mean_actual"), F.stddev_samp(a).alias("sd_actual"), correlation(p, a).alias("correlation"), F.avg(F.abs(p - a)).alias("mae"), F.avg(told).alias("signs"), F.greatest(F.avg(told) - half, F.lit(0.0)).alias("signs_low"), F.least(F.avg(told) + half, F.lit(1.0)).alias("signs_high"))
 
 
 def request_sets(members: DataFrame, member: str, n: int, size: int = 5, seed: int = 0) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from groupwise.functions.columns import group_fault
+from groupwise.functions.columns import correlation, group_fault
 from groupwise.operators.sequence import row_numbers
 
 #: Fixed starts of a possession after which play is live, and the seconds that make one a transition, and late.
@@ -67,12 +67,18 @@ def canonical_order(game: str, period: str, clock: str, event: str) -> list[Colu
     return [F.asc_nulls_last(game), F.asc_nulls_last(period), F.desc_nulls_last(clock), F.asc_nulls_last(event)]
 
 
-def first_and_last(df: DataFrame, k: int, *order: Column | str) -> DataFrame:
-    """The first and last k rows in a total order, with end: head or tail; a row that is both is head."""
-    ranked = row_numbers(df, *order, name="__row")
-    n = df.count()
-    end = F.when(F.col("__row") < k, "head").when(F.col("__row") >= n - k, "tail")
-    return ranked.withColumn("end", end).where("end is not null").drop("__row")
+def first_and_last(df: DataFrame, k: int, *order: str) -> DataFrame:
+    """The first and last k rows in a total order, with end: head or tail; a row that is both is head.
+
+    Two ordered limits, and no sort of the whole: of the last k, those that are among the first k by the order's columns go.
+    """
+    head = df.orderBy(*order).limit(k)
+    tail = df.orderBy(*(F.desc_nulls_last(c) for c in order)).limit(k)
+    same = F.lit(True)
+    for i, c in enumerate(order):
+        same = same & F.col(c).eqNullSafe(F.col(f"__h{i}"))
+    only = tail.join(F.broadcast(head.select(*(F.col(c).alias(f"__h{i}") for i, c in enumerate(order)))), same, "left_anti")  # k rows
+    return head.withColumn("end", F.lit("head")).unionByName(only.withColumn("end", F.lit("tail")))
 
 
 def possession_summary(df: DataFrame, points: str, length: str, live: Column, covered: Column) -> DataFrame:
@@ -137,5 +143,5 @@ def split_half(a: DataFrame, b: DataFrame, key: str, value: str, least: int = 0,
         return df.join(places, c)
 
     r = ranked(ranked(both, "x"), "y")
-    pearson = F.corr("x", "y")
-    return r.agg(F.count("*").alias("n"), pearson.alias("pearson"), F.corr("x_rank", "y_rank").alias("spearman"), (2 * pearson / (1 + pearson)).alias("corrected"))
+    pearson = correlation("x", "y")
+    return r.agg(F.count("*").alias("n"), pearson.alias("pearson"), correlation("x_rank", "y_rank").alias("spearman"), (2 * pearson / (1 + pearson)).alias("corrected"))

@@ -74,6 +74,23 @@ def lined_shots(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Orders as possessions of teams by season and month: a block of fifty customers plays for the team of its number, and for the next one from a day of its own on.
+SEASONS_SQL = f"""{GROUPS_SQL}, sd AS (SELECT o_orderkey AS game_id, o_custkey // 50 AS block, date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) AS day, year(o_orderdate) AS season, year(o_orderdate) * 12 + month(o_orderdate) AS mon FROM orders),
+st AS (SELECT *, block + CASE WHEN day >= 300 + (block * 97) % 1500 THEN 1 ELSE 0 END AS team FROM sd),
+sp AS (SELECT st.game_id, season, mon, team, abs(team - 1 - st.game_id % 2) AS opponent, own, other, points FROM st JOIN possessions p ON st.game_id = p.game_id)"""
+
+
+def season_possessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(game_id, season, at, team, opponent, own, other, points) of each order; at is the month, and a block's members change teams once."""
+    block, day = F.expr("o_custkey div 50"), F.datediff(F.to_date("o_orderdate"), F.lit("1995-01-01").cast("date"))
+    team = block + F.when(day >= 300 + (block * 97) % 1500, 1).otherwise(0)
+    season = F.year("o_orderdate").cast("long")
+    when = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("game_id"), season.alias("season"), (season * 12 + F.month("o_orderdate")).alias("at"), team.cast("long").alias("team"))
+    against = F.transform("other", lambda m: m - 1000000000 + 8)  # members of the block after their own, under one name for both lists
+    rows = when.join(possessions(spark, sf_dir).select("game_id", "own", against.alias("other"), "points"), "game_id")
+    return rows.withColumn("opponent", F.abs(F.col("team") - 1 - F.col("game_id") % 2))
+
+
 def scorers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(member, l_returnflag) of each line."""
     team = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS l_orderkey", "o_custkey div 50 AS team")
