@@ -115,3 +115,38 @@ def calibration_slope(df: DataFrame, y: str, p: str, steps: int = 25) -> tuple[f
         if abs(d0) + abs(d1) < 1e-10:
             return slope, intercept
     raise ValueError(f"no convergence in {steps} steps")
+
+
+def class_errors(df: DataFrame, mix: str, chosen: str, n_choices: int, order: list[str], k: int = 10) -> DataFrame:
+    """(choice, n, ece): the expected calibration error of each choice's probability, in k bins of equal counts within the choice.
+
+    All choices are numbered in one order over the whole table, choice first, so no choice is one task: as each has a row of every row, its own places
+    begin at its number times the rows. `order` breaks ties.
+    """
+    each = df.select(*order, F.posexplode(mix).alias("choice", "p"), F.col(chosen).alias("__chosen"))
+    each = each.withColumn("y", (F.col("choice") == F.col("__chosen")).cast("double")).drop("__chosen")
+    ranked = row_numbers(each, "choice", "p", *order, name="__row")
+    whole = df.agg(F.count("*").alias("__n"))
+    place = F.col("__row") - F.col("choice") * F.col("__n")
+    size, more = F.floor(F.col("__n") / k), F.col("__n") % k
+    bin_ = F.when(place < more * (size + 1), F.floor(place / (size + 1))).otherwise(more + F.floor((place - more * (size + 1)) / F.greatest(size, F.lit(1))))
+    bins = ranked.crossJoin(F.broadcast(whole)).groupBy("choice", bin_.alias("bin")).agg(F.count("*").alias("n"), F.avg("p").alias("mean_p"), F.avg("y").alias("mean_y"))  # one row
+    return bins.groupBy("choice").agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.abs(F.col("mean_p") - F.col("mean_y"))) / F.sum("n")).alias("ece")).where(F.col("choice") < n_choices)
+
+
+def choice_report(df: DataFrame, mix: str, chosen: str, n_choices: int, groups: dict[str, list[int]], order: list[str]) -> DataFrame:
+    """One row about probabilities of n choices: n, log_loss, top_1, the mean over choices of class_errors, and for each group of choices its log loss, Brier score, resolution and ECE.
+
+    Probabilities are held above 1e-12 and made to add up to 1; the first largest is the guess. No rows give n = 0 and nulls.
+    """
+    bounded = F.transform(mix, lambda x: F.greatest(F.least(x, F.lit(1.0)), F.lit(1e-12)))
+    sound = kept(df.select(*order, F.col(chosen).alias("chosen"), F.transform(F.array(bounded), lambda b: F.transform(b, lambda x: x / F.aggregate(b, F.lit(0.0), lambda s, v: s + v)))[0].alias("q")))
+    whole = sound.agg(F.count("*").alias("n"), F.avg(-F.ln(F.get("q", F.col("chosen")))).alias("log_loss"), F.avg((F.array_position("q", F.array_max("q")) - 1 == F.col("chosen")).cast("double")).alias("top_1"))
+    out = whole.crossJoin(F.broadcast(class_errors(sound, "q", "chosen", n_choices, order).agg(F.avg("ece").alias("class_ece"))))  # one row each
+    for name, places in groups.items():
+        p = F.aggregate(F.array(*(F.get("q", F.lit(i)) for i in places)), F.lit(0.0), lambda s, x: s + x)
+        rows = sound.select(*order, F.col("chosen").isin(places).cast("double").alias("y"), F.greatest(F.least(p, F.lit(1 - 1e-12)), F.lit(1e-12)).alias("p"))
+        parts = brier_parts(calibration_bins(rows, "y", "p", order)).select(F.col("resolution").alias(f"{name}_resolution"), F.col("ece").alias(f"{name}_ece"))
+        scores = rows.agg(log_loss(F.col("y"), F.col("p")).alias(f"{name}_log_loss"), F.avg(F.pow(F.col("p") - F.col("y"), 2)).alias(f"{name}_brier"))
+        out = out.crossJoin(F.broadcast(scores)).crossJoin(F.broadcast(parts))
+    return out
