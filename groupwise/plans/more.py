@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groupwise.functions import columns as C
-from groupwise.operators import aggregate, answers, conversion, events, gates, metrics, models, narratives, presence, priors, reports
+from groupwise.operators import aggregate, answers, conversion, events, gates, metrics, models, narratives, presence, priors, reports, sparse_ridge
 from groupwise.plans.registry import QUERIES, query, rounded
 from groupwise.plans.roles import GROUPS_SQL, SCORERS_SQL, SHOTS_SQL, possessions, scorers, shots, table
 
@@ -283,7 +283,7 @@ def selection_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def home_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Members' totals from a ridge with a column for the home side, which has no penalty."""
     rows = models.with_home(possessions(spark, sf_dir).withColumn("is_home", F.col("game_id") % 2 == 0), "is_home")
-    found = models.effects(rows, {"own": "own", "other": "other", "home": "home"}, "points", {"own": 200.0, "other": 400.0, "home": 0.0})
+    found = sparse_ridge.effects(rows, {"own": "own", "other": "other", "home": "home"}, "points", {"own": 200.0, "other": 400.0, "home": 0.0})
     # the two lists name their members apart
     same = found.withColumn("member", F.when(F.col("block") == "other", F.col("member") - 1000000000).otherwise(F.col("member")))
     return rounded(models.member_totals(same, "own", "other"), 4)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from groupwise.functions import columns as C
-from groupwise.operators import aggregate, answers, features, gates, metrics, models, plays, presence, priors, retrieval, sequence
+from groupwise.operators import aggregate, answers, features, gates, metrics, models, plays, presence, priors, retrieval, sequence, sparse_ridge
 from groupwise.plans.registry import ORACLE_SQL, QUERIES, query, rounded
 from groupwise.plans.roles import GROUPS_SQL, SCORERS_SQL, SHOTS_SQL, assertions, floor_assertions, possessions, scorers, shots, table
 
@@ -342,13 +342,13 @@ def ridge_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def ridge_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(models.effects(possessions(spark, sf_dir), {"own": "own", "other": "other"}, "points", {"own": 2000.0, "other": 4000.0}), 4)
+    return rounded(sparse_ridge.effects(possessions(spark, sf_dir), {"own": "own", "other": "other"}, "points", {"own": 2000.0, "other": 4000.0}), 4)
 
 
 @query()
 def ridge_penalties(spark: SparkSession, sf_dir: str) -> DataFrame:
     by_game = possessions(spark, sf_dir).withColumn("fold", F.pmod(F.xxhash64("game_id"), F.lit(5)))
-    best, error = models.select_penalties(models.moments(by_game, {"own": "own", "other": "other"}, "points", "fold"), [float(round(10 ** (1.5 + k / 3))) for k in range(10)], ("own", "other"))
+    best, error = sparse_ridge.select_penalties(sparse_ridge.Pairs(by_game, {"own": "own", "other": "other"}, "points", "fold"), [float(round(10 ** (1.5 + k / 3))) for k in range(10)], ("own", "other"))
     return spark.createDataFrame([(best["own"], best["other"], round(float(error), 6))], "own double, other double, held_out_error double")
 
 
