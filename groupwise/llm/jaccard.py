@@ -28,8 +28,8 @@ PERCENT = 75
 #: A shingle that about this share of all documents holds has a long list. It only orders shingles (all
 #: orders give the same links) and bounds the table sent to tasks: at most 2 / LONG_SHARE lists a mean set's shingle.
 LONG_SHARE = 0.001
-#: Documents counted together when long lists are looked for.
-COUNTED = 4000
+#: Documents, and shingles, counted together at most when long lists are looked for.
+COUNTED, COUNTED_SHINGLES = 4000, 2_000_000
 #: Words whose hash a worker remembers, and sets that a task remembers to have sent.
 REMEMBERED = 200_000
 
@@ -143,6 +143,7 @@ def _census(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets: list[np.ndarray] = []
+        held = 0
 
         def common() -> Iterator[pa.RecordBatch]:
             values, counts = np.unique(np.concatenate(sets), return_counts=True)
@@ -159,10 +160,12 @@ def _census(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
                 none = [None] * len(own)
                 carried = (part.column(2 + i).to_pylist() for i in range(len(carry)))
                 yield _batch([part.column(0).to_pylist(), [set_key(s) for s in own], [len(s) for s in own], none, none, [parity_bits(s) for s in own], *carried], schema, kinds)
-                sets += own
-                if len(sets) >= COUNTED:
-                    yield from common()
-                    sets = []
+                for one in own:
+                    sets.append(one)
+                    held += len(one)
+                    if len(sets) >= COUNTED or held >= COUNTED_SHINGLES:
+                        yield from common()
+                        sets, held = [], 0
         if sets:
             yield from common()
         _HASHES.clear()  # workers live on
@@ -196,32 +199,30 @@ def _postings(docs: DataFrame, long: np.ndarray, rank: np.ndarray) -> DataFrame:
     return docs.select("text").mapInArrow(run, schema)
 
 
-def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-    """From rows in order of their first column: the columns of whole lists, so that no list is cut between two yields."""
-    held: list[np.ndarray] | None = None
-    for batch in batches:
-        new = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-        held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
-        cut = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
-        if cut:
-            yield tuple(c[:cut] for c in held)
-            held = [c[cut:] for c in held]
-    if held is not None and len(held[0]):
-        yield tuple(held)
-
-
 def _shared_lists(postings: DataFrame) -> DataFrame:
     """(shingle, key, at): the lists that hold at least two classes."""
     schema = _longs("shingle", "key", "at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for s, k, at in _lists(batches):
+        last, shared, waiting = (None, None), None, None  # a list's only class so far waits for a second one; what follows a second one passes
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            s, k, at = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            if waiting is not None:
+                s, k, at = (np.concatenate(x) for x in zip(waiting, (s, k, at), strict=True))
             new = np.ones(len(s), bool)
+            new[0] = waiting is not None or (s[0], k[0]) != last
             new[1:] = (s[1:] != s[:-1]) | (k[1:] != k[:-1])
+            last = (s[-1], k[-1])
             s, k, at = s[new], k[new], at[new]
+            if not len(s):
+                continue
             starts = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
             sizes = np.diff(np.append(starts, len(s)))
-            more = np.repeat(sizes > 1, sizes)
+            more = np.repeat(sizes > 1, sizes) | (s == shared if shared is not None else False)
+            waiting = None if more[-1] else (s[-1:], k[-1:], at[-1:])
+            shared = s[-1] if more[-1] else None
             yield _batch([s[more], k[more], at[more]], schema)
 
     return postings.repartition("shingle").sortWithinPartitions("shingle", "key").mapInArrow(run, schema)

@@ -154,5 +154,10 @@ def test_stages_on_odd_tables(spark, sf_dir, stage):
     assert got.columns == bare.columns and {r.doc_id for r in got.collect()} <= {1, 2, 3, None}
     if stage != "quality":
         assert got.count() == (5 if stage != "near_duplicates" else 5)
+    clashing = ("__name", "__check", "__of", "key", "group", "first", "rows", "spans", "base_spans", "n", "h", "doc", "__had", "__extra", "keep", "p")
+    wide = bare.selectExpr("*", *(f"'own' AS `{c}`" for c in clashing))
+    more = run(spark, wide, sf_dir)
+    assert more.columns == wide.columns and sorted(map(str, (r.doc_id for r in more.collect()))) == sorted(map(str, (r.doc_id for r in got.collect())))
+    assert all(r[c] == "own" for r in more.collect() for c in clashing)
     assert run(spark, bare.where("false"), sf_dir).columns == bare.columns
     assert run(spark, bare.where("false"), sf_dir).count() == 0

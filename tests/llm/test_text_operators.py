@@ -344,3 +344,18 @@ def test_linked_sets_share_enough_of_their_prefixes(a, more, gone):
         long = np.arange(0, 400, 7)
         shared = len(set(jaccard.prefix(x, long)) & set(jaccard.prefix(y, long)))
         assert shared >= jaccard.least_shared(len(x), len(y))
+
+
+@pytest.mark.parametrize("rows", [1, 2, 3, 7, 1000])
+def test_lists_of_one_class_go_whatever_the_batches(spark, rows):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    try:
+        rnd = random.Random(rows)
+        postings = [(rnd.randrange(12), rnd.randrange(5), 1) for _ in range(60)] + [(50, 7, 1)] * 9 + [(51, k % 3, 1) for k in range(20)] + [(52, 1, 1)]
+        got = sorted((r.shingle, r.key) for r in jaccard._shared_lists(spark.createDataFrame(postings, "shingle long, key long, at long")).collect())
+        on = defaultdict(set)
+        for s, k, _ in postings:
+            on[s].add(k)
+        assert got == sorted((s, k) for s, ks in on.items() for k in ks if len(ks) > 1)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
