@@ -51,18 +51,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     own; of rows that agree in id and text one stays.
     """
     name = [F.xxhash64("text").alias("__name"), F.xxhash64(F.lit(1), "text").alias("__check")]
-    rows = stored(jaccard_groups(docs.select("doc_id", "text", *name), carry=("__name", "__check")).where("group is not null"), "grouped")
+    boxed = _boxed(docs, "doc_id", "text")
+    rows = stored(jaccard_groups(boxed.select("doc_id", "text", *name), carry=("__name", "__check")).where("group is not null"), "grouped")
     this = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "__name", "__check")
     grouped = rows.groupBy("group").agg(F.min(this).alias("first"), F.count("*").alias("rows")).where("rows > 1")
     spare = rows.join(grouped, "group").where(this != F.col("first")).select("doc_id", "__name", "__check").distinct()
     again = rows.groupBy("doc_id", "__name", "__check").count().where("count > 1").drop("count")
     of = lambda df: df.select(F.struct(F.col("doc_id").alias("id"), F.col("__name").alias("n"), F.col("__check").alias("c")).alias("__of"))
     same = F.col("doc_id").eqNullSafe(F.col("__of.id")) & (F.col("__name") == F.col("__of.n")) & (F.col("__check") == F.col("__of.c"))
-    kept = docs.select("*", *name).join(of(stored(spare, "spare")), same, "left_anti")
+    kept = boxed.select("*", *name).join(of(stored(spare, "spare")), same, "left_anti")
     repeated = of(stored(again, "repeated"))
     once = kept.join(repeated, same, "left_anti")
     one_each = kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "__name", "__check"])
-    return once.unionByName(one_each).select(*docs.columns)
+    return _unboxed(once.unionByName(one_each).drop("__name", "__check"), docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
