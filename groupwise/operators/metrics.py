@@ -137,15 +137,15 @@ def class_errors(df: DataFrame, mix: str, chosen: str, n_choices: int, order: li
 def choice_report(df: DataFrame, mix: str, chosen: str, n_choices: int, groups: dict[str, list[int]], order: list[str]) -> DataFrame:
     """One row about probabilities of n choices: n, log_loss, top_1, the mean over choices of class_errors, and for each group of choices its log loss, Brier score, resolution and ECE.
 
-    Probabilities are held above 1e-12 and made to add up to 1; the first largest is the guess. No rows give n = 0 and nulls.
+    Probabilities are held above 1e-12, made to add up to 1 and rounded to 12 digits, so that equal ones stay equal in bins; the first largest is the guess. No rows give n = 0 and nulls.
     """
     bounded = F.transform(mix, lambda x: F.greatest(F.least(x, F.lit(1.0)), F.lit(1e-12)))
-    sound = kept(df.select(*order, F.col(chosen).alias("chosen"), F.transform(F.array(bounded), lambda b: F.transform(b, lambda x: x / F.aggregate(b, F.lit(0.0), lambda s, v: s + v)))[0].alias("q")))
+    sound = kept(df.select(*order, F.col(chosen).alias("chosen"), F.transform(F.array(bounded), lambda b: F.transform(b, lambda x: F.round(x / F.aggregate(b, F.lit(0.0), lambda s, v: s + v), 12)))[0].alias("q")))
     whole = sound.agg(F.count("*").alias("n"), F.avg(-F.ln(F.get("q", F.col("chosen")))).alias("log_loss"), F.avg((F.array_position("q", F.array_max("q")) - 1 == F.col("chosen")).cast("double")).alias("top_1"))
     out = whole.crossJoin(F.broadcast(class_errors(sound, "q", "chosen", n_choices, order).agg(F.avg("ece").alias("class_ece"))))  # one row each
     for name, places in groups.items():
         p = F.aggregate(F.array(*(F.get("q", F.lit(i)) for i in places)), F.lit(0.0), lambda s, x: s + x)
-        rows = sound.select(*order, F.col("chosen").isin(places).cast("double").alias("y"), F.greatest(F.least(p, F.lit(1 - 1e-12)), F.lit(1e-12)).alias("p"))
+        rows = sound.select(*order, F.col("chosen").isin(places).cast("double").alias("y"), F.greatest(F.least(F.round(p, 12), F.lit(1 - 1e-12)), F.lit(1e-12)).alias("p"))
         parts = brier_parts(calibration_bins(rows, "y", "p", order)).select(F.col("resolution").alias(f"{name}_resolution"), F.col("ece").alias(f"{name}_ece"))
         scores = rows.agg(log_loss(F.col("y"), F.col("p")).alias(f"{name}_log_loss"), F.avg(F.pow(F.col("p") - F.col("y"), 2)).alias(f"{name}_brier"))
         out = out.crossJoin(F.broadcast(scores)).crossJoin(F.broadcast(parts))

@@ -18,7 +18,7 @@ _ORDER = ["game_id", "line", "part", "shooter_id"]
 def _group_sql(name: str, places: list[int]) -> str:
     """CTEs of a group's scores from q (rows with p, chosen)."""
     p = " + ".join(f"p[{i + 1}]" for i in places)
-    return f"""{name}_r AS (SELECT {', '.join(_ORDER)}, CASE WHEN chosen IN ({', '.join(map(str, places))}) THEN 1.0 ELSE 0.0 END AS y, {p} AS pr FROM q),
+    return f"""{name}_r AS (SELECT {', '.join(_ORDER)}, CASE WHEN chosen IN ({', '.join(map(str, places))}) THEN 1.0 ELSE 0.0 END AS y, round({p}, 12) AS pr FROM q),
 {name}_b AS (SELECT y, pr, ntile(20) OVER (ORDER BY pr, {', '.join(_ORDER)}) AS b FROM {name}_r), {name}_c AS (SELECT b, count(*) AS n, avg(pr) AS mp, avg(y) AS my FROM {name}_b GROUP BY b),
 {name}_w AS (SELECT sum(n) AS a, sum(n * my) / sum(n) AS base FROM {name}_c),
 {name}_s AS (SELECT round(avg(-(y * ln(pr) + (1 - y) * ln(1 - pr))), 6) AS {name}_log_loss, round(avg(pow(pr - y, 2)), 6) AS {name}_brier FROM {name}_r),
@@ -27,7 +27,7 @@ def _group_sql(name: str, places: list[int]) -> str:
 
 @query(f"""WITH {SHOTS_SQL.replace("SELECT l_orderkey AS game_id", "SELECT l_partkey AS part, l_linenumber AS line, l_orderkey AS game_id", 1)},
 x AS (SELECT {', '.join(_ORDER)}, list_position([{_ZONES}], zone_id) - 1 AS chosen, [1.0 + (part * (z + 3) + line * 7) % 11 for z in range(9)] AS w FROM shots),
-q AS (SELECT *, [v / list_sum(w) for v in w] AS p FROM x), e AS (SELECT *, unnest(range(9)) AS z FROM q),
+q AS (SELECT *, [round(v / list_sum(w), 12) for v in w] AS p FROM x), e AS (SELECT *, unnest(range(9)) AS z FROM q),
 c AS (SELECT z, p[z + 1] AS pr, CASE WHEN chosen = z THEN 1.0 ELSE 0.0 END AS y, ntile(10) OVER (PARTITION BY z ORDER BY p[z + 1], {', '.join(_ORDER)}) AS b FROM e),
 bins AS (SELECT z, b, count(*) AS n, avg(pr) AS mp, avg(y) AS my FROM c GROUP BY z, b), ece AS (SELECT z, sum(n * abs(mp - my)) / sum(n) AS e FROM bins GROUP BY z),
 {', '.join(_group_sql(n, g) for n, g in _GROUPS.items())}
