@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from groupwise.functions import columns as C
-from groupwise.operators import aggregate, answers, features, gates, metrics, models, plays, presence, priors, retrieval, sequence, sparse_ridge
+from groupwise.operators import aggregate, answers, features, gates, latent, metrics, models, plays, presence, priors, retrieval, sequence, sparse_ridge
 from groupwise.plans.registry import ORACLE_SQL, QUERIES, query, rounded
 from groupwise.plans.roles import GROUPS_SQL, SCORERS_SQL, SHOTS_SQL, assertions, floor_assertions, possessions, scorers, shots, table
 
@@ -531,6 +531,13 @@ def fused_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(retrieval.ranks(retrieval.fuse(*legs)))
 
 
+@query()
+def latent_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten documents nearest to each benchmark item in a latent space of sixteen directions."""
+    found = latent.lsa_scores(table(spark, sf_dir, "documents"), _questions(spark, sf_dir), "doc_id", "text", "item_id", "question", k=16, top=10, iterations=4)
+    return rounded(retrieval.ranks(found))
+
+
 #: Words in a row that a document shares with a benchmark item it holds a passage of.
 SHARED_RUN = 8
 
