@@ -180,3 +180,13 @@ def test_turn_by_turn_templates_need_no_prefix(spark):
     lone, whole = chat.IncrementalRenderer(chat.turn_template), chat.IncrementalRenderer(lambda ts: chat.turn_template(ts))
     assert [lone.add(*t) for t in said] == [whole.add(*t) for t in said]
     assert not lone.turns and not lone.before and len(whole.turns) == 200
+
+
+def test_a_subclass_of_a_turn_by_turn_template_stays_a_black_box():
+    class Numbered(chat.TurnByTurn):
+        def __call__(self, turns):
+            return f"[{len(turns)}]" + "".join(self.turn(*t) for t in turns)
+
+    renderer = chat.IncrementalRenderer(Numbered(lambda role, text: f"{role}:{text};"))
+    seen = [renderer.add("user", str(i)) for i in range(60)]
+    assert all(rewrote for _, _, rewrote in seen[1:]) and seen[-1][1].startswith("60]")
