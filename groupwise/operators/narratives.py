@@ -79,14 +79,15 @@ def strangers(text: Column, names: Column) -> Column:
 
 
 def rendered(docs: DataFrame, variant: str) -> DataFrame:
-    """(doc, text) of documents as a log of their names and places, as numbers, or in full with words for the numbers."""
+    """(doc, text) of documents as a log of their names and places, as numbers, or in full with words for the numbers, and with archetypes if there are such."""
     if variant not in VARIANTS:
         raise ValueError(f"no variant {variant}; there are {', '.join(VARIANTS)}")
     names = F.array_join("names", ", ")
     places = F.concat_ws(" ", F.concat(F.lit("three "), percent(F.col("three"))), F.concat(F.lit("rim "), percent(F.col("rim"))), F.concat(F.lit("mid-range "), percent(F.col("mid"))))
     numbers_ = F.format_string("group %s rows=%d per_100=%.2f three=%.4f rim=%.4f mid=%.4f", F.col("doc").cast("string"), "rows", "per_100", "three", "rim", "mid")
+    roles = [F.concat(F.lit("Roles: "), F.array_join("archetypes", ", "), F.lit("."))] if "archetypes" in docs.columns else []
     full = F.concat_ws(
-        " ", F.format_string("%s were together for %d rows.", names, "rows"), F.concat(F.lit("Style: "), F.array_join(style_tags(F.col("three"), F.col("rim"), F.col("mid")), ", "), F.lit(".")),
+        " ", F.format_string("%s were together for %d rows.", names, "rows"), *roles, F.concat(F.lit("Style: "), F.array_join(style_tags(F.col("three"), F.col("rim"), F.col("mid")), ", "), F.lit(".")),
         F.format_string("Worth %.1f per 100, %s.", "per_100", "level"), F.concat(share_phrase(F.col("three")), F.lit(" from three, "), share_phrase(F.col("rim")), F.lit(" at the rim.")),
         F.when(F.col("below_floor"), "Below the reporting floor: a direction alone.").otherwise("Enough for a point estimate."),
     )

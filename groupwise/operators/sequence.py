@@ -100,6 +100,14 @@ def row_numbers(df: DataFrame, *order: Column | str, name: str = "row") -> DataF
     return ranged.join(F.broadcast(offsets), "__part").withColumn(name, F.col("__at") + F.col("__shift")).drop("__part", "__at", "__shift")
 
 
+def share_below(df: DataFrame, value: str, *ties: str, name: str = "share") -> DataFrame:
+    """df with the share of all rows whose value, to nine digits, is less than the row's own."""
+    ranked = row_numbers(df.withColumn("__m", F.round(value, 9)), "__m", *ties, name="__row")
+    below = ranked.groupBy("__m").agg(F.min("__row").alias("__first"))
+    total = ranked.agg(F.count("*").alias("__total"))
+    return ranked.join(below, "__m").crossJoin(F.broadcast(total)).withColumn(name, F.col("__first") / F.col("__total")).drop("__m", "__row", "__first", "__total")  # one row
+
+
 def equal_bins(df: DataFrame, k: int, *order: Column | str, name: str = "bin") -> DataFrame:
     """df with a bin from 0 to k - 1 of as many rows each, the first ones one more if it doesn't divide, in a total order."""
     ranked = row_numbers(df, *order, name="__row")

@@ -578,4 +578,4 @@ def traced_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # further queries register themselves
-from groupwise.plans import lineups, more, summaries  # noqa: E402, F401
+from groupwise.plans import ablations, lineups, more, summaries  # noqa: E402, F401
