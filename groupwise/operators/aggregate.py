@@ -25,6 +25,41 @@ def volume_examples(df: DataFrame, key: str, thin: int) -> DataFrame:
     return top.union(low)
 
 
+def example_surfaces(shots: DataFrame, key: str, thin: int) -> DataFrame:
+    """The zone surfaces of volume_examples' keys: (example, key, zone_id, attempts, make_rate, ppa, vs_league, thin), against all rows' mean."""
+    examples = volume_examples(shots, key, thin).select(key, "example")
+    price = F.col("made").cast("double") * F.col("points")
+    whole = shots.agg(F.avg(price).alias("league"))
+    rows = shots.join(F.broadcast(examples), key).crossJoin(F.broadcast(whole))  # two keys, one row
+    by_zone = rows.groupBy("example", key, "zone_id").agg(F.count("*").alias("attempts"), F.avg(F.col("made").cast("double")).alias("make_rate"), F.avg(price).alias("ppa"), (F.avg(price) - F.max("league")).alias("vs_league"))
+    return by_zone.withColumn("thin", F.col("attempts") < THIN)
+
+
+def main_teams(rows: DataFrame, members: str, by: list[str], at: str, cutoffs: DataFrame) -> DataFrame:
+    """(member, cutoff, by, n): for each cut-off (member, cutoff) where most of the member's rows before it were, and how many; ties to the largest `by`, last column
+    first. Who has no row before has none here; a member may have several cut-offs.
+
+    Rows are summed up by member, place and moment before they meet cut-offs.
+    """
+    each = rows.select(F.explode(members).alias("member"), *by, at).groupBy("member", *by, at).agg(F.count("*").alias("n"))
+    before = each.join(cutoffs.select("member", "cutoff").distinct(), "member").where(F.col(at) < F.col("cutoff"))
+    placed = before.groupBy("member", "cutoff", *by).agg(F.sum("n").alias("n"))
+    best = placed.groupBy("member", "cutoff").agg(F.max(F.struct("n", *reversed(by))).alias("__b"))
+    return best.select("member", "cutoff", *(F.col(f"__b.{c}").alias(c) for c in by), F.col("__b.n").alias("n"))
+
+
+def assess(requests: DataFrame, seen: DataFrame, attempts: DataFrame, measure: str = "possessions") -> DataFrame:
+    """requests (request, key, members) with possessions, min_attempts, tier, counterfactual (nobody has seen the group) and shortfall, the members, in order, that are
+    below the directional floor. seen is (key, possessions), attempts (member, n); what is missing there counts 0."""
+    each = requests.select("request", F.posexplode("members").alias("at", "member")).join(attempts.select("member", "n"), "member", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    short = F.collect_list(F.when(F.col("n") < DIRECTIONAL_ATTEMPTS, F.struct("at", "member")))
+    least = each.groupBy("request").agg(F.min("n").alias("min_attempts"), F.transform(F.array_sort(short), lambda x: x["member"]).alias("shortfall"))
+    found = seen.select("key", F.col(measure).alias("possessions"))
+    rows = requests.join(least, "request", "left").join(found, "key", "left").withColumn("counterfactual", F.col("possessions").isNull())
+    rows = rows.withColumns({"possessions": F.coalesce("possessions", F.lit(0)), "min_attempts": F.coalesce("min_attempts", F.lit(0))})
+    return rows.withColumn("tier", tier(F.col("possessions"), F.col("min_attempts")))
+
+
 def member_sums(df: DataFrame, lists: list[str], measure: str) -> DataFrame:
     """(member, measure): the measure summed over the rows on whose lists a member is."""
     both = None

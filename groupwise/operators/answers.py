@@ -65,7 +65,10 @@ COVARIANCE_BYTES = 256_000_000
 
 
 def project_swaps(scenarios: DataFrame, fit: Ridge, blocks: tuple[str, str], per: float = 100.0) -> DataFrame:
-    """(out, in, share) scenarios with off_delta, def_delta, net_delta, error and an 80 % interval.
+    """(out, in, share) scenarios with off_delta, def_delta, net_delta, error, minutes_part and an 80 % interval.
+
+    With a column spread (how far the share may be off), the minutes' error joins the members' in error and interval, and minutes_part is its part of the variance; without,
+    or without any variance, it is 0.
 
     A member's effects are looked up by block; a null or unknown member is an average one, whose effects are zero; the same member out
     and in changes nothing. Errors are exact contrasts of the fit's covariance: four of its rows and columns a scenario, in batches.
@@ -75,7 +78,7 @@ def project_swaps(scenarios: DataFrame, fit: Ridge, blocks: tuple[str, str], per
     at = {c: i for i, c in enumerate(fit.columns)}
     # one more column of zeros for members without effects
     beta, covariance = np.append(fit.coefficients, 0.0) * per, np.pad(fit.covariance, (0, 1)) * per * per
-    z, new = NormalDist().inv_cdf(0.9), ("off_delta", "def_delta", "net_delta", "error", "low", "high")
+    z, new = NormalDist().inv_cdf(0.9), ("off_delta", "def_delta", "net_delta", "error", "minutes_part", "low", "high")
     schema = T.StructType([*(f for f in scenarios.schema if f.name not in new), *(T.StructField(n, T.DoubleType()) for n in new)])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -85,12 +88,24 @@ def project_swaps(scenarios: DataFrame, fit: Ridge, blocks: tuple[str, str], per
             sign, share = np.array([1.0, -1.0, -1.0, 1.0]), batch["share"].to_numpy(float)
             off, def_ = beta[where[:, 0]] - beta[where[:, 1]], beta[where[:, 2]] - beta[where[:, 3]]
             variance = np.einsum("i,nij,j->n", sign, covariance[where[:, :, None], where[:, None, :]], sign)
-            net, error = share * (off - def_), share * np.sqrt(np.maximum(variance, 0))
-            yield batch.assign(off_delta=share * off, def_delta=share * def_, net_delta=net, error=error, low=net - z * error, high=net + z * error)[schema.names]
+            net = share * (off - def_)
+            minutes = ((off - def_) * batch["spread"].to_numpy(float)) ** 2 if "spread" in batch.columns else np.zeros(len(batch))
+            whole = share**2 * np.maximum(variance, 0) + minutes
+            error, part = np.sqrt(whole), np.divide(minutes, whole, out=np.zeros(len(batch)), where=whole != 0)
+            yield batch.assign(off_delta=share * off, def_delta=share * def_, net_delta=net, error=error, minutes_part=part, low=net - z * error, high=net + z * error)[schema.names]
 
     return scenarios.drop(*new).mapInPandas(run, schema)
 
 
+def exposures(scenarios: DataFrame, rows: DataFrame, members: str, team: str, share: float, spread: float) -> DataFrame:
+    """scenarios (out, team) with share and spread: the part of the team's rows that `out` was there for, times the rule's share and spread of them. Teams or members without
+    rows are 0."""
+    whole = rows.groupBy(F.col(team).alias("team")).agg(F.count("*").alias("__whole"))
+    there = rows.select(F.col(team).alias("team"), F.explode(members).alias("out")).groupBy("team", "out").agg(F.count("*").alias("__there"))
+    part = F.coalesce(F.col("__there") / F.col("__whole"), F.lit(0.0))
+    return scenarios.join(whole, "team", "left").join(there, ["team", "out"], "left").withColumns({"share": part * share, "spread": part * spread}).drop("__whole", "__there")
+
+
 def projection_scores(df: DataFrame, projected: str, actual: str) -> DataFrame:
     """Means, spreads, correlation, mean absolute error and the share of signs foretold (projections of 0 left out), with its 95 % interval."""
     p, a = F.col(projected), F.col(actual)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from groupwise.functions.columns import correlation, group_fault
+from groupwise.functions.columns import correlation, group_fault, same_members
 from groupwise.operators.sequence import row_numbers
 
 #: Fixed starts of a possession after which play is live, and the seconds that make one a transition, and late.
@@ -87,6 +87,16 @@ def possession_summary(df: DataFrame, points: str, length: str, live: Column, co
     return df.agg(F.count("*").alias("n"), F.avg(covered.cast("double")).alias("covered"), F.avg(length).alias("mean_length"), F.median(length).alias("median_length"), mean(live).alias("live_points"), mean(~live).alias("set_points"))
 
 
+def boundary_summary(df: DataFrame, own: str, told: str, ambiguous: str) -> DataFrame:
+    """One row: rows, rows where both lists are known, the share of these whose lists agree, of those without an ambiguous bound too, and the share of ambiguous rows.
+
+    A null bound is neither ambiguous nor clear; without compared rows agreement is 0.
+    """
+    same = F.when(F.col(own).isNotNull() & F.col(told).isNotNull(), same_members(F.col(own), F.col(told)).cast("double"))
+    clear = F.when(~F.col(ambiguous), same)
+    return df.agg(F.count("*").alias("n"), F.count(same).alias("n_compared"), F.coalesce(F.avg(same), F.lit(0.0)).alias("agreement"), F.coalesce(F.avg(clear), F.lit(0.0)).alias("unambiguous_agreement"), F.avg(F.col(ambiguous).cast("double")).alias("ambiguous_rate"))
+
+
 def category_means(df: DataFrame, category: str, value: str) -> DataFrame:
     """(category, n, mean), best first, ties by name."""
     return df.groupBy(category).agg(F.count("*").alias("n"), F.avg(value).alias("mean")).orderBy(F.desc("mean"), category)

@@ -105,6 +105,15 @@ def drift(now: DataFrame, before: DataFrame, keys: list[str], value: str, tolera
     return joined.withColumn("problem", problem).where("problem is not null")
 
 
+#: How far a metric may drift, metrics of bins (parts of names), whose edges move rows, and how far those may.
+DRIFT, BINNED, BINNED_DRIFT = 1e-6, ("ece", "reliability", "resolution", "skill"), 1e-3
+
+
+def drift_tolerance(metric: Column) -> Column:
+    """How far a metric of that name may drift: one of bins, or one made of such, further than others."""
+    return F.when(F.arrays_overlap(F.split(metric, "_"), F.array(*map(F.lit, BINNED))), BINNED_DRIFT).otherwise(DRIFT)
+
+
 def no_bad_numbers(df: DataFrame) -> Column:
     """Share of rows whose floating-point columns are all finite or null."""
     bad = F.lit(False)

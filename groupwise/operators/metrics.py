@@ -31,6 +31,18 @@ def leave_groups_out(df: DataFrame, group: str, folds: int, least: int, seed: in
     return equal_bins(hashed, folds, "h", group, name="fold").select(group, "fold")
 
 
+def seen_only(df: DataFrame, folds: DataFrame, group: str, who: str) -> DataFrame:
+    """df's rows of groups with a fold, with it, that a fold may be tested on: their `who` has a row that the fold doesn't hold, so it is seen in training.
+
+    Rows are counted by who and fold before anything is joined; a null who is seen nowhere.
+    """
+    placed = df.join(folds.select(group, "fold"), group, "left")
+    inside = placed.where(F.col(who).isNotNull()).groupBy(who, "fold").agg(F.count("*").alias("n"))
+    all_ = inside.groupBy(who).agg(F.sum("n").alias("all"))
+    allowed = inside.join(all_, who).where("fold is not null and n < all").select(who, "fold")
+    return placed.join(allowed, [who, "fold"], "left_semi")
+
+
 def log_loss(y: Column, p: Column) -> Column:
     bounded = F.least(F.greatest(p, F.lit(CLIP)), F.lit(1 - CLIP))
     return F.avg(-(y * F.ln(bounded) + (1 - y) * F.ln(1 - bounded)))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from statistics import NormalDist
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -118,7 +121,23 @@ def improvements(values: DataFrame, counterpart: dict[str, str], by: list[str])
     return left.join(right, [*by, "against_model"]).select(*by, "model", "value", "against", ((F.col("against") - F.col("value")) / F.col("against")).alias("relative"))
 
 
-# ---- Contracts and differences
+def result_table(values: DataFrame, counterpart: dict[str, str], by: list[str], metrics_: list[str], measure: str = "log_loss") -> DataFrame:
+    """(by, model, n, a column a metric, against, gain, verdict) of rows (by, model, metric, value, n): each model beside its counterpart, and in words by how much its
+    measure lies below, or above, the counterpart's. Models without a counterpart, or whose counterpart has no row, have no verdict."""
+    wide = values.groupBy(*by, "model").agg(F.max("n").alias("n"), *(F.max(F.when(F.col("metric") == m, F.col("value"))).alias(m) for m in metrics_))
+    gains = improvements(values.where(F.col("metric") == measure), counterpart, by).select(*by, "model", F.col("relative").alias("gain"))
+    pairs = F.create_map(*(F.lit(x) for pair in counterpart.items() for x in pair))
+    percent = F.format_string("%+.3f%% vs %s", 100 * F.col("gain"), F.col("against"))
+    rows = wide.join(gains, [*by, "model"], "left").withColumn("against", F.when(F.col("gain").isNotNull(), pairs[F.col("model")]))
+    return rows.withColumn("verdict", F.when(F.col("gain").isNotNull(), percent))
+
+
+def critical_values(ranking: float = 0.8, comparison: float = 0.8) -> dict[str, float]:
+    """What rankings and comparisons are held to: their levels, the two-sided normal quantile of the first, the chi-squared value with two degrees of freedom that the second implies."""
+    return {"ranking_confidence": ranking, "critical_value": NormalDist().inv_cdf(0.5 + ranking / 2), "comparison_confidence": comparison, "omnibus_critical_value": -2 * math.log(1 - comparison)}
+
+
+# ---- Contracts and differences# ---- Contracts and differences
 
 
 def contract(df: DataFrame, name: str) -> DataFrame:

@@ -177,7 +177,7 @@ def polygon_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def swap_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What exchanging a member for another would change, by the ridge's effects."""
-    rows = possessions(spark, sf_dir)
+    rows = possessions(spark, sf_dir).withColumn("other", F.transform("other", lambda m: m - 1000000000))  # the two lists name their members apart
     fit = models.solve_ridge(models.moments(rows, {"own": "own", "other": "other"}, "points")[0], {"own": 2000.0, "other": 4000.0})
     # the first and the last member of each five change places
     scenarios = rows.select(F.get("own", F.lit(0)).alias("out"), F.get("own", F.lit(4)).alias("in")).distinct().withColumn("share", F.lit(0.5))
@@ -578,4 +578,4 @@ def traced_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # further queries register themselves
-from groupwise.plans import ablations, lineups, more, summaries  # noqa: E402, F401
+from groupwise.plans import ablations, checks, lineups, more, summaries  # noqa: E402, F401
