@@ -64,7 +64,19 @@ def beta_shrinkage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(priors.shrink_rates(_makes(spark, sf_dir), "makes", "attempts", ["zone_id"]))
 
 
-@query()
+_ZONE_LIST = ", ".join(f"'{z}'" for z in C.ZONES)
+
+
+@query(f"""WITH {SHOTS_SQL}, zs AS (SELECT unnest([{_ZONE_LIST}]) AS zone_id, unnest(range({len(C.ZONES)})) AS place), u AS (SELECT shooter_id, count(*) AS n FROM shots GROUP BY shooter_id),
+c AS (SELECT u.shooter_id, u.n, zs.zone_id, place, count(s.zone_id) AS x FROM u CROSS JOIN zs LEFT JOIN shots s ON s.shooter_id = u.shooter_id AND s.zone_id = zs.zone_id GROUP BY u.shooter_id, u.n, zs.zone_id, place),
+nb AS (SELECT avg(CASE WHEN n >= 50 THEN n END) AS n_bar, count(CASE WHEN n >= 50 THEN 1 END) AS units FROM u),
+v AS (SELECT zone_id, place, sum(x) / sum(n) AS mean, var_samp(CASE WHEN n >= 50 THEN x / n END) AS var FROM c GROUP BY zone_id, place),
+r AS (SELECT *, CASE WHEN mean > 0 AND mean < 1 AND n_bar > 1 THEN (var / (mean * (1 - mean) / n_bar) - 1) / (n_bar - 1) END AS rho FROM v, nb), rp AS (SELECT *, CASE WHEN rho > 0 THEN rho END AS good FROM r),
+o AS (SELECT good, sum(CASE WHEN good IS NOT NULL THEN mean ELSE 0 END) OVER (ORDER BY good NULLS LAST, place ROWS UNBOUNDED PRECEDING) AS up_to, sum(CASE WHEN good IS NOT NULL THEN mean ELSE 0 END) OVER () AS whole FROM rp),
+po AS (SELECT min(CASE WHEN good IS NOT NULL AND up_to >= 0.5 * whole THEN good END) AS pooled FROM o),
+st AS (SELECT CASE WHEN units < 2 OR NOT coalesce(n_bar > 1, FALSE) THEN 25.0 WHEN pooled IS NULL THEN 5000.0 ELSE least(greatest((1 - pooled) / pooled, 1.0), 5000.0) END AS s FROM po, nb)
+SELECT c.shooter_id, {_wide(f"max(CASE WHEN c.zone_id = '{z}' THEN x END) AS {z}" for z in C.ZONES)}, {_wide(f"round(max(CASE WHEN c.zone_id = '{z}' THEN (x + s * mean) / (n + s) END), 6) AS mix_{z}" for z in C.ZONES)}, round(max(n / (n + s)), 6) AS mix_weight
+FROM c JOIN v ON c.zone_id = v.zone_id CROSS JOIN st GROUP BY c.shooter_id""")
 def dirichlet_shrinkage(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = aggregate.category_mix(shots(spark, sf_dir), "shooter_id", "zone_id", list(C.ZONES)).select("shooter_id", *(F.col(f"n_{z}").alias(z) for z in C.ZONES))
     return rounded(priors.shrink_mixes(counts, list(C.ZONES)))
@@ -524,7 +536,16 @@ def bm25_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(retrieval.ranks(bm25_scores(spark, sf_dir)).where("rank <= 10"))
 
 
-@query()
+_FUSED_SQL = f"""{_BM25_SQL}, idf AS (SELECT term, ln((1 + n_docs) / (1 + df)) + 1 AS idf FROM df, s WHERE df >= 2),
+wd AS (SELECT tf.term, doc_id, tf * idf AS w FROM tf JOIN idf ON tf.term = idf.term), wq AS (SELECT qt.term, item_id, times * idf AS w FROM qt JOIN idf ON qt.term = idf.term),
+nd AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM wd GROUP BY doc_id), nq AS (SELECT item_id, sqrt(sum(w * w)) AS norm FROM wq GROUP BY item_id),
+dots AS (SELECT wq.item_id, wd.doc_id, sum(wd.w * wq.w) AS dot FROM wd JOIN wq ON wd.term = wq.term GROUP BY wq.item_id, wd.doc_id),
+legs AS (SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc) AS rank FROM sc
+  UNION ALL SELECT dots.item_id, dots.doc_id, row_number() OVER (PARTITION BY dots.item_id ORDER BY round(dot / nd.norm / nq.norm, 9) DESC, dots.doc_id) FROM dots JOIN nd ON nd.doc_id = dots.doc_id JOIN nq ON nq.item_id = dots.item_id),
+fu AS (SELECT query, doc, sum(1 / (60 + rank)) AS score FROM legs GROUP BY query, doc)"""
+
+
+@query(f"{_FUSED_SQL} SELECT query, doc, round(score, 6) AS score, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc) AS rank FROM fu")
 def fused_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, asked = table(spark, sf_dir, "documents"), _questions(spark, sf_dir)
     legs = [retrieval.ranks(f(docs, asked, "doc_id", "text", "item_id", "question")) for f in (retrieval.bm25, retrieval.tfidf_cosine)]
@@ -554,7 +575,13 @@ def _holding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held(docs, "doc_id", "doc").join(held(items, "item_id", "query"), "run").select("query", "doc").distinct()
 
 
-@query()
+_RUNS_SQL = " UNION ALL ".join(f"SELECT DISTINCT '{k}' AS side, {i} AS id, unnest(list_transform(range(1, len(w) - {SHARED_RUN - 2}), lambda i: array_to_string(w[i:i + {SHARED_RUN - 1}], ' '))) AS run FROM (SELECT {i}, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM {t}) WHERE len(w) >= {SHARED_RUN}" for k, i, t in (("doc", "doc_id", "documents"), ("item", "item_id", "benchmark")))
+
+
+@query(f"""{_BM25_SQL}, runs AS ({_RUNS_SQL}), rel AS (SELECT DISTINCT b.id AS query, a.id AS doc FROM runs a JOIN runs b ON a.run = b.run AND a.side = 'doc' AND b.side = 'item'),
+rk AS (SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc) AS place FROM sc), n AS (SELECT query, count(*) AS n FROM rel GROUP BY query),
+h AS (SELECT rk.query, count(CASE WHEN place <= 10 THEN 1 END) AS found, min(place) AS first, sum(CASE WHEN place <= 10 THEN 1 / log2(place + 1) ELSE 0 END) AS dcg FROM rk JOIN rel ON rel.query = rk.query AND rel.doc = rk.doc GROUP BY rk.query)
+SELECT n.query, round(coalesce(found, 0) / least(n, 10), 6) AS recall, round(coalesce(1 / first, 0), 6) AS mrr, round(coalesce(dcg, 0) / list_sum([1 / log2(i + 1) for i in range(1, least(n, 10) + 1)]), 6) AS ndcg FROM n LEFT JOIN h ON h.query = n.query""")
 def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How well the words of a benchmark item find the documents that hold a passage of it."""
     docs = table(spark, sf_dir, "documents")
