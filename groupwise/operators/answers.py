@@ -169,3 +169,9 @@ def create_table(schema, name: str, partitions: list[str]) -> str:
         lines.append(f"  {f.name} {kind.upper()}")
     tail = f"\nPARTITIONED BY ({', '.join(partitions)})" if partitions else ""
     return f"CREATE TABLE {name} (\n" + ",\n".join(lines) + f"\n) USING parquet{tail}"
+
+
+def same_table(schema, name: str, partitions: list[str], text: str) -> bool:
+    """Whether a CREATE TABLE text is what the schema gives today, whatever its line ends and trailing blanks: parity of a kept statement with the tables."""
+    plain = lambda t: "\n".join(line.rstrip() for line in t.replace("\r\n", "\n").strip().split("\n"))
+    return plain(text) == plain(create_table(schema, name, partitions))

@@ -317,17 +317,35 @@ def ranking_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(reports.ranking_refusals(QUERIES["ranked_plays"](spark, sf_dir).withColumnRenamed("shooter_id", "request")))
 
 
-@query()
-def conversion_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The conversion models' losses, on games held out and on later games."""
+def _conversion_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from groupwise.operators.sequence import kept
+
     lists = possessions(spark, sf_dir).select("game_id", "own", F.col("other").alias("defence"))
     rows = shots(spark, sf_dir).join(lists, "game_id").select(
         F.monotonically_increasing_id().alias("row"), "game_id", "shooter_id", "zone_id", "points", "made", "own", "defence", F.sqrt(F.col("loc_x") * F.col("loc_x") + F.col("loc_y") * F.col("loc_y")).alias("distance"),
         (F.col("period") >= 4).alias("clutch"), (F.col("seconds_remaining") % 24 >= 17).alias("late_clock"), (F.col("game_id") % 2).alias("out"), F.when(F.col("season") >= 1997, F.lit(0)).alias("later"),
     )
-    from groupwise.operators.sequence import kept
+    return kept(rows)
+
+
+@query()
+def conversion_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversion models' losses, on games held out and on later games."""
+    return rounded(conversion.train_and_evaluate(_conversion_rows(spark, sf_dir), {"games_out": "out", "forward": "later"}), 4)
+
 
-    return rounded(conversion.train_and_evaluate(kept(rows), {"games_out": "out", "forward": "later"}), 4)
+@query()
+def conversion_control(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What lists of members add to foretelling makes on half of the games, beside the same with the lists moved to other rows."""
+    return rounded(conversion.lineup_control(_conversion_rows(spark, sf_dir), F.col("out") == 1, 11))
+
+
+@query()
+def conversion_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By zone, what the final fit of all rows foretells beside what happened."""
+    rows = _conversion_rows(spark, sf_dir)
+    scored = conversion.fit_final(rows).scored(rows)
+    return rounded(scored.groupBy("zone_id").agg(F.count("*").alias("n"), F.avg("p").alias("mean_p"), F.avg("y").alias("mean_y"), metrics.log_loss(F.col("y"), F.col("p")).alias("log_loss")), 4)
 
 
 # ---- Narratives
