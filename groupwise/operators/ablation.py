@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from groupwise.functions.columns import tokens
+from groupwise.functions.columns import ZONES, tokens
 from groupwise.operators import latent, metrics, narratives, retrieval
 from groupwise.operators.sequence import kept, share_below
 
@@ -61,6 +61,16 @@ def lineup_documents(possessions: DataFrame, shots: DataFrame, names: DataFrame,
     return placed.join(mix, "key").join(people, "doc").withColumns({"below_floor": F.col("rows") < floor, "tags": tags})
 
 
+def facts(docs: DataFrame, shots: DataFrame) -> DataFrame:
+    """(doc, fact, value): every figure of a document that a narrative may state, by name: possessions, points_per_100 (two digits), the three shares and that of each
+    of the nine zones (four digits), 0 where its group took none. shots are (key, zone_id)."""
+    own = (("possessions", F.col("rows").cast("double")), ("points_per_100", F.round("per_100", 2)), ("three_rate", F.round("three", 4)), ("rim_rate", F.round("rim", 4)), ("mid_rate", F.round("mid", 4)))
+    stated = docs.select("doc", F.inline(F.array(*(F.struct(F.lit(n).alias("fact"), v.alias("value")) for n, v in own))))
+    mix = shots.where("key is not null").groupBy("key").agg(*(F.avg((F.coalesce("zone_id", F.lit("")) == z).cast("double")).alias(z) for z in ZONES))
+    each = F.inline(F.array(*(F.struct(F.lit(f"share_{z}").alias("fact"), F.round(z, 4).alias("value")) for z in ZONES)))
+    return stated.unionByName(mix.join(docs.select("key", "doc"), "key").select("doc", each))
+
+
 def attributes(docs: DataFrame) -> DataFrame:
     """(attribute, value, doc): the inverted index of documents' names, tags, archetypes and levels."""
     of = lambda attribute, values: F.transform(F.array_distinct(values), lambda x: F.struct(F.lit(attribute).alias("attribute"), x.alias("value")))

@@ -37,8 +37,8 @@ aq AS (SELECT * FROM qp UNION ALL SELECT kind || ':' || draw AS query, kind, CAS
 rel AS (SELECT query, kind, text, x.doc FROM aq JOIN ix x ON x.attribute = a1 AND x.value = v1 JOIN ix y ON y.attribute = a2 AND y.value = v2 AND y.doc = x.doc), aqk AS (SELECT DISTINCT query, kind, text FROM rel)"""
 
 
-def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Groups' documents from orders; members of some numbers take their threes at the rim in some games, so that groups differ."""
+def _parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Groups' documents from orders, and shots by group; members of some numbers take their threes at the rim in some games, so that groups differ."""
     rows = possessions(spark, sf_dir)
     season = F.when(F.year("played") < 1995, 1).otherwise(2)
     played = rows.select(F.col("own_key").alias("key"), F.expr("unit div 50").alias("team"), season.alias("season"), F.col("own").alias("members"), "points")
@@ -47,7 +47,11 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     taken = taken.withColumn("zone_id", F.when(moved, "restricted_area").otherwise(F.col("zone_id")))
     people = played.select(F.explode("members").alias("member")).distinct()
     names = people.withColumn("name", F.concat(F.lit("M"), F.translate(F.col("member").cast("string"), "0123456789", "abcdefghij"), F.lit("o Dabarelli")))
-    return ablation.lineup_documents(played, taken, names, _LEAST, _FLOOR)
+    return ablation.lineup_documents(played, taken, names, _LEAST, _FLOOR), taken
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _parts(spark, sf_dir)[0]
 
 
 @query(f"""WITH {_DOCS_SQL} SELECT doc, array_to_string(names, ',') AS names, "rows", points, round(per_100, 6) AS per_100, round(three, 6) AS three, round(rim, 6) AS rim, round(mid, 6) AS mid, array_to_string(archetypes, ',') AS archetypes,
@@ -58,6 +62,15 @@ def lineup_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(docs.select("doc", "names", "rows", "points", "per_100", "three", "rim", "mid", "archetypes", "tags", "level", "below_floor"))
 
 
+@query(f"""WITH {_DOCS_SQL}, zn AS (SELECT unnest([{', '.join(f"'{z}'" for z in C.ZONES)}]) AS zone), zs AS (SELECT key, zone, avg(CASE WHEN zone_id = zone THEN 1.0 ELSE 0.0 END) AS share FROM dz CROSS JOIN zn GROUP BY key, zone)
+SELECT doc, 'possessions' AS fact, CAST("rows" AS DOUBLE) AS value FROM docs UNION ALL SELECT doc, 'points_per_100', round(per_100, 2) FROM docs UNION ALL SELECT doc, 'three_rate', round(three, 4) FROM docs
+UNION ALL SELECT doc, 'rim_rate', round(rim, 4) FROM docs UNION ALL SELECT doc, 'mid_rate', round(mid, 4) FROM docs UNION ALL SELECT dg.doc, 'share_' || zone, round(share, 4) FROM zs JOIN dg ON dg.key = zs.key""")
+def document_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every figure that a narrative about a document may state."""
+    docs, taken = _parts(spark, sf_dir)
+    return ablation.facts(kept(docs), taken)
+
+
 @query(f"WITH {_QUERIES_SQL} SELECT query, kind, text, doc FROM rel")
 def generated_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Queries drawn from the documents' attributes, a row a relevant document."""

@@ -5,6 +5,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from groupwise.operators import ablation
 
@@ -39,6 +40,15 @@ def test_documents(spark):
     assert ablation.lineup_documents(spark.createDataFrame([], "key string, team int, season int, members array<int>, points int"), spark.createDataFrame(shots, "key string, shooter int, zone_id string"), spark.createDataFrame(names, "member int, name string")).count() == 0
 
 
+def test_facts(spark, docs):
+    one = docs[1].where("doc = 'd03'").withColumn("key", F.lit("k"))
+    shots = spark.createDataFrame([("k", "mid_top")] * 2 + [("k", "top_three"), ("other", "mid_top"), (None, "mid_top")], "key string, zone_id string")
+    got = {r.fact: r.value for r in ablation.facts(one, shots).collect()}
+    zones = {k: v for k, v in got.items() if k.startswith("share_")}
+    assert len(zones) == 9 and sum(v == 0 for v in zones.values()) == 7
+    assert {k: v for k, v in got.items() if v or k not in zones} == {"possessions": 53.0, "points_per_100": 93.0, "three_rate": 0.4, "rim_rate": 0.3, "mid_rate": 0.2, "share_mid_top": 0.6667, "share_top_three": 0.3333}
+
+
 def test_named(spark):
     rows = spark.createDataFrame([("x", [5, 1, 5]), ("y", [9])], "k string, m array<int>")
     got = ablation.named(rows, "k", "m", spark.createDataFrame([(1, "One"), (5, "Five")], "member int, name string"))
