@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from groupwise.operators import block_ridge
 from groupwise.operators.models import _EFFECTS, gram
 from groupwise.operators.sequence import kept
 
@@ -147,8 +148,22 @@ def select_penalties(pairs: Pairs, grid: list[float], blocks: tuple[str, str], f
     return {blocks[0]: cells[best][0], blocks[1]: cells[best][1]} | dict.fromkeys(free, 0.0), float(by_cell[best])
 
 
+def choose_penalties(df: DataFrame, blocks: dict[str, str], y: str, fold: str, grid: list[float]) -> tuple[dict[str, float], float]:
+    """select_penalties of the two blocks on rows: by components if none has more than block_ridge.LARGEST columns."""
+    parts = block_ridge.Parts(df, blocks, y, fold)
+    if parts.largest <= block_ridge.LARGEST:
+        return block_ridge.select_penalties(parts, grid, tuple(blocks))
+    return select_penalties(Pairs(df, blocks, y, fold), grid, tuple(blocks))
+
+
 def effects(df: DataFrame, blocks: dict[str, str], y: str, penalties: dict[str, float], scale: float = 100.0) -> DataFrame:
-    """(block, member, effect, error, low, high, includes_zero) per `scale` rows, as models.effects, without a matrix on the driver. No rows give no effects."""
+    """(block, member, effect, error, low, high, includes_zero) per `scale` rows, as models.effects, without a matrix on the driver. No rows give no effects.
+
+    Components of up to block_ridge.LARGEST columns are solved where their pairs are; larger ones by conjugate gradients, whose vectors of the design's columns the driver holds.
+    """
+    parts = block_ridge.Parts(df, blocks, y, bordered=True)
+    if parts.largest <= block_ridge.LARGEST:
+        return block_ridge.effects(parts, penalties, scale)
     pairs = Pairs(df, blocks, y)
     spark, p = df.sparkSession, pairs.p
     if not p:
