@@ -95,8 +95,7 @@ def projection_minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much of the variance of projected swaps comes from minutes."""
     scenarios, rows = _scenarios(spark, sf_dir)
     rows = rows.withColumn("other", F.transform("other", lambda m: m - 1000000000))  # the two lists name their members apart
-    fit = models.solve_ridge(models.moments(rows, {"own": "own", "other": "other"}, "points")[0], {"own": 2000.0, "other": 4000.0})
-    return rounded(reports.projection_variance(answers.project_swaps(scenarios, fit, ("own", "other")), "minutes_part"), 4)
+    return rounded(reports.projection_variance(answers.projected_swaps(scenarios, rows, ("own", "other"), "points", (2000.0, 4000.0)), "minutes_part"), 4)
 
 
 _P_SQL = "CAST(0.2 + (l_partkey * 7 + l_linenumber * 13) % 720 / 2000.0 AS DOUBLE)"
