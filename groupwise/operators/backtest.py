@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from groupwise.operators import block_ridge
 from groupwise.operators.models import gram
 from groupwise.operators.reports import move_buckets
 from groupwise.operators.sequence import asof_join, kept
@@ -57,6 +58,27 @@ class Projected:
     error: float
 
 
+def effects_before(rows: DataFrame, at: str, blocks: tuple[str, str], y: str, penalties: tuple[float, float], cutoffs: dict[int, float], wanted: DataFrame) -> DataFrame:
+    """(bucket, member, offence, defence, error) of wanted (bucket, member) pairs, as fits_before, from rows before each bucket's cut-off.
+
+    Components of up to block_ridge.LARGEST columns are fitted where their pairs are, and nothing of a member's size comes to the driver; larger ones take fits_before.
+    """
+    order = sorted(cutoffs, key=lambda b: cutoffs[b])
+    stretch = F.lit(0)
+    for b in order:
+        stretch = stretch + (F.col(at) >= F.lit(cutoffs[b])).cast("int")
+    early = rows.withColumn("__stretch", stretch).where(F.col("__stretch") < len(order))
+    parts = block_ridge.Parts(early, {"own": blocks[0], "other": blocks[1]}, y, "__stretch")
+    if parts.largest > block_ridge.LARGEST:
+        members: dict[int, tuple[float, list[int]]] = {b: (c, []) for b, c in cutoffs.items()}
+        for r in wanted.select("bucket", "member").distinct().collect():  # columns of the design, which the driver holds then
+            members[r["bucket"]][1].append(r["member"])
+        found = [(p.bucket, p.member, p.offence, p.defence, p.error) for p in fits_before(rows, at, blocks, y, penalties, members)]
+        return rows.sparkSession.createDataFrame(found, "bucket int, member long, offence double, defence double, error double")
+    fits = block_ridge.running_fits(parts, ("own", "other"), penalties, order)
+    return wanted.select("bucket", "member").distinct().join(fits, ["bucket", "member"], "left").na.fill(0.0, ["offence", "defence", "error"])
+
+
 def fits_before(rows: DataFrame, at: str, blocks: tuple[str, str], y: str, penalties: tuple[float, float], wanted: dict[int, tuple[float, list[int]]]) -> list[Projected]:
     """Effects of wanted members, {bucket: (cut-off, members)}, by a two-penalty ridge on the rows strictly before each bucket's cut-off.
 
@@ -182,11 +204,8 @@ def run_backtest(rows: DataFrame, ratings: DataFrame, moves: DataFrame, at: str,
     schema = "arm string, bucket int, member long, team long, season long, cutoff double, games_before long, games_after long, share double, projected double, error double, observed double, did double"
     if not cut:
         return rows.sparkSession.createDataFrame([], schema)
-    wanted = {b: (c, []) for b, c in cut.items()}
-    for r in bucketed.select("bucket", "member").distinct().collect():  # movers are columns of the design, which the driver holds anyway
-        wanted[r["bucket"]][1].append(r["member"])
-    fitted = fits_before(rows, at, blocks, y, penalties, wanted)
-    effects = rows.sparkSession.createDataFrame([(p.bucket, p.member, per * (p.offence - p.defence), per * p.error) for p in fitted], "bucket int, member long, net double, net_error double")
+    fitted = effects_before(rows, at, blocks, y, penalties, cut, bucketed)
+    effects = fitted.select("bucket", "member", (per * (F.col("offence") - F.col("defence"))).alias("net"), (per * F.col("error")).alias("net_error"))
     size = rows.groupBy(F.col(team).alias("team"), F.col(season).alias("season")).agg(F.count("*").alias("team_rows"))
     share = F.least(F.greatest(F.col("n_after"), F.lit(1)) / F.greatest(F.col("team_rows"), F.lit(1)), F.lit(1.0))
     real = bucketed.join(effects, ["bucket", "member"]).join(size, ["team", "season"]).withColumn("share", share).select(F.lit("move").alias("arm"), "bucket", "member", "team", "season", "cutoff", F.col("n_before").alias("games_before"), "games_after", "share", (F.col("share") * F.col("net")).alias("projected"), (F.col("share") * F.col("net_error")).alias("error"), (F.col("after") - F.col("before")).alias("observed"), "did")
