@@ -190,3 +190,19 @@ def test_a_subclass_of_a_turn_by_turn_template_stays_a_black_box():
     renderer = chat.IncrementalRenderer(Numbered(lambda role, text: f"{role}:{text};"))
     seen = [renderer.add("user", str(i)) for i in range(60)]
     assert all(rewrote for _, _, rewrote in seen[1:]) and seen[-1][1].startswith("60]")
+
+
+def test_turn_by_turn_rendering_is_the_same_at_any_length():
+    sizes = []
+
+    def piece(role, text):
+        sizes[-1] += 1
+        return f"{role}:{text};"
+
+    renderer, whole = chat.IncrementalRenderer(chat.TurnByTurn(piece)), ""
+    for k in range(100):
+        sizes.append(0)
+        start, added, rewrote = renderer.add("user", f"t{k}")
+        assert (start, added, rewrote) == (len(whole), f"user:t{k};", False)
+        whole += added
+    assert len(set(sizes[1:])) == 1  # no turn is rendered in another way because others came before
