@@ -43,3 +43,17 @@ def test_scores(spark, corpus):
     assert len(by[1]) == len(by[2]) == 10 and not by[3]
     assert all(r.doc % 4 == 0 for r in by[1]) and all(r.doc % 4 == 3 for r in by[2]) and by[1][0].score > 0.9
     assert latent.lsa_scores(corpus[1].where("false"), asked, "doc", "text", "q", "words", k=4).count() == 0
+
+
+def test_a_step_moves_blocks_by_terms_and_is_exact(spark, corpus):
+    docs = spark.createDataFrame([(d, " ".join(f"w{(d * i) % 13}" for i in range(40))) for d in range(600)], "doc long, text string")
+    rows, _ = latent.weights(docs, "doc", "text")
+    a, _, terms = dense([tuple(r) for r in rows.select("term", "doc", "w").collect()])
+    blocks, idf = latent.text_blocks(docs, "doc", "text")
+    vectors = idf.select("term", latent.F.array(latent.F.length("term").cast("double"), latent.F.col("idf")).alias("v"))
+    assert latent._sent(blocks, vectors).count() <= blocks.parts * len(terms) < rows.count()
+    v = {r.term: r.v for r in vectors.collect()}
+    x = a @ np.array([v[t] for t in terms])
+    back, inner = latent._there_and_back(blocks, vectors, 2)
+    found = {r.term: r.v for r in back.collect()}
+    assert np.allclose(inner, x.T @ x) and np.allclose(np.array([found[t] for t in terms]), a.T @ x)
