@@ -678,3 +678,32 @@ def test_choice_design_has_terms_where_they_act(spark):
     got = models.choice_design(df, ["mix"], {"late": (2,)}, 3).first().x
     assert got == [0.0, 0.0, 0.1, 0.0, 1.0, 0.0, 0.2, 0.0, 0.0, 1.0, 0.3, 1.0]
     assert models.choice_design(df, ["mix"], {"late": (2,)}, 3, without=("mix", "late")).first().x == [0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0]
+
+
+def _operators(df):
+    """The plan of df before it runs."""
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_stints_move_and_sort_rows_once(spark):
+    rows = spark.createDataFrame([(g, c, c // 3) for g in range(4) for c in range(20)], "g long, clock int, five int")
+    found = sequence.stints(rows, ["g"], "clock", "five", ["five"], F.lit(25))
+    plan = _operators(found)
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [") == 1 and "Aggregate" not in plan
+    one = [(r.five, r.n_rows, r.start, r.end, r.stint_index) for r in found.where("g = 2").orderBy("stint_index").collect()]
+    assert one == [(6, 2, 25, 17, 0), (5, 3, 17, 14, 1), (4, 3, 14, 11, 2), (3, 3, 11, 8, 3), (2, 3, 8, 5, 4), (1, 3, 5, 2, 5), (0, 3, 2, 0, 6)]
+
+
+def test_interval_join_does_not_group_points(spark):
+    points = spark.createDataFrame([(1, 50, "x")] * 3 + [(1, 10, "y"), (1, 99, "out"), (2, 50, "other")], "g long, at int, name string")
+    spans = spark.createDataFrame([(1, 60, 5, 2), (1, 55, 45, 1), (1, 10, 10, 0)], "g long, start int, end int, k int")
+    found = sequence.interval_join(points, spans, ["g"], "at", "start", "end", "k")
+    assert "name" not in "".join(line for line in _operators(found).splitlines() if "Aggregate" in line)
+    assert sorted((r.at, r.name, r.k) for r in found.collect()) == [(10, "y", 2)] + [(50, "x", 1)] * 3
+
+
+def test_co_occurrence_counts_equal_groups_before_pairs(spark):
+    rows = spark.createDataFrame([(i, [1, 2], [3]) for i in range(50)] + [(99, [2, 1], [4])], "g long, own array<long>, other array<long>")
+    found = aggregate.co_occurrence(rows, "g", ["own", "other"])
+    assert sorted((r.member, r.rows, r.partner, r.share) for r in found.collect()) == [(1, 51, 2, 1.0), (2, 51, 1, 1.0), (3, 50, 1, 1.0), (4, 1, 1, 1.0)]
+    assert "Generate explode(m" in _operators(found) and "own" not in _operators(found).split("Generate explode(m")[-1]
