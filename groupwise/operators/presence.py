@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from groupwise.operators.sequence import kept
+
 SIZE = 5
 #: A rule of the operator: with more candidates than these a period is left unsolved rather than guessed at.
 CANDIDATES = 16
@@ -154,8 +156,10 @@ def floor_after(df: DataFrame, starts: DataFrame, group: list[str], clock: str,
     """(group, event, members): who is there after each event row, sorted; null where the period has no starting group.
 
     A row's members leave before its others enter. starts is starting_groups' result. A member is there after a row if the last row up to it that
-    moved them brought them in, or none has and they started: one window over members and rows, and nothing is replayed.
+    moved them brought them in, or none has and they started: one window over members and rows, and nothing is replayed. Starting groups are
+    written once, so that they aren't solved again by each use.
     """
+    starts = kept(starts.select(*group, "members"))
     moves = df.groupBy(*group, event, member).agg(F.max(F.when(F.col(kind).isin("IN"), 2).when(F.col(kind).isin("OUT", "EJECT"), 1)).alias("moved")).where("moved is not null")
     rows = df.groupBy(*group, event).agg(F.max(clock).alias("__clock"))
     starters = starts.select(*group, F.explode("members").alias(member), F.lit(2).alias("moved"))

@@ -707,3 +707,20 @@ def test_co_occurrence_counts_equal_groups_before_pairs(spark):
     found = aggregate.co_occurrence(rows, "g", ["own", "other"])
     assert sorted((r.member, r.rows, r.partner, r.share) for r in found.collect()) == [(1, 51, 2, 1.0), (2, 51, 1, 1.0), (3, 50, 1, 1.0), (4, 1, 1, 1.0)]
     assert "Generate explode(m" in _operators(found) and "own" not in _operators(found).split("Generate explode(m")[-1]
+
+
+def test_floor_after_solves_starting_groups_once(spark, monkeypatch):
+    from groupwise.operators import presence
+
+    times = spark.sparkContext.accumulator(0)
+    starts = spark.createDataFrame([(1, [1, 2, 3, 4, 5])], "p int, members array<long>")
+
+    def counted(batches):
+        for batch in batches:
+            times.add(len(batch))
+            yield batch
+
+    rows = spark.createDataFrame([(1, 100, 1, 1, "OUT"), (1, 90, 2, 6, "IN")], "p int, clock int, event long, member long, kind string")
+    found = presence.floor_after(rows, starts.mapInPandas(counted, starts.schema), ["p"], "clock", "event", "member", "kind")
+    assert {r.event: r.members for r in found.collect()} == {1: [2, 3, 4, 5], 2: [2, 3, 4, 5, 6]}
+    assert times.value == 1
