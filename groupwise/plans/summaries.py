@@ -37,9 +37,10 @@ def choice_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nine-way probabilities of every shot's zone: log loss, first guesses, calibration within each zone, and the threes and the rim as groups."""
     raw = table(spark, sf_dir, "lineitem").selectExpr("l_partkey AS part", "l_linenumber AS line", *(f"{e} AS {n}" for n, e in SHOTS.items()))
     zone = C.zone(F.col("loc_x"), F.col("loc_y"))
-    weights = F.transform(F.sequence(F.lit(0), F.lit(8)), lambda z: (1 + (F.col("part") * (z + 3) + F.col("line") * 7) % 11).cast("double"))
+    weights = F.array(*((1 + (F.col("part") * (z + 3) + F.col("line") * 7) % 11).cast("double") for z in range(len(C.ZONES))))
     rows = raw.withColumn("chosen", (F.array_position(F.array(*map(F.lit, C.ZONES)), zone) - 1).cast("int")).withColumn("w", weights)
-    mixed = rows.withColumn("mix", F.transform("w", lambda v: v / F.aggregate("w", F.lit(0.0), lambda s, x: s + x)))
+    total = F.aggregate("w", F.lit(0.0), lambda s, x: s + x)
+    mixed = rows.withColumn("mix", F.transform(F.array(total), lambda t: F.transform("w", lambda v: v / t))[0])
     return rounded(metrics.choice_report(mixed, "mix", "chosen", len(C.ZONES), _GROUPS, _ORDER))
 
 

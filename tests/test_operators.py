@@ -462,6 +462,41 @@ def test_calibration_slope(spark):
     assert metrics.calibration_slope(df.where("y = 1"), "y", "p") is None
 
 
+@pytest.mark.parametrize("tied", [True, False])
+def test_bins_put_few_rows_in_order(spark, monkeypatch, tied):
+    rnd = random.Random(8)
+    rows = [(rnd.choice([0.1, 0.25, 0.5]) if tied else rnd.random(), rnd.randrange(3000) if i % 50 else None, i, rnd.randrange(2)) for i in range(4003)]
+    rows += [(1.0, 5, 5000, 1), (0.0, None, 5001, 0)]
+    df = spark.createDataFrame(rows, "p double, a long, b int, y int").repartition(5)
+    ordered = sorted(rows, key=lambda r: (r[0], r[1] is not None, r[1] or 0, r[2]))
+    seen, number = [], sequence.row_numbers
+
+    def watched(df, *order, name="row"):
+        seen.append(df.count())
+        return number(df, *order, name=name)
+
+    monkeypatch.setattr(metrics, "row_numbers", watched)
+    monkeypatch.setattr(sequence, "row_numbers", watched)
+
+    def expected(p, y, k):
+        size, more = divmod(len(p), k)
+        ends = np.cumsum([size + (b < more) for b in range(k)])
+        return [(len(a), np.mean(a), np.mean(b)) for a, b in zip(np.split(p, ends[:-1]), np.split(y, ends[:-1]), strict=True)]
+
+    got = {r.bin: r for r in metrics.calibration_bins(df, "y", "p", ["a", "b"]).collect()}
+    for b, (n, mean_p, mean_y) in enumerate(expected(np.array([r[0] for r in ordered]), np.array([r[3] for r in ordered]), 20)):
+        assert got[b].n == n and got[b].mean_p == pytest.approx(mean_p) and got[b].mean_y == pytest.approx(mean_y)
+    mixed = df.withColumn("mix", F.array("p", 1 - F.col("p")))
+    errors = {r.choice: r for r in metrics.class_errors(mixed, "mix", "y", 2, ["a", "b"]).collect()}
+    for choice in (0, 1):
+        own = sorted(rows, key=lambda r: (r[0] if choice == 0 else 1 - r[0], r[1] is not None, r[1] or 0, r[2]))
+        bins = expected(np.array([r[0] if choice == 0 else 1 - r[0] for r in own]), np.array([float(r[3] == choice) for r in own]), 10)
+        assert errors[choice].n == len(rows) and errors[choice].ece == pytest.approx(sum(n * abs(p - y) for n, p, y in bins) / len(rows))
+    assert seen and max(seen) < len(rows) / 4
+    assert metrics.calibration_bins(df.limit(0), "y", "p", ["a", "b"]).count() == 0
+    assert sorted(r.n for r in metrics.calibration_bins(df.limit(7), "y", "p", ["a", "b"]).collect()) == [1] * 7
+
+
 def test_the_floor_after_each_event(spark):
     rows = [(1, 700, e, m, "EV") for e, m in enumerate([1, 2, 3, 4, 5])] + [(1, 400, 9, 1, "OUT"), (1, 400, 9, 6, "IN"), (2, 700, 0, 9, "IN")]
     df = spark.createDataFrame(rows, "g int, clock int, e int, m long, k string")
