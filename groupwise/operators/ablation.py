@@ -25,8 +25,14 @@ LOWEST, USUAL_KIND = "in the bottom quintile", "balanced wing"
 _AT = {"three": ("corner_three_left", "corner_three_right", "wing_three", "top_three"), "rim": ("restricted_area", "paint_non_ra"), "mid": ("mid_baseline", "mid_wing", "mid_top")}
 
 
-def _shares(zone: str) -> list[Column]:
-    return [F.avg(F.col(zone).isin(*zones).cast("double")).alias(name) for name, zones in _AT.items()]
+def _shares(counted: str = "__known") -> list[Column]:
+    return [(F.sum(name) / F.nullif(F.sum(counted), F.lit(0))).alias(name) for name in _AT]
+
+
+def _taken(shots: DataFrame) -> DataFrame:
+    """(key, shooter, n, __known, three, rim, mid): shots, those of a known zone, and those at each place, counted once for all shares."""
+    at = [F.count_if(F.col("zone_id").isin(*zones)).alias(name) for name, zones in _AT.items()]
+    return kept(shots.groupBy("key", "shooter").agg(F.count("*").alias("n"), F.count("zone_id").alias("__known"), *at))
 
 
 def named(rows: DataFrame, key: str, members: str, names: DataFrame) -> DataFrame:
@@ -50,8 +56,9 @@ def lineup_documents(possessions: DataFrame, shots: DataFrame, names: DataFrame,
     for from_, words in reversed(LEVELS):
         level = F.when(F.col("__below") >= from_, words).otherwise(level)
     placed = share_below(worth, "per_100", "doc", name="__below").withColumn("level", level).drop("__below")
-    mix = shots.where("key is not null").groupBy("key").agg(*_shares("zone_id"))
-    kinds = shots.where("shooter is not null").groupBy(F.col("shooter").alias("member")).agg(F.count("*").alias("n"), *_shares("zone_id")).where(F.col("n") >= attempts)
+    taken = _taken(shots)
+    mix = taken.where("key is not null").groupBy("key").agg(*_shares())
+    kinds = taken.where("shooter is not null").groupBy(F.col("shooter").alias("member")).agg(F.sum("n").alias("n"), *_shares()).where(F.col("n") >= attempts)
     kinds = kinds.select("member", narratives.archetype(F.col("three"), F.col("rim")).alias("kind"))
     each = placed.select("doc", F.posexplode("members").alias("at", "member")).join(names.select("member", "name"), "member", "left").join(kinds, "member", "left")
     told = F.struct("at", F.coalesce("name", F.col("member").cast("string")).alias("name"), F.coalesce("kind", F.lit(USUAL_KIND)).alias("kind"))
@@ -119,16 +126,41 @@ def corpora(docs: DataFrame) -> DataFrame:
     return texts[0].unionByName(texts[1]).unionByName(texts[2])
 
 
-def corpora_bm25(texts: DataFrame, asked: DataFrame) -> DataFrame:
-    """(corpus, query, doc, score): BM25 of each query in each corpus, from one table of postings that the corpus is a key of."""
+def _bm25_classes(texts: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((corpus, length, held, doc), (corpus, length, held, query, score)): what each document holds of the asked terms, and BM25 by what is held.
+
+    Documents of a corpus that hold the same asked terms as often, and are as long, have one score. So only tokens of asked terms leave the texts' rows,
+    once, dealt by document, and a score is computed once for all documents alike. A document is one row of a corpus.
+    """
     counted = texts.select("corpus", "doc", tokens(F.coalesce("text", F.lit(""))).alias("t"))
     size = counted.groupBy("corpus").agg(F.count("*").alias("n_docs"), F.avg(F.size("t")).alias("mean_length"))
-    terms = asked.select("query", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query", "term").agg(F.count("*").alias("times"))
-    found = counted.select("corpus", "doc", F.size("t").alias("length"), F.explode("t").alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
-    tf = found.groupBy("corpus", "term", "doc").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
-    df = tf.groupBy("corpus", "term").agg(F.count("*").alias("df"))
-    joined = tf.join(df, ["corpus", "term"]).join(terms, "term").join(F.broadcast(size), "corpus")  # a row a corpus
-    return joined.groupBy("corpus", "query", "doc").agg(F.sum(F.col("times") * retrieval.term_score()).alias("score"))
+    terms = kept(asked.select("query", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query", "term").agg(F.count("*").alias("times")))
+    sent = F.broadcast if terms.count() <= retrieval.ASKED else lambda df: df
+    words = counted.select("corpus", "doc", F.size("t").alias("length"), F.explode("t").alias("term")).join(sent(terms.select("term").distinct()), "term", "left_semi")
+    tf = words.repartition("corpus", "doc").groupBy("corpus", "doc", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+    docs = kept(tf.groupBy("corpus", "doc").agg(F.first("length").alias("length"), F.sort_array(F.collect_list(F.struct("term", "tf"))).alias("held")))  # a document's asked terms
+    classes = kept(docs.groupBy("corpus", "length", "held").agg(F.count("*").alias("docs")))
+    each = classes.select("corpus", "length", "held", "docs", F.inline("held"))
+    df = each.groupBy("corpus", "term").agg(F.sum("docs").alias("df"))
+    joined = each.join(sent(df), ["corpus", "term"]).join(sent(terms), "term").join(F.broadcast(size), "corpus")  # a row a corpus
+    return docs, joined.groupBy("corpus", "length", "held", "query").agg(F.sum(F.col("times") * retrieval.term_score()).alias("score"))
+
+
+def corpora_bm25(texts: DataFrame, asked: DataFrame) -> DataFrame:
+    """(corpus, query, doc, score): BM25 of each query in each corpus, of all documents that share a term with it."""
+    docs, scores = _bm25_classes(texts, asked)
+    return docs.join(scores, ["corpus", "length", "held"]).select("corpus", "query", "doc", "score")
+
+
+def bm25_ranks(texts: DataFrame, asked: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """first_ranks of corpora_bm25, without a row for each document and query: a document among the first has fewer than `depth` classes of documents before it, and is among the first of its own."""
+    docs, scores = _bm25_classes(texts, asked)
+    alike = ["corpus", "length", "held"]
+    better = F.rank().over(Window.partitionBy("corpus", "query").orderBy(F.desc(F.bround("score", 9))))
+    best = kept(scores.withColumn("__rank", better).where(F.col("__rank") <= depth).drop("__rank"))
+    place = F.row_number().over(Window.partitionBy(*alike).orderBy("doc"))
+    firsts = docs.join(best.select(alike).distinct(), alike, "left_semi").withColumn("__place", place).where(F.col("__place") <= depth)
+    return first_ranks(firsts.join(best, alike).select("corpus", "query", "doc", "score"), depth)
 
 
 def first_ranks(scores: DataFrame, depth: int = DEPTH) -> DataFrame:
@@ -142,7 +174,7 @@ def rankings(texts: DataFrame, asked: DataFrame, depth: int = DEPTH, k: int = 32
 
     A latent space is fitted per corpus. Documents beyond `depth`, and those that share no term with a query, are not ranked.
     """
-    legs = {"bm25": first_ranks(corpora_bm25(texts, asked), depth)}
+    legs = {"bm25": bm25_ranks(texts, asked, depth)}
     near = None
     for corpus in narratives.VARIANTS:
         part = latent.lsa_scores(texts.where(F.col("corpus") == corpus), asked, "doc", "text", "query", "text", k, depth, iterations).withColumn("corpus", F.lit(corpus))

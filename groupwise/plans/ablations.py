@@ -99,7 +99,7 @@ def keyword_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How well BM25 finds relevant documents in three corpora of the same facts."""
     docs = kept(_documents(spark, sf_dir))
     asked, relevant = ablation.generated_queries(docs, _SEED)
-    ranked = ablation.first_ranks(ablation.corpora_bm25(ablation.corpora(docs), asked)).withColumn("retriever", F.lit("bm25"))
+    ranked = kept(ablation.bm25_ranks(ablation.corpora(docs), asked)).withColumn("retriever", F.lit("bm25"))
     return rounded(ablation.ablation(ranked, asked, relevant))
 
 

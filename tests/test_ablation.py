@@ -78,6 +78,17 @@ def test_queries_name_what_their_documents_hold(spark, docs):
     assert few.count() == none.count() == 0
 
 
+def test_documents_alike_are_scored_once(spark, docs):
+    asked, _ = ablation.generated_queries(docs[1], 3, 4)
+    copies = docs[1].crossJoin(spark.range(7)).withColumn("doc", F.concat_ws(":", "doc", "id")).drop("id")
+    few, many = (ablation._bm25_classes(ablation.corpora(df), asked)[1].count() for df in (docs[1], copies))
+    assert few == many > 0
+    texts = ablation.corpora(copies)
+    for depth in (3, 100):
+        by_document = ablation.first_ranks(ablation.corpora_bm25(texts, asked), depth)
+        assert {tuple(r) for r in ablation.bm25_ranks(texts, asked, depth).collect()} == {tuple(r) for r in by_document.collect()}
+
+
 def test_bm25_by_corpus_and_means(spark, docs):
     rows, df = docs
     asked, relevant = ablation.generated_queries(df, 3, 10)
