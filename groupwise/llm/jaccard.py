@@ -30,6 +30,8 @@ PERCENT = 75
 LONG_SHARE = 0.001
 #: Documents, and shingles, counted together at most when long lists are looked for.
 COUNTED, COUNTED_SHINGLES = 4000, 2_000_000
+#: Merged lists that two classes must share, where their sizes allow to ask for so many, before they are compared.
+SHARED = 3
 #: Words whose hash a worker remembers, and sets that a task remembers to have sent.
 REMEMBERED = 200_000
 
@@ -251,22 +253,26 @@ def least_shared(n_a, n_b, percent: int = PERCENT):
 def _open_pairs(lists: DataFrame, comp: DataFrame, members: DataFrame) -> DataFrame:
     """Pairs (a, b) of classes that aren't yet in one component and meet in a list early enough for their sizes.
 
-    Of two sets that share `need` shingles the first one that they share, in the common order, has at least need - 1 after it in both. So
-    only the beginnings of both lists of shingles are merged, shorter ones than a prefix for any partner; who has that many of its own there
-    meets nobody, however large its group. A sort-merge join of the lists with themselves splits hot ones.
+    Of two sets that share `need` shingles the m-th one that they share, in the common order, has at least need - m after it in both. So
+    only the beginnings of both lists of shingles are merged, shorter ones than a prefix for any partner, and there linked sets meet m times
+    at least: SHARED, or as often as both prefixes reach. One shared passage or two don't make a pair. Who has that many shingles of its own
+    there meets nobody, however large its group. A sort-merge join of the lists with themselves splits hot ones.
     """
     named = lists.join(members.select("key", "n"), "key").join(comp.withColumnRenamed("node", "key"), "key", "left").select("shingle", F.coalesce("component", "key").alias("component"), "key", "n", "at")
     open_ = named.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("shingle")
     # with a partner of its own size or more a set needs more than with a smaller one: beyond this place it only meets smaller ones
-    early = F.col("at") <= F.col("n") - F.ceil(2 * PERCENT * F.col("n") / (100 + PERCENT))
+    early = F.col("at") < F.col("n") - F.ceil(2 * PERCENT * F.col("n") / (100 + PERCENT)) + SHARED
     kept = stored(named.join(open_, "shingle", "left_semi").withColumn("early", early), "open-lists")
     side = lambda df, c: df.select("shingle", F.col("key").alias(c), F.col("component").alias(f"of_{c}"), F.col("n").alias(f"n_{c}"), F.col("at").alias(f"at_{c}"))
     n_a, n_b = F.col("n_a"), F.col("n_b")
     need = F.ceil(PERCENT * (n_a + n_b) / (100 + PERCENT))
+    reach = need - F.greatest(F.ceil(PERCENT * n_a / 100), F.ceil(PERCENT * n_b / 100)) + 1  # least_shared: more may lie past a prefix
+    times = F.greatest(F.lit(1), F.least(F.lit(SHARED), reach))
     smaller = (n_a < n_b) | ((n_a == n_b) & (F.col("a") < F.col("b")))
-    meet = smaller & (F.col("of_a") != F.col("of_b")) & (100 * n_a >= PERCENT * n_b) & (F.col("at_a") <= n_a - need) & (F.col("at_b") <= n_b - need)
+    meet = smaller & (F.col("of_a") != F.col("of_b")) & (100 * n_a >= PERCENT * n_b) & (F.col("at_a") < n_a - need + times) & (F.col("at_b") < n_b - need + times)
     merged = side(kept.where("early"), "a").join(side(kept, "b"), "shingle").where(meet)
-    return merged.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    often = merged.groupBy("a", "b").agg(F.count("*").alias("met"), F.first(times).alias("times")).where("met >= times")
+    return often.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def _possible(pairs: DataFrame, members: DataFrame) -> DataFrame:

@@ -346,6 +346,28 @@ def test_linked_sets_share_enough_of_their_prefixes(a, more, gone):
         assert shared >= jaccard.least_shared(len(x), len(y))
 
 
+def test_open_pairs_hold_all_links_and_few_others(spark):
+    rnd = random.Random(12)
+    sets = []
+    for n in [*[rnd.randrange(1, 12) for _ in range(40)], *[rnd.randrange(12, 90) for _ in range(40)]]:
+        own = set(rnd.sample(range(10_000), n))
+        sets.append(own)
+        for keep in (1.0, 0.95, 0.9, 0.8):
+            sets.append({x for x in own if rnd.random() < keep} | set(rnd.sample(range(10_000), rnd.randrange(1 + n // 8))) or own)
+    sets += [{*range(20_000 + 200 * k, 20_100 + 200 * k), -1} for k in range(30)]  # each has one list in common with all, the first one
+    arrays = [np.array(sorted(x), np.int64) for x in sets]
+    long = np.arange(0, 10_000, 7)
+    postings = [(int(x), k, at) for k, a in enumerate(arrays) for at, x in enumerate(jaccard.prefix(a, long))]
+    members = spark.createDataFrame([(k, len(a)) for k, a in enumerate(arrays)], "key long, n long")
+    found = jaccard._open_pairs(spark.createDataFrame(postings, "shingle long, key long, at long"), spark.createDataFrame([], "node long, component long"), members).collect()
+    pairs = {(r.a, r.b) for r in found}
+    assert len(pairs) == len(found)
+    links = {(i, j) for i in range(len(arrays)) for j in range(i) if jaccard.linked(arrays[i], arrays[j])}
+    assert {(j, i) for i, j in links} <= pairs and len(links) > 200
+    last = len(arrays) - 30
+    assert not any(a >= last and b >= last for a, b in pairs)
+
+
 @pytest.mark.parametrize("rows", [1, 2, 3, 7, 1000])
 def test_lists_of_one_class_go_whatever_the_batches(spark, rows):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
