@@ -206,3 +206,12 @@ def test_turn_by_turn_rendering_is_the_same_at_any_length():
         assert (start, added, rewrote) == (len(whole), f"user:t{k};", False)
         whole += added
     assert len(set(sizes[1:])) == 1  # no turn is rendered in another way because others came before
+
+
+def test_the_chat_query_renders_whole_prefixes(spark, sf_dir, monkeypatch):
+    given = []
+    monkeypatch.setattr(chat, "format_chats", lambda turns, template=chat.turn_template, plain=chat.format_chats: given.append(template) or plain(turns, template))
+    assert chat.op3_chat_format(spark, sf_dir).count()
+    renderer = chat.IncrementalRenderer(given[0])
+    pieces = [renderer.add("user", f"t{k}") for k in range(20)]
+    assert len(renderer.turns) == 20 and renderer.before == chat.turn_template(renderer.turns) == "".join(p for _, p, _ in pieces)
