@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from groupwise.functions.columns import tokens
 from groupwise.operators.retrieval import postings
-from groupwise.operators.sequence import kept
+from groupwise.operators.sequence import kept, written
 
 #: Directions beyond the rank that speed convergence up, and rows that a task multiplies at a time.
 OVERSAMPLED, STRETCH = 8, 8192
@@ -126,8 +126,8 @@ def _encoded(rows: DataFrame, parts: int) -> tuple[DataFrame, DataFrame]:
         words = [pa.array([block] * many, pa.int64()), none(many, docs.dictionary.type), none(many, pa.list_(pa.int32())), none(many, pa.list_(pa.float64())), pa.array(np.arange(many), pa.int32()), found.dictionary.cast(pa.string()), pa.array(np.bincount(at, minlength=many), pa.int64())]
         return pa.concat_tables([pa.Table.from_arrays(x, names=schema.names) for x in (cells, words)])
 
-    every = kept(rows.groupBy("block").applyInArrow(run, schema).repartition(parts, "block").sortWithinPartitions("block"))
-    return every.where("term is null").select("block", "doc", "at", "w"), kept(every.where("term is not null").select("block", F.col("place").alias("at"), "term", "df"))
+    every = written(rows.groupBy("block").applyInArrow(run, schema).repartition(parts, "block").sortWithinPartitions("block"))
+    return every.where("term is null").select("block", "doc", "at", "w"), written(every.where("term is not null").select("block", F.col("place").alias("at"), "term", "df"))
 
 
 def _whole(column: pa.ChunkedArray) -> pa.Array:
@@ -150,7 +150,7 @@ def text_blocks(docs: DataFrame, doc: str, text: str, least_df: int = 2) -> tupl
     dealt, parts = _dealt(texts, "doc", -(-whole[1] // BLOCK_CHARS))
     cells, words = _encoded(dealt.select("block", "doc", tokens(F.col("text")).alias("t")), parts)
     idf = kept(words.groupBy("term").agg(F.sum("df").alias("df")).where(F.col("df") >= least_df).select("term", (F.ln((1 + F.lit(whole[0])) / (1 + F.col("df"))) + 1).alias("idf")))
-    scaled = kept(words.join(idf, "term").select("block", "at", "term", F.col("idf").alias("scale")))
+    scaled = written(words.join(idf, "term").select("block", "at", "term", F.col("idf").alias("scale")))
     return Blocks(cells, scaled, parts, True), idf
 
 
@@ -197,7 +197,7 @@ def _there_and_back(blocks: Blocks, vectors: DataFrame, width: int) -> tuple[Dat
 
     parts = blocks.cells.groupBy("block").cogroup(_sent(blocks, vectors).groupBy("to")).applyInArrow(run, schema)
     summed = parts.groupBy("term", "line").agg(*(F.sum(f"v{i}").alias(f"v{i}") for i in range(width)))
-    summed = kept(summed.select("term", "line", F.array(*(f"v{i}" for i in range(width))).alias("v")))
+    summed = written(summed.select("term", "line", F.array(*(f"v{i}" for i in range(width))).alias("v")))
     inner = np.zeros((width, width))
     for r in summed.where("term is null").collect():  # as many rows as directions
         inner[r["line"]] = r["v"]
@@ -218,12 +218,12 @@ def _inverse_root(inner: np.ndarray) -> np.ndarray:
 def _orthonormal(vectors: DataFrame, key: str, width: int) -> tuple[DataFrame, int]:
     """Vectors whose columns are orthonormal and span the same, twice over so that rounding leaves nothing; directions without length go."""
     for _ in range(2):
-        vectors = kept(vectors)
+        vectors = written(vectors)
         e, q = np.linalg.eigh(_products(vectors, width))
         on = e > max(e.max(initial=0.0), 0.0) * 1e-13
         by = (q[:, on] / np.sqrt(e[on]))[:, ::-1]
         vectors, width = _turned(vectors, key, by), by.shape[1]
-    return kept(vectors), width
+    return written(vectors), width
 
 
 @dataclass
@@ -264,7 +264,7 @@ def _svd(blocks: Blocks, k: int, iterations: int = 8, seed: int = 0, tolerance:
         terms, width = _orthonormal(_turned(found, "term", by), "term", by.shape[1])
     values, q = spectrum
     keep = min(k, int((values > values.max(initial=0.0) * 1e-6).sum()))
-    return Latent(values[:keep], kept(_turned(found, "term", q[:, :keep] / values[:keep])))
+    return Latent(values[:keep], written(_turned(found, "term", q[:, :keep] / values[:keep])))
 
 
 def projected(rows: DataFrame, key: str, latent: Latent) -> DataFrame:
